@@ -7,11 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from pathloom.llm.bpe import op2_bpe
+from pathloom.llm.packing import op4_packing
+from pathloom.llm.quality import op3_quality
+from pathloom.llm.secrets import op7_secrets
 from pathloom.llm.simhash import op1_simhash
+from pathloom.llm.substring import op6_substring
+from pathloom.llm.tokencount import op8_token_counts
+from pathloom.llm.tokenfiles import op5_token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_bpe)}
+    return {f.__name__: f for f in (op1_simhash, op2_bpe, op3_quality, op4_packing, op5_token_files, op6_substring, op7_secrets, op8_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:

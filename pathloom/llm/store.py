@@ -8,8 +8,10 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -55,9 +57,7 @@ def delete_path(spark: SparkSession, path: str) -> None:
     jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jvm_path, True)
 
 
-def per_batch(
-    df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str, barrier: bool = False
-) -> DataFrame:
+def per_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """Applies fn to each Arrow batch of df."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,7 +70,7 @@ def per_batch(
 def slices(batch: pa.RecordBatch, text_column: int, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts a batch so that each slice has about most_bytes of text at most; a single longer row is a slice of its own."""
     column = batch.column(text_column)
-    sizes = pa.compute.fill_null(pa.compute.binary_length(column), 0).to_pylist()
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
     start = total = 0
     for i, n in enumerate(sizes):
         if total and total + n > most_bytes:
