@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pathloom.llm import chat, topk
 from pathloom.llm.bpe import op2_bpe
+from pathloom.llm.chat import op9_chat
 from pathloom.llm.packing import op4_packing
 from pathloom.llm.quality import op3_quality
 from pathloom.llm.secrets import op7_secrets
@@ -14,11 +16,12 @@ from pathloom.llm.simhash import op1_simhash
 from pathloom.llm.substring import op6_substring
 from pathloom.llm.tokencount import op8_token_counts
 from pathloom.llm.tokenfiles import op5_token_files
+from pathloom.llm.topk import op10_topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_bpe, op3_quality, op4_packing, op5_token_files, op6_substring, op7_secrets, op8_token_counts)}
+    return {f.__name__: f for f in (op1_simhash, op2_bpe, op3_quality, op4_packing, op5_token_files, op6_substring, op7_secrets, op8_token_counts, op9_chat, op10_topk)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_chat": chat.ORACLE, "op10_topk": topk.ORACLE}
