@@ -1,0 +1,21 @@
+"""Lineage of iterated tables."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """df from a checkpoint in the folder that the cluster names in spark.checkpoint.dir.
+
+    Only a local session that has none gets a temporary folder.
+    """
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        named = context.getConf().get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="pathloom-"))
+    return df.checkpoint()
