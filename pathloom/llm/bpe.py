@@ -167,7 +167,7 @@ class _WordIds(dict):
 class WordBpe:
     """The vocabulary file's encoding and decoding, as the tokenizers library does them without special tokens."""
 
-    def __init__(self, path: str, words_kept: int = 500_000):
+    def __init__(self, path: str, words_kept: int = 200_000):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as file:
