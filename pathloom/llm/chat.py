@@ -2,7 +2,7 @@
 
 Quoted lines begin with one ">" or more, white space between them allowed; as many as there are is the level. A passage
 is a run of lines of one level. Passages are normalised, hashed and joined to the messages of the same conversation
-that said the same, as their whole text or as a paragraph of it. That message is what the quoting one replies to.
+that said the same, as their whole text, a paragraph or a line of it. That message is what the quoting one replies to.
 """
 
 from __future__ import annotations
@@ -106,7 +106,8 @@ def link_quotations(messages: DataFrame, bucket_turns: int = 256) -> DataFrame:
     quotes = quotes.select("conv", "position", F.col("p.level").alias("level"), F.sha2(F.col("p.text"), 256).alias("hash"))
     # only conversations that quote anything need their messages looked up
     quoting = quotes.select("conv").distinct()
-    said = F.array_union(F.array(normalized(F.col("body"))), F.transform(F.split("body", r"\n[ \t\r]*\n"), normalized))
+    parts = F.concat(F.array("body"), F.split("body", r"\n[ \t\r]*\n"), F.split("body", "\n"))
+    said = F.array_distinct(F.transform(parts, normalized))
     originals = parsed.join(quoting, "conv", "left_semi").select("conv", "position", F.explode(F.filter(said, lambda x: x != "")).alias("said"))
     originals = originals.groupBy("conv", F.sha2("said", 256).alias("hash")).agg(F.min("position").alias("original"))
     linked = quotes.join(originals, ["conv", "hash"]).filter("original < position")
@@ -151,7 +152,7 @@ WITH m AS (
   FROM c GROUP BY conv_id, position
 ), o AS (
   SELECT conv_id, said, min(position) AS original FROM (
-    SELECT conv_id, position, lower(trim(regexp_replace(unnest(list_concat([body], regexp_split_to_array(body, '\n[ \t\r]*\n'))), '[ \t\n\x0B\f\r]+', ' ', 'g'))) AS said FROM b
+    SELECT conv_id, position, lower(trim(regexp_replace(unnest(list_concat(list_concat([body], regexp_split_to_array(body, '\n[ \t\r]*\n')), string_split(body, chr(10)))), '[ \t\n\x0B\f\r]+', ' ', 'g'))) AS said FROM b
   ) WHERE said <> '' GROUP BY conv_id, said
 ), k AS (
   SELECT p.conv_id, p.position, count(*) AS n_linked, arg_max(original, (-level, original)) AS original
