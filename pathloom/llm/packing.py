@@ -103,7 +103,7 @@ def places(plan: list[tuple[list[int], int]]) -> dict[str, np.ndarray]:
     return dict(zip(("length", "first_rank", "first_sequence", "offset"), table.T, strict=True))
 
 
-def rank_within_length(pieces: DataFrame, counts: dict[int, int], rows_per_part: int = 4096) -> DataFrame:
+def rank_within_length(pieces: DataFrame, counts: dict[int, int], rows_per_part: int = 1000) -> DataFrame:
     """Adds rank: 0, 1, ... among the rows of a length, in an order of all columns.
 
     A length of many rows (copies have one length) is dealt into parts of about rows_per_part by hash; parts are ranked
