@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathloom.llm.store import materialize, per_batch, read_table, slices
+from pathloom.llm.store import bounded_sample, materialize, per_batch, read_table, slices
 from pathloom.llm.words import WORD
 
 SYMBOL = re.compile(r"[#*$%&|<>]")
@@ -114,7 +114,7 @@ def grow_forest(x: np.ndarray, trees: int = 100, rows_per_tree: int = 256, seed:
                 depth[tree, node] = level + usual_path(len(rows))
                 continue
             f = random.choice(splits)
-            at = low[f] + (high[f] - low[f]) * (1 - random.random())  # over the least value, so both sides have rows
+            at = min(max(low[f] + (high[f] - low[f]) * (1 - random.random()), np.nextafter(low[f], np.inf)), high[f])  # both sides have rows
             less = x[rows, f] < at
             feature[tree, node], border[tree, node], child[tree, node] = f, at, used
             for side, own in enumerate((rows[less], rows[~less])):
@@ -157,7 +157,7 @@ def fit_quality(stats: DataFrame, labels: DataFrame, max_sample_rows: int = 25_6
     """Grows the forest and calibrates its limits.
 
     stats: doc_id and STATS; labels: doc_id and quality (1 good, 0 bad; other rows are no labels). The forest sees
-    max_sample_rows labelled documents at most, those with the smallest hashes of doc_id. The limits come from counts
+    max_sample_rows labelled documents at most, picked by hash. The limits come from counts
     over all labelled documents in fixed bins of the score: of all limits, for each group the one of the least cost,
     a rejected good document costing as much as cost_of_rejecting kept bad ones. Without labelled documents of both
     kinds nothing is rejected.
@@ -168,7 +168,7 @@ def fit_quality(stats: DataFrame, labels: DataFrame, max_sample_rows: int = 25_6
     )
     known = materialize(known.select("doc_id", "quality", *STATS), "quality-labelled")
     nothing = QualityModel(None, np.full(len(FEATURES), np.inf))
-    sample = known.orderBy(F.xxhash64("doc_id"), "doc_id", *STATS).limit(max_sample_rows).select(*STATS).toPandas().to_numpy(np.int64)
+    sample = bounded_sample(known, max_sample_rows, "doc_id", *STATS).select(*STATS).toPandas().to_numpy(np.int64)
     if len(sample) < 2:
         return nothing
     forest = grow_forest(features(sample))

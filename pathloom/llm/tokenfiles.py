@@ -22,7 +22,7 @@ from pyspark.sql.window import Window
 
 from pathloom.llm.bpe import default_path
 from pathloom.llm.bytebpe import byte_bpe
-from pathloom.llm.store import materialize, new_path, read_table, slices
+from pathloom.llm.store import bounded_sample, materialize, new_path, read_table, slices
 
 MAGIC = b"LOOMZID1"
 NO_ID = -(1 << 63)  # stands for a null doc_id in the index
@@ -31,10 +31,10 @@ NO_ID = -(1 << 63)  # stands for a null doc_id in the index
 def train_dictionary(docs: DataFrame, path: str, sample_docs: int = 1000, sample_chars: int = 20_000, size: int = 64 << 10) -> bytes:
     """A zstandard dictionary of serialized id arrays.
 
-    It is fitted on sample_docs documents at most, those with the smallest hashes of doc_id, and on sample_chars of
-    each. Too few for the trainer: their own bytes are the dictionary.
+    It is fitted on sample_docs documents at most, picked by the hash of doc_id, and on sample_chars of each. Too few for the trainer: their own bytes are the dictionary.
     """
-    sample = docs.select(F.xxhash64("doc_id").alias("h"), "doc_id", F.substring("text", 1, sample_chars).alias("text")).orderBy("h", "doc_id", "text").limit(sample_docs)
+    picked = bounded_sample(docs.select("doc_id", "text"), sample_docs, "doc_id")
+    sample = picked.select("doc_id", F.substring("text", 1, sample_chars).alias("text")).orderBy("doc_id", "text")
     bpe = byte_bpe(path)
     kind = id_type(bpe.size)
     rows = [x for r in sample.select("text").collect() if (x := bpe.encode(r["text"]).astype(kind).tobytes())]

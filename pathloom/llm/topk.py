@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pathloom.llm.store import materialize, read_table
+from pathloom.llm.store import bounded_sample, materialize, read_table
 
 EXACT = float(1 << 53)
 
@@ -33,7 +33,7 @@ def quantized(spark: SparkSession, vectors: DataFrame, scale: int = 256) -> Data
                 ids.append(vec_id)
                 dims.append(len(x))
                 norms.append(norm)
-                buckets.append(int(np.ceil(np.log(norm) / np.log(1.1))) if norm else -1)
+                buckets.append(max(0, int(np.ceil(np.log(norm) / np.log(1.1)))) if norm else -1)
                 data.append(x.astype("<i8").tobytes())
             kinds = (pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((ids, dims, buckets, norms, data), kinds, strict=True)], ["vec_id", "dim", "bucket", "norm", "v"])
@@ -54,6 +54,17 @@ def blocks(rows: DataFrame, key: list[str], size: int, extra: list[Column]) -> D
     return grouped.select("*", F.transform("_rows", lambda r: r["vec_id"]).alias("ids"), F.transform("_rows", lambda r: r["v"]).alias("vs")).drop("_rows")
 
 
+def top_bucket(rows: DataFrame, n: int) -> int:
+    """The highest bucket that has n rows with those above it; the lowest if there are fewer."""
+    found = 0
+    buckets = rows.groupBy("bucket").count().orderBy(F.col("bucket").desc()).collect()  # some thousands at most
+    for r in buckets:
+        found += r["count"]
+        if found >= n:
+            return r["bucket"]
+    return -1
+
+
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Exact integer products of all rows: by floating point where no sum can pass 2^53."""
     most = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1]
@@ -133,12 +144,12 @@ def top_k(spark: SparkSession, vectors: DataFrame, is_query: Column, k: int = 5,
     own for others, never for each other; as queries their candidates are pooled under the one id. Empty tables give an
     empty result.
 
-    The `seeds` longest vectors, a fixed number, give each query a first threshold. A block of queries meets a block of
+    `seeds` vectors at most from the buckets of the longest give each query a first threshold. A block of queries meets a block of
     candidates only if a candidate of the bucket's greatest length could reach one of its thresholds.
     """
     rows = materialize(quantized(spark, vectors.select("vec_id", "embedding"), scale), "vectors")
     longest: dict[int, list] = {}
-    for r in rows.orderBy(F.col("norm").desc(), "vec_id", "v").limit(seeds).select("vec_id", "dim", "v").collect():
+    for r in bounded_sample(rows.filter(F.col("bucket") >= top_bucket(rows, seeds)), seeds, "vec_id", "v").select("vec_id", "dim", "v").collect():
         longest.setdefault(r["dim"], []).append((r["vec_id"], r["v"]))
 
     def thresholds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
