@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from pathloom.llm import components, simhash, substring
+from pathloom.llm import components, nearcopies, simhash, substring
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -79,6 +79,72 @@ def test_near_pairs_lose_no_link(spark, most):
     assert len({got[v] for v in got}) == sum(len(g) > 1 for g in sizes)
 
 
+def shingles(text, n=5):
+    words = WORD.findall(re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
+    return {" ".join(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def test_wide_fingerprint_by_hand():
+    text = "a B c d e f g h a b c d e"
+    hashes = {xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles(text)}
+    bits = np.zeros(1024, int)
+    for h in hashes:
+        for j in range(16):
+            x = (h + (j + 1) * 0x9E3779B97F4A7C15) % (1 << 64)
+            x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % (1 << 64)
+            x = (x ^ x >> 27) * 0x94D049BB133111EB % (1 << 64)
+            x ^= x >> 31
+            bits[64 * j : 64 * j + 64] += np.unpackbits(np.frombuffer(x.to_bytes(8, "little"), np.uint8))
+    assert nearcopies.wide_simhash(text) == np.packbits(2 * bits > len(hashes)).tobytes()
+    assert nearcopies.wide_simhash(None) == nearcopies.wide_simhash(" ") == bytes(128)
+    assert nearcopies.wide_simhash("one two") == nearcopies.wide_simhash("ONE  two")
+
+
+def edited(pick, words, share, vocabulary):
+    return [pick.choice(vocabulary) if pick.random() < share else w for w in words]
+
+
+def test_near_copies_recall_and_precision(spark):
+    """Pairs by their true similarity: all from 0.85 on are found, none below 0.5."""
+    pick = random.Random(12)
+    vocabulary = [f"v{i}" for i in range(5000)]
+    rows, pairs = [], []
+    for i in range(400):
+        words = [pick.choice(vocabulary) for _ in range(pick.randint(60, 600))]
+        other = edited(pick, words, pick.choice([0.0, 0.004, 0.01, 0.02, 0.05, 0.1, 0.3]), vocabulary)
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+        pairs.append((2 * i, 2 * i + 1, jaccard(shingles(rows[-2][1]), shingles(rows[-1][1]))))
+    got = {r["doc_id"]: r["component_id"] for r in nearcopies.near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    high, mid, low = ([got[a] == got[b] for a, b, s in pairs if lo <= s < hi] for lo, hi in ((0.85, 1.1), (0.8, 0.85), (0, 0.5)))
+    assert len(high) > 100 and all(high)
+    assert not mid or sum(mid) >= 0.7 * len(mid)
+    assert len(low) > 50 and not any(low)
+    assert len(set(got.values())) >= 400  # strangers stay apart
+
+
+def test_near_copies_of_large_groups(spark):
+    """Hundreds of edited copies of one text, exact copies, and what repeats ids or has none."""
+    pick = random.Random(13)
+    vocabulary = [f"v{i}" for i in range(3000)]
+    base = [pick.choice(vocabulary) for _ in range(400)]
+    rows = [(10_000 - i, " ".join(edited(pick, base, 0.004, vocabulary))) for i in range(500)] + [(20_000 + i, " ".join(base)) for i in range(300)]
+    rows += [(i, " ".join(pick.choice(vocabulary) for _ in range(100))) for i in range(50)] + [(7, rows[0][1]), (None, "x"), (60, None), (61, "")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for size in (10_000, 40):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        got = nearcopies.near_copies(frame).collect()
+        assert len(got) == len(rows) - 1
+        assert {r["component_id"] for r in got if r["doc_id"] > 9000} == {7}
+        assert {r["component_id"] for r in got if r["doc_id"] in (60, 61)} == {60}
+        assert {(r["doc_id"], r["component_id"]) for r in got if r["doc_id"] < 50 and r["doc_id"] != 7} == {(i, i) for i in range(50) if i != 7}
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert nearcopies.near_copies(frame.limit(0)).count() == 0
+
+
 def test_components_of_long_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(0, 300)] + [(1000, 1000 + i) for i in range(1, 200)] + [(5000, 5001), (5001, 5000), (5000, 5000)]
     random.Random(1).shuffle(edges)

@@ -11,7 +11,7 @@ from pathloom.llm import queries
 from pathloom.llm.quality import base_fails, rule_stats
 from pathloom.llm.secrets import redact
 
-from .test_dedup import WORD, brute_components, brute_fingerprint, brute_repeats
+from .test_dedup import WORD, brute_components, brute_repeats, jaccard, shingles
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -33,6 +33,7 @@ def folder(spark, tmp_path_factory):
         rows.append((i, " ".join(words)))
     rows += [(300 + i, rows[3 * i + 1][1]) for i in range(12)]  # copies
     rows += [(400 + i, rows[4 * i + 3][1] + " ") for i in range(5)]
+    rows += [(450 + i, rows[5 * i + 3][1] + " one more end") for i in range(5)]
     rows += [(500, None), (501, ""), (502, "short one"), (503, "word " * 300)]
     docs = [(i, t, "en", "s", len(t or "")) for i, t in rows]
     base = tmp_path_factory.mktemp("sf")
@@ -59,8 +60,8 @@ def test_stages(spark, folder):
     assert len(wrong) <= 0.03 * len(passing)
 
     two = stage["near_dedup"](spark, one, folder)
-    prints = {i: brute_fingerprint(t, 5) for i, t in kept.items()}
-    roots = brute_components(prints, lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 2)
+    sets = {i: shingles(t) for i, t in kept.items()}
+    roots = brute_components(sets, lambda a, b: jaccard(sets[a], sets[b]) >= 0.8)
     left = {r["doc_id"]: r["text"] for r in two.collect()}
     assert two.columns == docs.columns and left == {i: t for i, t in kept.items() if roots[i] == i}
     assert len(left) < len(kept)
