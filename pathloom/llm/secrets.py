@@ -8,6 +8,7 @@ and common identifiers of source code. Names, paths and repeated values come out
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,10 +21,11 @@ from pathloom.llm.store import per_batch, read_table, slices
 #: Fixed patterns of the base kinds.
 ASSIGN = re.compile(r"(?ai:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
-HEX = re.compile(r"[0-9a-f]+")
-#: The same maximal runs, without those of fewer than 24 characters.
-LONG_HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
-KEYWORD = re.compile(r"(?ai:passw|secret|token|api_?key)")
+#: The runs of [0-9a-f]+ that have 24 characters or more; leftmost matches begin where a run does.
+LONG_HEX = re.compile(r"[0-9a-f]{24,}")
+#: Parts of lower-case text without which ASSIGN, or SENSITIVE, can't match: looked for first, as that is much faster.
+ASSIGN_PARTS = ("passw", "secret", "token", "api")
+SENSITIVE_PARTS = ("pass", "pwd", "secret", "token", "key", "credential", "auth", "bearer", "signature", "session", "cookie", "connection")
 KINDS = ("assign", "access", "hex", "novel")
 
 SENSITIVE = re.compile(
@@ -45,10 +47,10 @@ IDENTIFIERS = (
 ).encode()
 
 
-def base_spans(text: str) -> list[tuple[int, int, str, int, int]]:
+def base_spans(text: str, lower: str) -> list[tuple[int, int, str, int, int]]:
     """(start, end, kind, value start, value end) of the fixed patterns, leftmost and non-overlapping within each kind."""
     found = []
-    if KEYWORD.search(text):
+    if any(part in lower for part in ASSIGN_PARTS):
         found += [(*m.span(), "assign", *m.span(2)) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6]
     if "AKIA" in text:
         found += [(*m.span(), "access", *m.span()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
@@ -77,18 +79,21 @@ def shapes(value: str) -> int:
 def novel_spans(text: str, taken: list[tuple[int, int]], reach: int = 48, least_ratio: float = 0.9) -> Iterator[tuple[int, int]]:
     """(start, end) of candidates no further than `reach` characters behind a sensitive word, free of taken spans, of two
     kinds of characters at least, whose marginal compressed bytes are least_ratio of their own or more."""
-    measure, done = Novelty(), 0
+    measure, done, covered = Novelty(), 0, sorted(taken)
+    starts = [a for a, _ in covered]
     for word in SENSITIVE.finditer(text):
-        if word.end() + reach <= done:
-            continue
-        for m in CANDIDATE.finditer(text, max(word.end(), done)):
-            start, end = m.span()
-            if start > word.end() + reach:
-                break
-            done = end
-            value = m.group().rstrip(".=!")
+        limit = word.end() + reach
+        at = max(word.end(), done)
+        # a candidate that starts in reach has its first 16 characters before limit + 16: no search goes further
+        while at <= limit and (begin := CANDIDATE.search(text, at, limit + 16)):
+            start, at = CANDIDATE.match(text, begin.start()).span()
+            done = at
+            value = text[start:at].rstrip(".=!")
             end = start + len(value)
-            if len(value) < 16 or shapes(value) < 2 or not any(c.isdigit() for c in value) or any(a < end and start < b for a, b in taken):
+            if len(value) < 16 or shapes(value) < 2 or not any(c.isdigit() for c in value):
+                continue
+            near = covered[max(0, bisect_left(starts, start) - len(KINDS)) : bisect_left(starts, end)]
+            if any(a < end and start < b for a, b in near):
                 continue
             before, after = text[max(0, start - measure.around) : start].encode(), text[end : end + measure.around].encode()
             data = value.encode()
@@ -100,9 +105,11 @@ def find_secrets(text: str | None) -> list[tuple[int, int, str, int, int]]:
     """All spans by start and kind: (start, end, kind, value start, value end) in code points; none for null and empty texts."""
     if not text:
         return []
-    found = base_spans(text)
-    taken = [x[:2] for x in found]
-    found += [(a, b, "novel", a, b) for a, b in novel_spans(text, taken)]
+    lower = text.lower()
+    found = base_spans(text, lower)
+    if any(part in lower for part in SENSITIVE_PARTS):
+        taken = [x[:2] for x in found]
+        found += [(a, b, "novel", a, b) for a, b in novel_spans(text, taken)]
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[2])))
 
 

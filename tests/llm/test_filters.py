@@ -117,6 +117,15 @@ def test_novelty_tells_random_from_known():
     assert secrets.find_secrets(None) == secrets.find_secrets("") == []
 
 
+def test_scan_of_long_texts_is_linear():
+    import time
+
+    began = time.process_time()
+    assert secrets.find_secrets("auth token " * 200_000) == []
+    assert len(secrets.find_secrets("password=abcdef0123456789 " * 20_000)) == 20_000
+    assert time.process_time() - began < 20
+
+
 def test_novel_spans_stay_beside_base_ones():
     text = "password=abcdef123456 and hex 0123456789abcdef01234567"
     assert [(k, text[a:b]) for a, b, k, *_ in secrets.find_secrets(text)] == [("assign", "password=abcdef123456"), ("hex", "0123456789abcdef01234567")]
