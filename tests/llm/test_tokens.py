@@ -23,7 +23,7 @@ def library(path):
 def test_backtracking_equals_library():
     own, other, pick = bpe.WordBpe(WORD), library(WORD), random.Random(3)
     texts = ODD + ["".join(pick.choice("abcdefghijklmnopqrstuvwxyz" * 3 + "ABC 'éß12.,$%&\n\t日本Σσİ") for _ in range(pick.randint(0, 60))) for _ in range(3000)]
-    texts += [f"A{chr(c)}a 1{chr(c)}1 {chr(c)}{chr(c)}." for c in [*range(0xD800), *range(0xE000, 0x110000, 331)]]
+    texts += [f"A{chr(c)}a 1{chr(c)}1 {chr(c)}{chr(c)}." for c in [*range(0x600), *range(0x600, 0xD800, 7), *range(0xE000, 0x110000, 331)]]
     for text in texts:
         ids = other.encode(text, add_special_tokens=False).ids
         got = own.encode(text)
@@ -56,7 +56,7 @@ def test_op2_over_frame(spark, docs, none, corpus):
 def test_byte_bpe_equals_library():
     own, other, plain = bytebpe.ByteBpe(BYTE), library(BYTE), library(BYTE)
     plain.encode_special_tokens = True
-    texts = ODD + ["a\n\n  b" + "\t" * 1000, " " * 3_000_000] + [f"a{chr(c)}a 1{chr(c)}1 {chr(c)}." for c in [*range(0x3000), *range(0xE000, 0x110000, 331)]]
+    texts = ODD + ["a\n\n  b" + "\t" * 1000, " " * 3_000_000] + [f"a{chr(c)}a 1{chr(c)}1 {chr(c)}." for c in [*range(0x600), *range(0x600, 0x3000, 5), *range(0xE000, 0x110000, 331)]]
     for text in texts:
         assert own.encode(text).tolist() == other.encode(text, add_special_tokens=False).ids
         assert own.encode(text, special=False).tolist() == plain.encode(text, add_special_tokens=False).ids
