@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pathloom.llm import chat, topk
+from pathloom.llm import chat, substring, topk
 from pathloom.llm.bpe import op2_bpe
 from pathloom.llm.chat import op9_chat
 from pathloom.llm.packing import op4_packing
@@ -24,4 +24,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_chat": chat.ORACLE, "op10_topk": topk.ORACLE}
+    return {"op6_substring": substring.ORACLE, "op9_chat": chat.ORACLE, "op10_topk": topk.ORACLE}
