@@ -222,7 +222,7 @@ def keep_good(docs: DataFrame, model: QualityModel) -> DataFrame:
             _, _, rejected = model.judge(table)
             yield part.filter(pa.array(~rejected & ~base_fails(table[:, 0], table[:, 4])))
 
-    return docs.mapInArrow(lambda batches: (out for batch in batches for out in run(batch)), docs.schema)
+    return per_batch(docs, run, docs.schema)
 
 
 def judge_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:

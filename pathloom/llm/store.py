@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -57,16 +59,31 @@ def delete_path(spark: SparkSession, path: str) -> None:
     jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jvm_path, True)
 
 
-def per_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
-    """Applies fn to each Arrow batch of df."""
+def give_back() -> None:
+    """Returns memory that a task has freed to the system: Python workers outlive their tasks, and an executor has several."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """mapInArrow, with memory given back at the end of each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield from fn(batch)
+        try:
+            yield from fn(batches)
+        finally:
+            give_back()
 
     return df.mapInArrow(run, schema)
 
 
+def per_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """Applies fn to each Arrow batch of df."""
+    return map_arrow(df, lambda batches: (out for batch in batches for out in fn(batch)), schema)
+
+
 def slices(batch: pa.RecordBatch, text_column: int, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts a batch so that each slice has about most_bytes of text at most; a single longer row is a slice of its own."""
     column = batch.column(text_column)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pathloom.llm.store import materialize, read_table, slices
+from pathloom.llm.store import map_arrow, materialize, read_table, slices
 from pathloom.llm.words import WORD, WORD_BYTES
 
 U = np.uint64
@@ -166,7 +166,7 @@ def mark(batches: Iterator[pa.RecordBatch], leaders: bool) -> Iterator[pa.Record
 
 def deal_and_mark(rows: DataFrame, leaders: bool) -> DataFrame:
     dealt = rows.repartition("a").sortWithinPartitions(*NAMES)
-    return dealt.mapInArrow(lambda batches: mark(batches, leaders), SCHEMA)
+    return map_arrow(dealt, lambda batches: mark(batches, leaders), SCHEMA)
 
 
 def doc_key(docs: DataFrame):
@@ -176,7 +176,7 @@ def doc_key(docs: DataFrame):
 def gathered(make: Callable, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Runs make on each row (as tuples) and combines what it gives for a batch."""
     for batch in batches:
-        parts = [x for row in zip(*(c.to_pylist() for c in batch.columns), strict=True) if (x := make(*row)) is not None]
+        parts = [x for part in slices(batch, 1) for row in zip(*(c.to_pylist() for c in part.columns), strict=True) if (x := make(*row)) is not None]
         if parts:
             yield firsts(*(np.concatenate(c) for c in zip(*parts, strict=True)))
 
@@ -194,7 +194,7 @@ def find_repeats(docs: DataFrame, window: int = 20, anchor: int = 6) -> DataFram
         return (signed(a), signed(b), np.full(len(a), doc, np.int64), pack_at(start, versions(data), count)) if len(a) else None
 
     texts = docs.select(doc_key(docs).alias("doc"), "text").filter(F.col("text").isNotNull())
-    seeds = texts.mapInArrow(lambda batches: gathered(spans, batches), SCHEMA)
+    seeds = map_arrow(texts, lambda batches: gathered(spans, batches), SCHEMA)
     marked = materialize(deal_and_mark(seeds, leaders=True), "substring-spans")
 
     def windows(doc: int, text: str, places: list[int]):
@@ -210,7 +210,7 @@ def find_repeats(docs: DataFrame, window: int = 20, anchor: int = 6) -> DataFram
         return signed(hashes.runs(at, window)), signed(hashes.runs(at, window, BASES[1])), np.full(len(at), doc, np.int64), pack_at(at, version, 1)
 
     leaders = marked.filter("not repeat").groupBy("doc").agg(F.collect_list("at").alias("places"))  # bounded by the document
-    extended = texts.join(leaders, "doc").select("doc", "text", "places").mapInArrow(lambda batches: gathered(windows, batches), SCHEMA)
+    extended = map_arrow(texts.join(leaders, "doc").select("doc", "text", "places"), lambda batches: gathered(windows, batches), SCHEMA)
     rest = deal_and_mark(extended, leaders=False)
     every = marked.filter("repeat").select("doc", "at").unionByName(rest.select("doc", "at"))
     return materialize(every.groupBy("doc").agg(F.collect_list("at").alias("repeats")), "substring-repeats")
@@ -266,7 +266,7 @@ def kept_words(docs: DataFrame, window: int = 20, anchor: int = 6) -> DataFrame:
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     joined = _with_repeats(narrow, find_repeats(narrow, window, anchor)).select("doc_id", "text", "__repeats")
-    return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, runs array<struct<start: long, end: long>>, kept string")
+    return map_arrow(joined, run, "doc_id long, n_words long, n_removed long, runs array<struct<start: long, end: long>>, kept string")
 
 
 def cut(text: str, runs: list[tuple[int, int]]) -> str:
@@ -302,7 +302,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, anchor: int = 6) -> DataFr
                 yield pa.RecordBatch.from_arrays(columns, schema=pa.schema(list(part.schema)[:n])).filter(pa.array(keep, pa.bool_()))
 
     joined = _with_repeats(docs, find_repeats(docs, window, anchor))
-    return joined.mapInArrow(run, T.StructType(docs.schema.fields))
+    return map_arrow(joined, run, T.StructType(docs.schema.fields))
 
 
 def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from pathloom.llm.bpe import default_path
 from pathloom.llm.bytebpe import byte_bpe
-from pathloom.llm.store import materialize, new_path, read_table, slices
+from pathloom.llm.store import map_arrow, materialize, new_path, read_table, slices
 
 
 def write_flat_files(docs: DataFrame, path: str, folder: str, end_id: int, width: int = 2) -> DataFrame:
@@ -43,7 +43,7 @@ def write_flat_files(docs: DataFrame, path: str, folder: str, end_id: int, width
         else:
             store.delete_file(attempt)
 
-    return materialize(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "path string, ordinal long, doc_id long"), "flat-order")
+    return materialize(map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, "path string, ordinal long, doc_id long"), "flat-order")
 
 
 def file_sizes(paths: DataFrame) -> DataFrame:
@@ -58,7 +58,7 @@ def file_sizes(paths: DataFrame) -> DataFrame:
                 sizes.append(store.get_file_info(name).size)
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(sizes, pa.int64())], ["path", "bytes"])
 
-    return paths.select("path").mapInArrow(run, "path string, bytes long")
+    return map_arrow(paths.select("path"), run, "path string, bytes long")
 
 
 def count_tokens(files: DataFrame, end_id: int, width: int = 2, block_bytes: int = 4 << 20) -> DataFrame:
@@ -87,7 +87,7 @@ def count_tokens(files: DataFrame, end_id: int, width: int = 2, block_bytes: int
                     [pa.array([row["path"]] * len(ends), pa.string()), pa.array([row["block"]] * len(ends), pa.int64()), pa.array(np.arange(len(ends))), pa.array(ends)], ["path", "block", "nth", "end"]
                 )
 
-    found = materialize(blocks.repartition(tasks).mapInArrow(run, "path string, block long, nth long, end long"), "separators")
+    found = materialize(map_arrow(blocks.repartition(tasks), run, "path string, block long, nth long, end long"), "separators")
     sums = found.groupBy("path", "block").agg(F.count(F.lit(1)).alias("n"), F.max("end").alias("last"))
     before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row for each block
     sums = sums.select(

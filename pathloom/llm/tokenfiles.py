@@ -22,7 +22,7 @@ from pyspark.sql.window import Window
 
 from pathloom.llm.bpe import default_path
 from pathloom.llm.bytebpe import byte_bpe
-from pathloom.llm.store import bounded_sample, materialize, new_path, read_table, slices
+from pathloom.llm.store import bounded_sample, map_arrow, materialize, new_path, read_table, slices
 
 MAGIC = b"LOOMZID1"
 NO_ID = -(1 << 63)  # stands for a null doc_id in the index
@@ -97,7 +97,7 @@ def write_token_files(docs: DataFrame, path: str, folder: str, dictionary: bytes
             store.delete_file(attempt)
 
     ranged = docs.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
-    return materialize(ranged.mapInArrow(run, "file_no long, path string, n_docs long, n_ids long"), "token-files")
+    return materialize(map_arrow(ranged, run, "file_no long, path string, n_docs long, n_ids long"), "token-files")
 
 
 class TokenFile:
@@ -162,7 +162,7 @@ def read_token_files(files: DataFrame, dictionary: bytes) -> DataFrame:
                     yield make(rows)
 
     tasks = max(1, min(files.count(), 20_000))
-    return placed.repartition(tasks).mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    return map_arrow(placed.repartition(tasks), run, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:

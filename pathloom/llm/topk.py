@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pathloom.llm.store import bounded_sample, materialize, read_table
+from pathloom.llm.store import bounded_sample, map_arrow, materialize, read_table
 
 EXACT = float(1 << 53)
 
@@ -41,7 +41,7 @@ def quantized(spark: SparkSession, vectors: DataFrame, scale: int = 256) -> Data
     usable = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     rows = rows.filter(F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & usable)
-    return rows.mapInArrow(run, "vec_id long, dim int, bucket int, norm double, v binary")
+    return map_arrow(rows, run, "vec_id long, dim int, bucket int, norm double, v binary")
 
 
 def blocks(rows: DataFrame, key: list[str], size: int, extra: list[Column]) -> DataFrame:
@@ -165,7 +165,7 @@ def top_k(spark: SparkSession, vectors: DataFrame, is_query: Column, k: int = 5,
                     theta[at] = kth_best(scores, k)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(theta)], ["vec_id", "dim", "norm", "v", "theta"])
 
-    queries = rows.filter(is_query).select("vec_id", "dim", "norm", "v").distinct().mapInArrow(thresholds, "vec_id long, dim int, norm double, v binary, theta long")
+    queries = map_arrow(rows.filter(is_query).select("vec_id", "dim", "norm", "v").distinct(), thresholds, "vec_id long, dim int, norm double, v binary, theta long")
     # queries of like need are put together: how long a candidate must be at least
     need = F.when(F.col("norm") > 0, F.col("theta") / F.col("norm")).when(F.col("theta") > 0, F.lit(float("inf"))).otherwise(F.lit(float("-inf")))
     queries = queries.withColumn("need", need).withColumn("bucket", F.when(F.col("need") > 1, F.ceil(F.ln(F.least("need", F.lit(1e300))) / F.ln(F.lit(1.1)))).otherwise(0).cast("int"))
@@ -187,7 +187,7 @@ def top_k(spark: SparkSession, vectors: DataFrame, is_query: Column, k: int = 5,
                 at, which, score = search_block(q_ids, as_matrix(q_vs, dim), np.array(thetas, np.int64), ids, as_matrix(vs, dim), most, k)
                 yield pa.RecordBatch.from_arrays([pa.array(q_ids[at]), pa.array(ids[which]), pa.array(score)], ["query_id", "vec_id", "score"])
 
-    found = met.mapInArrow(search, "query_id long, vec_id long, score long")
+    found = map_arrow(met, search, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
