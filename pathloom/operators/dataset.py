@@ -62,7 +62,7 @@ def dataset_stats(df: DataFrame, group: str, rows_before: int | None = None) ->
 
 
 def unprocessed(all_rows: DataFrame, done: DataFrame, key: str) -> DataFrame:
-    return all_rows.join(done.select(key).distinct(), key, "left_anti")
+    return all_rows.join(done.select(key), key, "left_anti")
 
 
 def combine_positives_negatives(positives: DataFrame, negatives: DataFrame, key: str, seq: str) -> DataFrame:

@@ -36,7 +36,7 @@ def broader_edges(skills: DataFrame) -> DataFrame:
 def connected(edges: DataFrame, ends: dict[str, tuple[DataFrame, str]]) -> DataFrame:
     """Edges whose ends all exist: column -> (vertices, key)."""
     for column, (vertices, key) in ends.items():
-        edges = edges.join(vertices.select(F.col(key).alias(column)).distinct(), column, "left_semi")
+        edges = edges.join(vertices.select(F.col(key).alias(column)), column, "left_semi")
     return edges
 
 

@@ -19,8 +19,8 @@ def courses_by_skill(graph: Graph, skill_id, limit: int = 10) -> DataFrame:
 
 def courses_for_skills(graph: Graph, ids: DataFrame) -> DataFrame:
     """Each course once that teaches any of the skills."""
-    taught = graph.teaches.join(ids.select("skill_id").distinct(), "skill_id", "left_semi")
-    return graph.courses.join(taught.select("course_id").distinct(), "course_id", "left_semi")
+    taught = graph.teaches.join(ids.select("skill_id"), "skill_id", "left_semi")
+    return graph.courses.join(taught.select("course_id"), "course_id", "left_semi")
 
 
 def skill_lists(edges: DataFrame, skills: DataFrame, name: str) -> DataFrame:

@@ -48,7 +48,7 @@ def get_skill(skills: DataFrame, skill_id) -> DataFrame:
 
 def skill_details(skills: DataFrame, ids: DataFrame) -> DataFrame:
     """The known ones of the ids (column skill_id)."""
-    return skills.join(ids.select("skill_id").distinct(), "skill_id", "left_semi").select("skill_id", "preferred_label", "description", "skill_type")
+    return skills.join(ids.select("skill_id"), "skill_id", "left_semi").select("skill_id", "preferred_label", "description", "skill_type")
 
 
 def resolve_names(skills: DataFrame, names: DataFrame) -> DataFrame:
