@@ -113,10 +113,12 @@ def link_quotations(messages: DataFrame, bucket_turns: int = 256) -> DataFrame:
     linked = quotes.join(originals, ["conv", "hash"]).filter("original < position")
     replies = linked.groupBy("conv", "position").agg(F.count(F.lit(1)).alias("n_linked"), F.max(F.struct(-F.col("level"), "original"))["original"].alias("original"))
 
-    joined = parsed.join(replies, ["conv", "position"], "left")
-    joined = joined.withColumn("parent_position", F.coalesce("original", F.when(F.col("position") > 1, F.col("position") - 1)))
+    # replies and branches are worked out on positions alone; the bodies are joined to them once
+    places = parsed.select("conv", "bucket", "position").join(replies, ["conv", "position"], "left")
+    places = places.withColumn("parent_position", F.coalesce("original", F.when(F.col("position") > 1, F.col("position") - 1)))
     jumps = F.when((F.col("position") == 1) | (F.col("parent_position") != F.col("position") - 1), 1).otherwise(0)
-    out = running_sum(joined, "conv", "bucket", ["position"], jumps, "branch")
+    branches = running_sum(places, "conv", "bucket", ["position"], jumps, "branch").select("conv", "position", "parent_position", "branch", "n_linked")
+    out = parsed.join(branches, ["conv", "position"])
     role = F.coalesce("role", F.lit(""))
     return out.select(
         "conv_id", "turn", "role", "position", "parent_position", "branch", F.size("passages").cast("long").alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"),
