@@ -59,8 +59,9 @@ def cosine_top_k(queries: DataFrame, items: DataFrame, k: int, digits: int | Non
     k = max(1, k)
     id_type = items.schema["id"].dataType
     q, c = queries.select("id", "vector").filter("vector is not null"), items.select("id", "vector").filter("vector is not null")
-    item_blocks = in_blocks(c, item_rows, c.count())
-    n_blocks = F.sequence(F.lit(0), F.lit(max(0, -(-c.count() // item_rows) - 1)))
+    n_items = c.count()
+    item_blocks = in_blocks(c, item_rows, n_items)
+    n_blocks = F.sequence(F.lit(0), F.lit(max(0, -(-n_items // item_rows) - 1)))
     query_blocks = in_blocks(q, query_rows, q.count()).select(F.col("rows").alias("query_rows"), F.explode(n_blocks).alias("block"))
     met = query_blocks.join(item_blocks, "block").select("query_rows", "rows")
     query_kind = queries.schema["id"].dataType

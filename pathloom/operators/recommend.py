@@ -63,20 +63,20 @@ def in_degrees(courses: DataFrame, edges: DataFrame) -> DataFrame:
 def prerequisite_levels(courses: DataFrame, edges: DataFrame) -> DataFrame:
     """course_id, prerequisite_level: the wave in which all that comes before is done. Courses on a cycle or behind one have level 0.
 
-    One round for each wave; a round counts edges left at a course and hands the solved ones on.
+    One round for each wave, one table written in each: a course is solved if no course before it is left unsolved.
     """
-    left = cut_lineage(courses.select("course_id").distinct())
+    nodes = cut_lineage(courses.select("course_id").distinct().withColumn("prerequisite_level", F.lit(None).cast("int")))
     edges = cut_lineage(edges.filter("before <> after").select("before", "after").distinct())
-    solved, level = left.limit(0).withColumn("prerequisite_level", F.lit(0)), 0
+    wave = 0
     while True:
-        wave = cut_lineage(left.join(edges.select(F.col("after").alias("course_id")).distinct(), "course_id", "left_anti"))
-        if wave.isEmpty():
-            break
-        solved = solved.unionByName(wave.withColumn("prerequisite_level", F.lit(level)))
-        left = cut_lineage(left.join(wave, "course_id", "left_anti"))
-        edges = cut_lineage(edges.join(wave.select(F.col("course_id").alias("before")), "before", "left_anti"))
-        level += 1
-    return solved.unionByName(left.withColumn("prerequisite_level", F.lit(0)))
+        left = nodes.filter("prerequisite_level is null").select(F.col("course_id").alias("before"))
+        blocked = edges.join(left, "before", "left_semi").select(F.col("after").alias("course_id")).distinct().withColumn("_blocked", F.lit(True))
+        solved = F.col("prerequisite_level").isNull() & F.col("_blocked").isNull()
+        level = F.when(solved, F.lit(wave)).otherwise(F.col("prerequisite_level"))
+        found = cut_lineage(nodes.join(blocked, "course_id", "left").select("course_id", level.alias("prerequisite_level")))
+        if found.filter(F.col("prerequisite_level") == wave).isEmpty():
+            return nodes.select("course_id", F.coalesce("prerequisite_level", F.lit(0)).alias("prerequisite_level"))
+        nodes, wave = found, wave + 1
 
 
 def recommend_courses(graph: Graph, skill_ids: DataFrame | None = None, skill_names: DataFrame | None = None, max_courses: int = 10, order: str = "as_observed") -> DataFrame:
