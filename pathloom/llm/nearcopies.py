@@ -25,6 +25,7 @@ from pathloom.llm.words import WORD_BYTES
 
 U = np.uint64
 BITS = 1024
+TILE = 2048
 SALTS = np.arange(1, BITS // 64 + 1, dtype=U) * U(0x9E3779B97F4A7C15)
 
 
@@ -81,16 +82,65 @@ def close_in_bucket(ids: np.ndarray, head: np.ndarray, limit: int) -> tuple[np.n
     return np.concatenate(a), np.concatenate(b)
 
 
+def across(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """All pairs of a tile that are of different roots and agree in their first 64 bits. Rows come sorted by (key, i, j)."""
+    rest = [np.empty(0, np.int64)] * 7
+
+    def tile(i: int, j: int, side: np.ndarray, ids: np.ndarray, root: np.ndarray, head: np.ndarray) -> Iterator[pa.RecordBatch]:
+        rows, columns = (np.flatnonzero(side == x) for x in (i, j))
+        for at in range(0, len(rows), 256):
+            x = rows[at : at + 256]
+            good = (np.bitwise_count(head[x, None] ^ head[None, columns]) <= limit) & (root[x, None] != root[None, columns])
+            if i == j:
+                good &= ids[x, None] < ids[None, columns]
+            a, b = np.nonzero(good)
+            if len(a):
+                a, b = ids[x[a]], ids[columns[b]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    def tiles(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        key, i, j, side, ids, root, head = rows
+        edges = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+        for s, e in zip([0, *edges.tolist()], [*edges.tolist(), len(key)], strict=True):
+            yield from tile(int(i[s]), int(j[s]), side[s:e], ids[s:e], root[s:e], head[s:e].view(U))
+
+    for batch in batches:
+        rows = [np.concatenate((r, batch.column(k).to_numpy())) for k, r in enumerate(rest)]
+        if not len(rows[0]):
+            continue
+        other = np.flatnonzero((rows[0] != rows[0][-1]) | (rows[1] != rows[1][-1]) | (rows[2] != rows[2][-1]))
+        cut = int(other[-1]) + 1 if len(other) else 0
+        if cut:
+            yield from tiles([x[:cut] for x in rows])
+        rest = [x[cut:] for x in rows]
+    if len(rest[0]):
+        yield from tiles(rest)
+
+
+def across_components(members: DataFrame, roots: DataFrame, limit: int) -> DataFrame:
+    """a, b: the pairs that share a key in members (key, id, head), are of different components (node, root) and agree in
+    the first 64 bits. A key of very many members is dealt in tiles of which each pair of members meets in one."""
+    named = members.join(roots, members["id"] == roots["node"], "left").select("key", "id", "head", F.coalesce("root", "id").alias("root"))
+    named = materialize(named, "nearcopies-members")
+    sizes = named.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y")
+    parts = sizes.select("key", F.ceil(F.col("n") / TILE).alias("parts"))
+    dealt = named.join(parts, "key").withColumn("side", F.pmod(F.xxhash64("id"), F.col("parts"))).withColumn("to", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.select("key", *(f("side", F.col("to").cast("long")).alias(n) for f, n in ((F.least, "i"), (F.greatest, "j"))), "side", "id", "root", "head")
+    dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
+    return map_arrow(dealt, lambda batches: across(batches, limit), "a long, b long")
+
+
 def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, recall: float = 0.97, all_pairs_up_to: int = 8, seed: int = SEED) -> DataFrame:
     """doc_id, component_id for the rows of docs that have a doc_id: linked are texts of a similarity of about `similarity` or more.
 
     Equal fingerprints are one member. Members that share a block, and differ in as many of the first 64 bits as the
-    similarity allows, are candidates: in a bucket of up to all_pairs_up_to members all pairs, in a larger one, as a large
-    group of copies makes it, each member with the nearest of those before it, so that work and links stay linear in the
-    group; as a group shares many buckets, its members have many such links. A candidate is a link if all 1024 bits
-    agree well enough, 1.5 standard deviations included. component_id is the smallest doc_id that links reach. Null and
-    empty texts are alike. Rows that repeat a doc_id have a row each and may name different components. Empty tables give
-    an empty result.
+    similarity allows, are candidates. In a bucket of up to all_pairs_up_to members these are all pairs. Larger ones are
+    gone through twice: first each member is paired with the nearest of those before it, which ties a large group of
+    copies together by few links; then all pairs of members whom the links so far leave in different components are
+    compared, in square tiles of about 2 * TILE members at most, whatever the bucket's size. A candidate is a link if all
+    1024 bits agree well enough, 1.5 standard deviations included. component_id is the smallest doc_id that links reach.
+    Null and empty texts are alike. Rows that repeat a doc_id have a row each and may name different components. Empty
+    tables give an empty result.
     """
 
     def prints(batch: pa.RecordBatch):
@@ -117,26 +167,35 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, reca
             yield pa.RecordBatch.from_arrays([pa.array(own.ravel()), pa.array(np.repeat(ids[at : at + n], blocks)), pa.array(np.repeat(head, blocks))], ["key", "id", "head"])
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by key; a bucket that a batch cuts goes on with the next, in parts of 4096 that share their first member."""
-        rest = [np.empty(0, np.int64)] * 3
+        """First links, and the members of large buckets (big, with a the key and b the member) for across().
+
+        Rows come sorted by key; a bucket that a batch cuts goes on with the next, in parts of 4096 that share their first member.
+        """
+        rest, hot = [np.empty(0, np.int64)] * 3, None
 
         def links(key: np.ndarray, ids: np.ndarray, head: np.ndarray) -> pa.RecordBatch:
             start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.empty(0, np.int64)
             sizes = np.diff(np.append(start, len(key)))
-            few = np.repeat(sizes <= all_pairs_up_to, sizes)
+            large = sizes > all_pairs_up_to
+            if hot is not None and len(key):
+                large |= key[start] == hot  # the end of a bucket whose members before are large already
+            few = np.repeat(~large, sizes)
             a, b = [], []
             for off in range(1, all_pairs_up_to):
                 near = np.flatnonzero((key[:-off] == key[off:]) & few[off:] & (np.bitwise_count(head[:-off] ^ head[off:]) <= limit)) if len(key) > off else []
                 a.append(ids[near])
                 b.append(ids[np.asarray(near, np.int64) + off])
-            for s, n in zip(start[sizes > all_pairs_up_to].tolist(), sizes[sizes > all_pairs_up_to].tolist(), strict=True):
+            for s, n in zip(start[large].tolist(), sizes[large].tolist(), strict=True):
                 for at in range(0, n, 4096):
                     own = np.concatenate(([s] * bool(at), np.arange(s + at, s + min(at + 4096, n)))).astype(np.int64)
+                    if len(own) < 2:
+                        continue
                     x, y = close_in_bucket(ids[own], head[own], limit)
                     a.append(x)
                     b.append(y)
             a, b = np.concatenate(a), np.concatenate(b)
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+            columns = [np.repeat([False, True], [len(a), (~few).sum()]), *(np.concatenate(x) for x in ((np.minimum(a, b), key[~few]), (np.maximum(a, b), ids[~few]), (np.zeros(len(a), np.int64), head[~few].view(np.int64))))]
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["big", "a", "b", "head"])
 
         for batch in batches:
             key, ids, head = (np.concatenate((r, batch.column(i).to_numpy())) for i, r in enumerate(rest))
@@ -145,6 +204,7 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, reca
             cut = int(np.searchsorted(key, key[-1]))
             if len(key) - cut > 1 << 16:  # a bucket of very many: what is there is linked, its first member stays for the rest
                 yield links(key, ids, head.view(U))
+                hot = key[-1]
                 rest = [x[cut : cut + 1] for x in (key, ids, head)]
             else:
                 yield links(key[:cut], ids[:cut], head[:cut].view(U))
@@ -153,7 +213,7 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, reca
             yield links(rest[0], rest[1], rest[2].view(U))
 
     dealt = per_batch(groups.select("fp", "id"), keys, "key long, id long, head long").repartition("key").sortWithinPartitions("key", "id")
-    candidates = map_arrow(dealt, pairs, "a long, b long").filter("a < b").distinct()
+    found = materialize(map_arrow(dealt, pairs, "big boolean, a long, b long, head long"), "nearcopies-buckets")
     most = most_differing(BITS, similarity, 1.5)
 
     def verify(batch: pa.RecordBatch):
@@ -163,8 +223,15 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, reca
 
     # of several fingerprints under one id (rows that repeat a doc_id) any may pass
     of = lambda name, fp: groups.select(F.col("id").alias(name), F.col("fp").alias(fp))
-    both = candidates.join(of("a", "x"), "a").join(of("b", "y"), "b").select("a", "b", "x", "y")
-    links = materialize(per_batch(both, verify, "a long, b long"), "nearcopies-links")
+
+    def confirmed(candidates: DataFrame) -> DataFrame:
+        both = candidates.filter("a < b").distinct().join(of("a", "x"), "a").join(of("b", "y"), "b").select("a", "b", "x", "y")
+        return materialize(per_batch(both, verify, "a long, b long"), "nearcopies-links")
+
+    links = confirmed(found.filter("not big").select("a", "b"))
+    roots = connected_components(links)
+    large = found.filter("big").select(F.col("a").alias("key"), F.col("b").alias("id"), "head")
+    links = links.unionByName(confirmed(across_components(large, roots, limit)))
     labels = connected_components(links)
     # the smallest node of a component is its smallest doc_id, as members go by the smallest of theirs
     named = groups.join(labels, groups["id"] == labels["node"], "left").select("fp", F.coalesce("root", "id").alias("component_id"))

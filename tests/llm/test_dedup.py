@@ -145,6 +145,35 @@ def test_near_copies_of_large_groups(spark):
     assert nearcopies.near_copies(frame.limit(0)).count() == 0
 
 
+def template_family(pick, size, common, private, pairs):
+    """Texts of one template with words of their own; the last `pairs` share most of these with the ones before them."""
+    words = lambda n: [f"u{pick.getrandbits(60)}" for _ in range(n)]
+    template = words(common)
+    own = [words(private) for _ in range(size - pairs)]
+    own += [x[: private - 24] + words(24) for x in own[-pairs:]]
+    return [(i, " ".join(template + x)) for i, x in enumerate(own)], [(size - 2 * pairs + i, size - pairs + i) for i in range(pairs)]
+
+
+def test_near_copies_within_a_template_family(spark):
+    """Pairs of over 0.8 in buckets full of texts of some 0.65."""
+    rows, pairs = template_family(random.Random(14), 1000, 320, 84, 60)
+    sets = {i: shingles(t) for i, t in rows if i >= 880}
+    assert all(0.8 <= jaccard(sets[a], sets[b]) < 0.9 for a, b in pairs) and 0.6 < jaccard(sets[880], sets[881]) < 0.7
+    got = {r["doc_id"]: r["component_id"] for r in nearcopies.near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert sum(got[a] == got[b] for a, b in pairs) >= 0.95 * len(pairs)
+
+
+@pytest.mark.parametrize("tile", [7, 2048])
+def test_tiles_meet_all_pairs(spark, monkeypatch, tile):
+    """Every pair of a key whose roots differ comes out once."""
+    monkeypatch.setattr(nearcopies, "TILE", tile)
+    members = spark.createDataFrame([(k, i, 5) for k, n in ((1, 60), (2, 9), (3, 1)) for i in range(n)], "key long, id long, head long")
+    roots = spark.createDataFrame([(i, i % 3) for i in range(0, 60, 2)], "node long, root long")
+    root = {i: i if i % 2 else i % 3 for i in range(60)}
+    got = sorted(tuple(r) for r in nearcopies.across_components(members, roots, 0).collect())
+    assert got == sorted((a, b) for n in (60, 9) for b in range(n) for a in range(b) if root[a] != root[b])
+
+
 def test_components_of_long_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(0, 300)] + [(1000, 1000 + i) for i in range(1, 200)] + [(5000, 5001), (5001, 5000), (5000, 5000)]
     random.Random(1).shuffle(edges)
