@@ -26,20 +26,28 @@ from pathloom.llm.words import WORD_BYTES
 U = np.uint64
 BITS = 1024
 TILE = 2048
+ROW = ("doc_id", "h1", "h2")  # what tells a text from others, also of its doc_id
 SALTS = np.arange(1, BITS // 64 + 1, dtype=U) * U(0x9E3779B97F4A7C15)
 
 
-def wide_simhash(text: str | None, shingle: int = 5, seed: int = SEED) -> bytes:
-    """1024 bits over the distinct word shingles, A-Z as a-z; all zero for texts without words and null."""
+def shingle_hashes(text: str | None, shingle: int = 5, seed: int = SEED) -> np.ndarray:
+    """The sorted hashes of the distinct word shingles, A-Z as a-z; none for texts without words and null."""
     found = WORD_BYTES.findall(text.encode("utf-8", "replace").translate(LOWER)) if text else []
     if not found:
-        return bytes(BITS // 8)
+        return np.empty(0, U)
     joined = b" ".join(found)
     ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1)
     last = min(shingle, len(found)) - 1
     starts = np.concatenate(([0], ends))[: len(found) - last].tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.unique(np.array([digest(joined[a:b], seed) for a, b in zip(starts, (ends[last:] - 1).tolist(), strict=True)], U))
+    return np.unique(np.array([digest(joined[a:b], seed) for a, b in zip(starts, (ends[last:] - 1).tolist(), strict=True)], U))
+
+
+def wide_simhash(text: str | None, shingle: int = 5, seed: int = SEED) -> bytes:
+    """1024 bits over the distinct word shingles; all zero for texts without words and null."""
+    hashes = shingle_hashes(text, shingle, seed)
+    if not len(hashes):
+        return bytes(BITS // 8)
     counts = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), 2048):  # bounded memory for very long texts
         x = hashes[at : at + 2048, None] + SALTS
@@ -50,6 +58,11 @@ def wide_simhash(text: str | None, shingle: int = 5, seed: int = SEED) -> bytes:
     return np.packbits(2 * counts > len(hashes)).tobytes()
 
 
+def text_hashes(text: str = "text") -> list:
+    """128 bits of a text, in two columns."""
+    return [F.xxhash64(F.lit(i), F.col(text)).alias(f"h{i}") for i in (1, 2)]
+
+
 def differing_share(similarity: float) -> float:
     """The share of bits in which fingerprints of this Jaccard similarity differ, at most."""
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
@@ -131,14 +144,15 @@ def across_components(members: DataFrame, roots: DataFrame, limit: int) -> DataF
 
 
 def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, recall: float = 0.97, all_pairs_up_to: int = 8, seed: int = SEED) -> DataFrame:
-    """doc_id, component_id for the rows of docs that have a doc_id: linked are texts of a similarity of about `similarity` or more.
+    """doc_id, component_id for the rows of docs that have a doc_id: linked are texts of a similarity of `similarity` or more.
 
     Equal fingerprints are one member. Members that share a block, and differ in as many of the first 64 bits as the
     similarity allows, are candidates. In a bucket of up to all_pairs_up_to members these are all pairs. Larger ones are
     gone through twice: first each member is paired with the nearest of those before it, which ties a large group of
     copies together by few links; then all pairs of members whom the links so far leave in different components are
-    compared, in square tiles of about 2 * TILE members at most, whatever the bucket's size. A candidate is a link if all
-    1024 bits agree well enough, 1.5 standard deviations included. component_id is the smallest doc_id that links reach.
+    compared, in square tiles of about 2 * TILE members at most, whatever the bucket's size. Candidates whose
+    1024 bits agree well enough, 4 standard deviations included, are compared by the Jaccard similarity of their shingle
+    hashes, and are a link if that is `similarity` or more; no estimate makes a link. component_id is the smallest doc_id that links reach.
     Null and empty texts are alike. Rows that repeat a doc_id have a row each and may name different components. Empty
     tables give an empty result.
     """
@@ -146,15 +160,17 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, reca
     def prints(batch: pa.RecordBatch):
         for part in slices(batch, 1):
             found = [wide_simhash(t, shingle, seed) for t in part.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in (0, 2, 3)), pa.array(found, pa.binary())], [*ROW, "fp"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
-    fps = materialize(per_batch(rows, prints, "doc_id long, fp binary"), "nearcopies-fingerprints")
-    groups = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("id")), "nearcopies-groups")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *text_hashes()).filter("doc_id is not null")
+    fps = materialize(per_batch(rows, prints, "doc_id long, h1 long, h2 long, fp binary"), "nearcopies-fingerprints")
+    # of a fingerprint's texts the first speaks for all: texts of one fingerprint have the same shingles, but for one in very many
+    groups = fps.groupBy("fp").agg(F.min(F.struct(*ROW)).alias("first"))
+    groups = materialize(groups.select("fp", F.monotonically_increasing_id().alias("id"), "first"), "nearcopies-groups")
     width, blocks = plan_blocks(groups.count(), similarity, recall)
     places = np.random.default_rng(seed).integers(0, BITS, (blocks, width))
     powers = 1 << np.arange(width, dtype=np.int64)
-    limit = most_differing(64, similarity, 3)
+    limit = most_differing(64, similarity, 4)
 
     def keys(batch: pa.RecordBatch):
         ids = np.asarray(batch.column(1))
@@ -214,25 +230,44 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, reca
 
     dealt = per_batch(groups.select("fp", "id"), keys, "key long, id long, head long").repartition("key").sortWithinPartitions("key", "id")
     found = materialize(map_arrow(dealt, pairs, "big boolean, a long, b long, head long"), "nearcopies-buckets")
-    most = most_differing(BITS, similarity, 1.5)
+    most = most_differing(BITS, similarity, 4)
 
     def verify(batch: pa.RecordBatch):
         x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), U).reshape(-1, BITS // 64) for i in (2, 3))
         good = np.bitwise_count(x ^ y).sum(axis=1) <= most
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good))
 
-    # of several fingerprints under one id (rows that repeat a doc_id) any may pass
+    def sets(batch: pa.RecordBatch):
+        for part in slices(batch, 1):
+            found = [shingle_hashes(t, shingle, seed).tobytes() for t in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary())], ["id", "set"])
+
+    def compare(batch: pa.RecordBatch):
+        good = []
+        for x, y in zip(batch.column(2), batch.column(3), strict=True):
+            x, y = (np.frombuffer(v.as_py(), U) for v in (x, y))
+            both = len(x) + len(y) - len(np.unique(np.concatenate((x, y))))
+            good.append(both >= similarity * (len(x) + len(y) - both))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+
     of = lambda name, fp: groups.select(F.col("id").alias(name), F.col("fp").alias(fp))
 
     def confirmed(candidates: DataFrame) -> DataFrame:
         both = candidates.filter("a < b").distinct().join(of("a", "x"), "a").join(of("b", "y"), "b").select("a", "b", "x", "y")
-        return materialize(per_batch(both, verify, "a long, b long"), "nearcopies-links")
+        close = materialize(per_batch(both, verify, "a long, b long"), "nearcopies-candidates")
+        asked = close.select(F.col("a").alias("id")).unionByName(close.select(F.col("b").alias("id"))).distinct()
+        asked = groups.join(asked, "id", "left_semi").select("id", *(F.col(f"first.{c}").alias(c) for c in ROW))
+        texts = rows.join(asked, [rows[c].eqNullSafe(asked[c]) for c in ROW]).select("id", "text").dropDuplicates(["id"])
+        known = materialize(per_batch(texts, sets, "id long, set binary"), "nearcopies-sets")
+        own = lambda name, value: known.select(F.col("id").alias(name), F.col("set").alias(value))
+        both = close.join(own("a", "x"), "a").join(own("b", "y"), "b").select("a", "b", "x", "y")
+        return materialize(per_batch(both, compare, "a long, b long"), "nearcopies-links")
 
     links = confirmed(found.filter("not big").select("a", "b"))
     roots = connected_components(links)
     large = found.filter("big").select(F.col("a").alias("key"), F.col("b").alias("id"), "head")
     links = links.unionByName(confirmed(across_components(large, roots, limit)))
     labels = connected_components(links)
-    # the smallest node of a component is its smallest doc_id, as members go by the smallest of theirs
-    named = groups.join(labels, groups["id"] == labels["node"], "left").select("fp", F.coalesce("root", "id").alias("component_id"))
-    return fps.join(named, "fp").select("doc_id", "component_id")
+    named = groups.join(labels, groups["id"] == labels["node"], "left").select("fp", "first", F.coalesce("root", "id").alias("root"))
+    smallest = named.groupBy("root").agg(F.min("first.doc_id").alias("component_id"))
+    return fps.join(named.join(smallest, "root").select("fp", "component_id"), "fp").select("doc_id", "component_id")

@@ -150,7 +150,7 @@ def template_family(pick, size, common, private, pairs):
     words = lambda n: [f"u{pick.getrandbits(60)}" for _ in range(n)]
     template = words(common)
     own = [words(private) for _ in range(size - pairs)]
-    own += [x[: private - 24] + words(24) for x in own[-pairs:]]
+    own += [x[: private - 24] + words(24) for x in own[len(own) - pairs :]]
     return [(i, " ".join(template + x)) for i, x in enumerate(own)], [(size - 2 * pairs + i, size - pairs + i) for i in range(pairs)]
 
 
@@ -163,6 +163,16 @@ def test_near_copies_within_a_template_family(spark):
     assert sum(got[a] == got[b] for a, b in pairs) >= 0.95 * len(pairs)
 
 
+def test_near_copies_keep_families_below_the_limit_apart(spark):
+    """Texts of 0.7 to 0.79 aren't linked, neither directly nor over others."""
+    rows, _ = template_family(random.Random(15), 150, 350, 50, 0)
+    sets = [shingles(t) for _, t in rows[:2]]
+    assert 0.7 < jaccard(*sets) < 0.79
+    rows.append((1000, rows[3][1] + " end"))
+    got = {r["doc_id"]: r["component_id"] for r in nearcopies.near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == {i: 3 if i == 1000 else i for i, _ in rows}
+
+
 @pytest.mark.parametrize("tile", [7, 2048])
 def test_tiles_meet_all_pairs(spark, monkeypatch, tile):
     """Every pair of a key whose roots differ comes out once."""
