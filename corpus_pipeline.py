@@ -8,10 +8,9 @@ anything but its docs.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from pathloom.llm.bpe import default_path
-from pathloom.llm.nearcopies import near_copies
+from pathloom.llm.nearcopies import without_near_copies
 from pathloom.llm.packing import pack_documents
 from pathloom.llm.quality import document_stats, fit_quality, keep_good
 from pathloom.llm.secrets import redact_documents
@@ -27,11 +26,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest doc_id of each group of near copies stays: a similarity of 0.8 or more on five-word
-    shingles. Of rows that repeat a doc_id one stays at most. Rows without doc_id stay, as they can't be told apart."""
-    found = near_copies(docs)
-    kept = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__kept")).distinct()
-    with_id = docs.join(kept, docs["doc_id"] == kept["__kept"], "left_semi").dropDuplicates(["doc_id"])
-    return with_id.unionByName(docs.filter(F.col("doc_id").isNull()))
+    shingles. Rows are told apart by doc_id and text: unlike texts of one doc_id are documents of their own, and so are
+    those without doc_id, which come last."""
+    return without_near_copies(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

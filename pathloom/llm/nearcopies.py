@@ -143,8 +143,9 @@ def across_components(members: DataFrame, roots: DataFrame, limit: int) -> DataF
     return map_arrow(dealt, lambda batches: across(batches, limit), "a long, b long")
 
 
-def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, recall: float = 0.97, all_pairs_up_to: int = 8, seed: int = SEED) -> DataFrame:
-    """doc_id, component_id for the rows of docs that have a doc_id: linked are texts of a similarity of `similarity` or more.
+def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, recall: float = 0.97, all_pairs_up_to: int = 8, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, h1, h2 and fp of each row of docs; fp, first and root of each fingerprint): linked are texts of a similarity
+    of `similarity` or more, those that links reach have one root. first is the smallest (doc_id is null, doc_id, h1, h2).
 
     Equal fingerprints are one member. Members that share a block, and differ in as many of the first 64 bits as the
     similarity allows, are candidates. In a bucket of up to all_pairs_up_to members these are all pairs. Larger ones are
@@ -152,9 +153,7 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, reca
     copies together by few links; then all pairs of members whom the links so far leave in different components are
     compared, in square tiles of about 2 * TILE members at most, whatever the bucket's size. Candidates whose
     1024 bits agree well enough, 4 standard deviations included, are compared by the Jaccard similarity of their shingle
-    hashes, and are a link if that is `similarity` or more; no estimate makes a link. component_id is the smallest doc_id that links reach.
-    Null and empty texts are alike. Rows that repeat a doc_id have a row each and may name different components. Empty
-    tables give an empty result.
+    hashes, and are a link if that is `similarity` or more; no estimate makes a link. Null and empty texts are alike.
     """
 
     def prints(batch: pa.RecordBatch):
@@ -162,10 +161,10 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, reca
             found = [wide_simhash(t, shingle, seed) for t in part.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(part.column(i) for i in (0, 2, 3)), pa.array(found, pa.binary())], [*ROW, "fp"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *text_hashes()).filter("doc_id is not null")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *text_hashes())
     fps = materialize(per_batch(rows, prints, "doc_id long, h1 long, h2 long, fp binary"), "nearcopies-fingerprints")
     # of a fingerprint's texts the first speaks for all: texts of one fingerprint have the same shingles, but for one in very many
-    groups = fps.groupBy("fp").agg(F.min(F.struct(*ROW)).alias("first"))
+    groups = fps.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), *ROW)).alias("first"))
     groups = materialize(groups.select("fp", F.monotonically_increasing_id().alias("id"), "first"), "nearcopies-groups")
     width, blocks = plan_blocks(groups.count(), similarity, recall)
     places = np.random.default_rng(seed).integers(0, BITS, (blocks, width))
@@ -268,6 +267,26 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, reca
     large = found.filter("big").select(F.col("a").alias("key"), F.col("b").alias("id"), "head")
     links = links.unionByName(confirmed(across_components(large, roots, limit)))
     labels = connected_components(links)
-    named = groups.join(labels, groups["id"] == labels["node"], "left").select("fp", "first", F.coalesce("root", "id").alias("root"))
+    return fps, groups.join(labels, groups["id"] == labels["node"], "left").select("fp", "first", F.coalesce("root", "id").alias("root"))
+
+
+def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, recall: float = 0.97, all_pairs_up_to: int = 8, seed: int = SEED) -> DataFrame:
+    """doc_id, component_id for the rows of docs that have a doc_id, by near_groups.
+
+    component_id is the smallest doc_id that links reach. Rows that repeat a doc_id have a row each and may name different
+    components. Empty tables give an empty result.
+    """
+    fps, named = near_groups(docs.filter(F.col("doc_id").cast("long").isNotNull()), shingle, similarity, recall, all_pairs_up_to, seed)
     smallest = named.groupBy("root").agg(F.min("first.doc_id").alias("component_id"))
     return fps.join(named.join(smallest, "root").select("fp", "component_id"), "fp").select("doc_id", "component_id")
+
+
+def without_near_copies(docs: DataFrame) -> DataFrame:
+    """docs with one row of each component of near_groups: that of the smallest doc_id (null: the last), of several texts
+    under it the one of the smallest hash."""
+    _, named = near_groups(docs)
+    kept = named.groupBy("root").agg(F.min("first").alias("first")).select(*(F.col(f"first.{c}").alias(f"__kept_{c}") for c in ROW))
+    own = dict(zip(("h1", "h2"), text_hashes(), strict=True))
+    rows = docs.select("*", F.col("doc_id").cast("long").alias("__doc_id"), *(h.alias(f"__{c}") for c, h in own.items()))
+    found = rows.join(kept, [rows[f"__{c}"].eqNullSafe(kept[f"__kept_{c}"]) for c in ROW], "left_semi")
+    return found.dropDuplicates([f"__{c}" for c in ROW]).drop(*(f"__{c}" for c in ROW))

@@ -102,6 +102,15 @@ def test_nulls_repeats_and_clashes(spark, folder):
         assert stage(spark, none, folder).count() == 0
 
 
+def test_near_dedup_decides_by_text(spark):
+    """Unlike texts of one doc_id, or of none, stay; copies among them go."""
+    one, two, three, four = (" ".join(f"{c}{i}" for i in range(80)) for c in "abcd")
+    rows = [(1, one), (5, one + " more"), (5, two), (5, two), (6, two + " more"), (None, one), (None, three), (None, three), (None, three + " more"), (None, four), (9, four)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], COLUMNS).repartition(3)
+    got = sorted(((r["doc_id"] or 0, r["text"]) for r in corpus_pipeline.near_dedup(spark, docs, "").collect()))
+    assert got[0] in [(0, three), (0, three + " more")] and got[1:] == [(1, one), (5, two), (9, four)]
+
+
 def test_entry_points():
     found = __spark_entry__.queries()
     assert found["pipeline"] and {n.split("_")[0] for n in queries.queries()} == {f"op{i}" for i in range(1, 11)}
