@@ -1,16 +1,18 @@
-"""SimHash near-dedup for similarities well below one: wide fingerprints, sampled blocks, Hamming checks.
+"""SimHash near-dedup for similarities well below one: blocks of sampled shingles, Hamming check, exact similarity.
 
 Two texts of Jaccard similarity s on their shingle sets differ in a share of at most acos(2s / (1 + s)) / pi of their
-fingerprint's bits, 15 % for s = 0.8. That is too much for a pigeonhole split of 64 bits: eleven blocks of six bits would
-bring strangers together. So the fingerprint has 1024 bits, a block is a sample of them that is wide enough to keep
-strangers apart, and there are as many blocks as it takes for close pairs to share one with the recall asked for. Width and
-number follow from the number of fingerprints by a formula.
+SimHash's bits, 15 % for s = 0.8. That is too much for a pigeonhole split of 64 bits: eleven blocks of six bits would
+bring strangers together. So the blocks are SimHashes of their own, of 64 bits each: block j is the SimHash of a few
+shingles that min-wise hashing samples, the same ones in both texts with probability s each. Close pairs share a block
+whole, strangers share none, and neither the width nor the number of blocks depends on the number of documents. A
+further part of the fingerprint, over all shingles, serves the Hamming check.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,11 +22,13 @@ from pyspark.sql import functions as F
 
 from pathloom.llm.components import connected_components
 from pathloom.llm.simhash import LOWER, SEED
-from pathloom.llm.store import map_arrow, materialize, per_batch, slices
+from pathloom.llm.store import drop_table, map_arrow, materialize, per_batch, slices
 from pathloom.llm.words import WORD_BYTES
 
 U = np.uint64
-BITS = 1024
+BITS = 256
+BLOCKS = 14
+SAMPLES = 5
 TILE = 2048
 ROW = ("doc_id", "h1", "h2")  # what tells a text from others, also of its doc_id
 SALTS = np.arange(1, BITS // 64 + 1, dtype=U) * U(0x9E3779B97F4A7C15)
@@ -43,11 +47,13 @@ def shingle_hashes(text: str | None, shingle: int = 5, seed: int = SEED) -> np.n
     return np.unique(np.array([digest(joined[a:b], seed) for a, b in zip(starts, (ends[last:] - 1).tolist(), strict=True)], U))
 
 
-def wide_simhash(text: str | None, shingle: int = 5, seed: int = SEED) -> bytes:
-    """1024 bits over the distinct word shingles; all zero for texts without words and null."""
-    hashes = shingle_hashes(text, shingle, seed)
-    if not len(hashes):
-        return bytes(BITS // 8)
+def majority(bits: np.ndarray, counts: np.ndarray | int) -> np.ndarray:
+    """The packed bits that are set in more than half of the counted values."""
+    return np.packbits(2 * bits > counts, axis=-1)
+
+
+def simhash_of(hashes: np.ndarray) -> bytes:
+    """BITS bits over the distinct shingles; all zero for none."""
     counts = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), 2048):  # bounded memory for very long texts
         x = hashes[at : at + 2048, None] + SALTS
@@ -55,7 +61,36 @@ def wide_simhash(text: str | None, shingle: int = 5, seed: int = SEED) -> bytes:
         x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
         x ^= x >> U(31)
         counts += np.add.reduce(np.unpackbits(x.view(np.uint8), axis=1), axis=0, dtype=np.uint16)
-    return np.packbits(2 * counts > len(hashes)).tobytes()
+    return majority(counts, len(hashes)).tobytes()
+
+
+def wide_simhash(text: str | None, shingle: int = 5, seed: int = SEED) -> bytes:
+    """BITS bits over the distinct word shingles; all zero for texts without words and null."""
+    return simhash_of(shingle_hashes(text, shingle, seed))
+
+
+@lru_cache(4)
+def sampling(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """n odd factors, each of which puts 64-bit values into an order of its own, and their inverses."""
+    factors = np.random.default_rng(seed).integers(0, 1 << 63, n, dtype=U) * U(2) + U(1)
+    return factors, np.array([pow(int(f), -1, 1 << 64) for f in factors], U)
+
+
+def block_values(hashes: np.ndarray, blocks: int = BLOCKS, samples: int = SAMPLES, seed: int = SEED) -> bytes:
+    """The blocks of a fingerprint, 64 bits each: the SimHash of the `samples` shingles that come first in as many orders."""
+    if not len(hashes):
+        return bytes(8 * blocks)
+    factors, inverses = sampling(blocks * samples, seed)
+    least = np.full(blocks * samples, np.iinfo(U).max)
+    for at in range(0, len(hashes), 1024):
+        least = np.minimum(least, (hashes[at : at + 1024, None] * factors).min(axis=0))
+    bits = np.unpackbits((least * inverses).view(np.uint8).reshape(blocks, samples, 8), axis=2)
+    return majority(bits.sum(axis=1, dtype=np.int64), samples).tobytes()
+
+
+def share_a_block(similarity: float, blocks: int = BLOCKS, samples: int = SAMPLES) -> float:
+    """The probability that two texts of this similarity share a block."""
+    return 1 - (1 - similarity**samples) ** blocks
 
 
 def text_hashes(text: str = "text") -> list:
@@ -68,13 +103,6 @@ def differing_share(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
-def plan_blocks(n: int, similarity: float, recall: float) -> tuple[int, int]:
-    """(bits of a block, number of blocks): a block brings an eighth of a stranger to each of n fingerprints."""
-    width = min(48, max(8, math.ceil(math.log2(max(n, 2))) + 3))
-    shared = (1 - differing_share(similarity)) ** width
-    return width, math.ceil(math.log(1 - recall) / math.log(1 - shared))
-
-
 def most_differing(bits: int, similarity: float, deviations: float) -> int:
     """The expected number of differing bits and some standard deviations."""
     share = differing_share(similarity)
@@ -134,7 +162,7 @@ def across_components(members: DataFrame, roots: DataFrame, limit: int) -> DataF
     """a, b: the pairs that share a key in members (key, id, head), are of different components (node, root) and agree in
     the first 64 bits. A key of very many members is dealt in tiles of which each pair of members meets in one."""
     named = members.join(roots, members["id"] == roots["node"], "left").select("key", "id", "head", F.coalesce("root", "id").alias("root"))
-    named = materialize(named, "nearcopies-members")
+    named = materialize(named, "nearcopies-members")  # read twice
     sizes = named.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y")
     parts = sizes.select("key", F.ceil(F.col("n") / TILE).alias("parts"))
     dealt = named.join(parts, "key").withColumn("side", F.pmod(F.xxhash64("id"), F.col("parts"))).withColumn("to", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
@@ -143,22 +171,24 @@ def across_components(members: DataFrame, roots: DataFrame, limit: int) -> DataF
     return map_arrow(dealt, lambda batches: across(batches, limit), "a long, b long")
 
 
-def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, recall: float = 0.97, all_pairs_up_to: int = 8, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, blocks: int = BLOCKS, samples: int = SAMPLES, all_pairs_up_to: int = 8, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """(doc_id, h1, h2 and fp of each row of docs; fp, first and root of each fingerprint): linked are texts of a similarity
     of `similarity` or more, those that links reach have one root. first is the smallest (doc_id is null, doc_id, h1, h2).
 
-    Equal fingerprints are one member. Members that share a block, and differ in as many of the first 64 bits as the
-    similarity allows, are candidates. In a bucket of up to all_pairs_up_to members these are all pairs. Larger ones are
+    Equal fingerprints are one member. Members that share a block, which they do with the probability share_a_block
+    (0.996 at a similarity of 0.8), and differ in no more of their SimHash's first 64 bits than the similarity allows,
+    are candidates. In a bucket of up to all_pairs_up_to members these are all pairs. Larger ones are
     gone through twice: first each member is paired with the nearest of those before it, which ties a large group of
     copies together by few links; then all pairs of members whom the links so far leave in different components are
     compared, in square tiles of about 2 * TILE members at most, whatever the bucket's size. Candidates whose
-    1024 bits agree well enough, 4 standard deviations included, are compared by the Jaccard similarity of their shingle
+    whole SimHashes agree well enough, 4 standard deviations included, are compared by the Jaccard similarity of their shingle
     hashes, and are a link if that is `similarity` or more; no estimate makes a link. Null and empty texts are alike.
     """
 
     def prints(batch: pa.RecordBatch):
         for part in slices(batch, 1):
-            found = [wide_simhash(t, shingle, seed) for t in part.column(1).to_pylist()]
+            hashes = (shingle_hashes(t, shingle, seed) for t in part.column(1).to_pylist())
+            found = [block_values(h, blocks, samples, seed) + simhash_of(h) for h in hashes]
             yield pa.RecordBatch.from_arrays([*(part.column(i) for i in (0, 2, 3)), pa.array(found, pa.binary())], [*ROW, "fp"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *text_hashes())
@@ -166,20 +196,15 @@ def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, reca
     # of a fingerprint's texts the first speaks for all: texts of one fingerprint have the same shingles, but for one in very many
     groups = fps.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), *ROW)).alias("first"))
     groups = materialize(groups.select("fp", F.monotonically_increasing_id().alias("id"), "first"), "nearcopies-groups")
-    width, blocks = plan_blocks(groups.count(), similarity, recall)
-    places = np.random.default_rng(seed).integers(0, BITS, (blocks, width))
-    powers = 1 << np.arange(width, dtype=np.int64)
-    limit = most_differing(64, similarity, 4)
+    limit, width = most_differing(64, similarity, 4), 8 * blocks + BITS // 8
+    numbers = np.arange(blocks, dtype=U) * U(0x9E3779B97F4A7C15)
 
     def keys(batch: pa.RecordBatch):
         ids = np.asarray(batch.column(1))
-        data = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(-1, BITS // 8)
-        for at in range(0, len(ids), 1024):
-            bits = np.unpackbits(data[at : at + 1024], axis=1)
-            own = np.stack([bits[:, p] @ powers for p in places], axis=1) + (np.arange(blocks) << width)
-            head = np.ascontiguousarray(data[at : at + 1024, :8]).view("<i8").ravel()
-            n = len(own)
-            yield pa.RecordBatch.from_arrays([pa.array(own.ravel()), pa.array(np.repeat(ids[at : at + n], blocks)), pa.array(np.repeat(head, blocks))], ["key", "id", "head"])
+        data = np.frombuffer(b"".join(batch.column(0).to_pylist()), U).reshape(-1, width // 8)
+        own = (data[:, :blocks] + numbers).view(np.int64)
+        head = data[:, blocks].view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(own.ravel()), pa.array(np.repeat(ids, blocks)), pa.array(np.repeat(head, blocks))], ["key", "id", "head"])
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """First links, and the members of large buckets (big, with a the key and b the member) for across().
@@ -232,7 +257,7 @@ def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, reca
     most = most_differing(BITS, similarity, 4)
 
     def verify(batch: pa.RecordBatch):
-        x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), U).reshape(-1, BITS // 64) for i in (2, 3))
+        x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), U).reshape(-1, width // 8)[:, blocks:] for i in (2, 3))
         good = np.bitwise_count(x ^ y).sum(axis=1) <= most
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good))
 
@@ -260,23 +285,28 @@ def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, reca
         known = materialize(per_batch(texts, sets, "id long, set binary"), "nearcopies-sets")
         own = lambda name, value: known.select(F.col("id").alias(name), F.col("set").alias(value))
         both = close.join(own("a", "x"), "a").join(own("b", "y"), "b").select("a", "b", "x", "y")
-        return materialize(per_batch(both, compare, "a long, b long"), "nearcopies-links")
+        out = materialize(per_batch(both, compare, "a long, b long"), "nearcopies-links")
+        for table in (close, known):
+            drop_table(table)
+        return out
 
     links = confirmed(found.filter("not big").select("a", "b"))
     roots = connected_components(links)
     large = found.filter("big").select(F.col("a").alias("key"), F.col("b").alias("id"), "head")
-    links = links.unionByName(confirmed(across_components(large, roots, limit)))
-    labels = connected_components(links)
+    more = confirmed(across_components(large, roots, limit))
+    labels = connected_components(links.unionByName(more))
+    for table in (found, links, more):
+        drop_table(table)
     return fps, groups.join(labels, groups["id"] == labels["node"], "left").select("fp", "first", F.coalesce("root", "id").alias("root"))
 
 
-def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, recall: float = 0.97, all_pairs_up_to: int = 8, seed: int = SEED) -> DataFrame:
+def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, blocks: int = BLOCKS, samples: int = SAMPLES, all_pairs_up_to: int = 8, seed: int = SEED) -> DataFrame:
     """doc_id, component_id for the rows of docs that have a doc_id, by near_groups.
 
     component_id is the smallest doc_id that links reach. Rows that repeat a doc_id have a row each and may name different
     components. Empty tables give an empty result.
     """
-    fps, named = near_groups(docs.filter(F.col("doc_id").cast("long").isNotNull()), shingle, similarity, recall, all_pairs_up_to, seed)
+    fps, named = near_groups(docs.filter(F.col("doc_id").cast("long").isNotNull()), shingle, similarity, blocks, samples, all_pairs_up_to, seed)
     smallest = named.groupBy("root").agg(F.min("first.doc_id").alias("component_id"))
     return fps.join(named.join(smallest, "root").select("fp", "component_id"), "fp").select("doc_id", "component_id")
 

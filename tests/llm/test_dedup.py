@@ -91,38 +91,62 @@ def jaccard(a, b):
 def test_wide_fingerprint_by_hand():
     text = "a B c d e f g h a b c d e"
     hashes = {xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles(text)}
-    bits = np.zeros(1024, int)
+    bits = np.zeros(nearcopies.BITS, int)
     for h in hashes:
-        for j in range(16):
+        for j in range(nearcopies.BITS // 64):
             x = (h + (j + 1) * 0x9E3779B97F4A7C15) % (1 << 64)
             x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % (1 << 64)
             x = (x ^ x >> 27) * 0x94D049BB133111EB % (1 << 64)
             x ^= x >> 31
             bits[64 * j : 64 * j + 64] += np.unpackbits(np.frombuffer(x.to_bytes(8, "little"), np.uint8))
     assert nearcopies.wide_simhash(text) == np.packbits(2 * bits > len(hashes)).tobytes()
-    assert nearcopies.wide_simhash(None) == nearcopies.wide_simhash(" ") == bytes(128)
+    assert nearcopies.wide_simhash(None) == nearcopies.wide_simhash(" ") == bytes(nearcopies.BITS // 8)
     assert nearcopies.wide_simhash("one two") == nearcopies.wide_simhash("ONE  two")
 
 
+def test_blocks_are_shared_as_often_as_the_similarity_says():
+    """Blocks by hand, and the share of pairs with a common block by their similarity."""
+    pick = random.Random(3)
+    hashes = np.unique(np.array([pick.getrandbits(64) for _ in range(40)], np.uint64))
+    factors, _ = nearcopies.sampling(nearcopies.BLOCKS * nearcopies.SAMPLES, simhash.SEED)
+    for j, value in enumerate(np.frombuffer(nearcopies.block_values(hashes), ">u8").tolist()):
+        own = [min(hashes.tolist(), key=lambda h: h * int(f) % (1 << 64)) for f in factors[5 * j : 5 * j + 5]]
+        own = [int.from_bytes(h.to_bytes(8, "little"), "big") for h in own]
+        assert value == sum(1 << b for b in range(64) if sum(h >> b & 1 for h in own) > 2)
+    assert nearcopies.block_values(hashes[:0]) == bytes(8 * nearcopies.BLOCKS)
+    shared = {}
+    for similarity in (0.8, 0.5, 0.0):
+        both = round(300 * similarity)
+        hits = 0
+        for _ in range(300):
+            every = np.array([pick.getrandbits(64) for _ in range(300)], np.uint64)
+            mine = (300 - both) // 2
+            a, b = np.unique(every[: both + mine]), np.unique(np.concatenate((every[:both], every[both + mine :])))
+            x, y = (np.frombuffer(nearcopies.block_values(v), np.uint64) for v in (a, b))
+            hits += bool((x == y).any())
+        shared[similarity] = hits / 300
+    assert shared[0.8] > 0.98 and abs(shared[0.5] - nearcopies.share_a_block(0.5)) < 0.12 and shared[0.0] == 0
+
+
 def edited(pick, words, share, vocabulary):
     return [pick.choice(vocabulary) if pick.random() < share else w for w in words]
 
 
 def test_near_copies_recall_and_precision(spark):
-    """Pairs by their true similarity: all from 0.85 on are found, none below 0.5."""
+    """Pairs by their true similarity: nearly all from 0.8 on are found, none below."""
     pick = random.Random(12)
     vocabulary = [f"v{i}" for i in range(5000)]
     rows, pairs = [], []
     for i in range(400):
         words = [pick.choice(vocabulary) for _ in range(pick.randint(60, 600))]
-        other = edited(pick, words, pick.choice([0.0, 0.004, 0.01, 0.02, 0.05, 0.1, 0.3]), vocabulary)
+        other = edited(pick, words, pick.choice([0.0, 0.004, 0.01, 0.018, 0.02, 0.022, 0.05, 0.1, 0.3]), vocabulary)
         rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
         pairs.append((2 * i, 2 * i + 1, jaccard(shingles(rows[-2][1]), shingles(rows[-1][1]))))
     got = {r["doc_id"]: r["component_id"] for r in nearcopies.near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
-    high, mid, low = ([got[a] == got[b] for a, b, s in pairs if lo <= s < hi] for lo, hi in ((0.85, 1.1), (0.8, 0.85), (0, 0.5)))
+    high, mid, low = ([got[a] == got[b] for a, b, s in pairs if lo <= s < hi] for lo, hi in ((0.85, 1.1), (0.8, 0.85), (0, 0.8)))
     assert len(high) > 100 and all(high)
-    assert not mid or sum(mid) >= 0.7 * len(mid)
-    assert len(low) > 50 and not any(low)
+    assert len(mid) > 20 and sum(mid) >= 0.95 * len(mid)
+    assert len(low) > 100 and not any(low)
     assert len(set(got.values())) >= 400  # strangers stay apart
 
 
