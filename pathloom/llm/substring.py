@@ -29,7 +29,6 @@ from pathloom.llm.words import WORD, WORD_BYTES
 U = np.uint64
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # odd
 NO_ID = -(1 << 63)  # stands for a null doc_id; before all others
-VERSION_BITS = 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -81,86 +80,81 @@ def anchor_spans(hashes: WordHashes, window: int, anchor: int) -> tuple[np.ndarr
     return grams[place[first]], span, first, count
 
 
-def pack_at(position: np.ndarray, version: int, count) -> np.ndarray:
-    """position, version of the text under its doc_id, number of windows, in one sortable integer."""
-    return (position.astype(np.int64) << (VERSION_BITS + 8)) | (version << 8) | count
-
-
-def versions(text: bytes) -> int:
-    return xxhash.xxh64_intdigest(text) & ((1 << VERSION_BITS) - 1)
+def pack_at(position: np.ndarray, count) -> np.ndarray:
+    """position and number of windows in one sortable integer."""
+    return (position.astype(np.int64) << 8) | count
 
 
 def signed(x: np.ndarray) -> np.ndarray:
     return x.astype(U, copy=False).view(np.int64)
 
 
-NAMES = ["repeat", "a", "b", "doc", "at"]
-SCHEMA = "repeat boolean, a long, b long, doc long, at long"
+#: A window or an anchor's span: marked as a repeat or not, 128 bits of its words, and its document's doc_id, place, and 64 bits of
+#: its document's text. doc and text together are the document: rows of one doc_id, or of none, are told apart by their texts.
+NAMES = ["repeat", "a", "b", "doc", "at", "text"]
+SCHEMA = "repeat boolean, a long, b long, doc long, at long, text long"
 
 
-def to_batch(repeat: np.ndarray, a: np.ndarray, b: np.ndarray, doc: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in (repeat, a, b, doc, at)], NAMES)
+def to_batch(repeat: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (repeat, *columns)], NAMES)
 
 
-def firsts(a: np.ndarray, b: np.ndarray, doc: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+def firsts(a: np.ndarray, b: np.ndarray, doc: np.ndarray, at: np.ndarray, text: np.ndarray) -> pa.RecordBatch:
     """A batch's rows with those that aren't the first of their key (a, b) marked as repeats: the combination ahead of
-    the shuffle. Marked rows need no key any more and get one of their own document."""
-    order = np.lexsort((at, doc, b, a))
-    a, b, doc, at = a[order], b[order], doc[order], at[order]
+    the shuffle. Marked rows need no key any more and get one of their own place, so that they are dealt evenly."""
+    order = np.lexsort((text, at, doc, b, a))
+    a, b, doc, at, text = (x[order] for x in (a, b, doc, at, text))
     new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
-    start = np.maximum.accumulate(np.where(new, np.arange(len(a)), 0))
-    copy = ~new & (doc == doc[start]) & (at == at[start])  # a row of the table that is there twice
+    copy = ~new  # a row of the table that is there twice
+    for x in (doc, at, text):
+        copy[1:] &= x[1:] == x[:-1]
     repeat = ~new & ~copy
-    a = np.where(repeat, signed(mix(signed_to_u(doc))), a)
+    a = np.where(repeat, signed(mix(doc.view(U) + mix(text.view(U) + mix(at.view(U))))), a)
     b = np.where(repeat, 0, b)
     keep = ~copy
-    return to_batch(repeat[keep], a[keep], b[keep], doc[keep], at[keep])
-
-
-def signed_to_u(x: np.ndarray) -> np.ndarray:
-    return x.view(U)
+    return to_batch(*(x[keep] for x in (repeat, a, b, doc, at, text)))
 
 
 def mark(batches: Iterator[pa.RecordBatch], leaders: bool) -> Iterator[pa.RecordBatch]:
-    """Goes through rows sorted by (repeat, a, b, doc, at) and holds one row only from batch to batch.
+    """Goes through rows sorted by NAMES and holds one row only from batch to batch.
 
     Yields the repeats: marked rows, and all that aren't the first of their (a, b). leaders: yields also, unmarked, the
     first rows of each (a, b) whose a has several b.
     """
-    last = first = None  # (a, b) before, and (doc, at, waiting) of the first row of it
+    last = first = None  # (a, b) before, and (doc, at, text, waiting) of the first row of it
     for batch in batches:
         if not batch.num_rows:
             continue
-        repeat, a, b, doc, at = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
-        done = repeat.astype(bool)
+        done, *rows = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
+        done = done.astype(bool)
         if done.any():
-            yield to_batch(np.ones(done.sum(), bool), *(x[done] for x in (a, b, doc, at)))
-            a, b, doc, at = (x[~done] for x in (a, b, doc, at))
+            yield to_batch(np.ones(done.sum(), bool), *(x[done] for x in rows))
+            rows = [x[~done] for x in rows]
+        a, b, *places = rows
         n = len(a)
         if not n:
             continue
         same_a = np.concatenate(([last is not None and a[0] == last[0]], a[1:] == a[:-1]))
         same_b = same_a & np.concatenate(([last is not None and b[0] == last[1]], b[1:] == b[:-1]))
         start = np.maximum.accumulate(np.where(~same_b, np.arange(n), -1))
-        first_doc, first_at = doc[start], at[start]
-        before = start < 0
-        if before.any():
-            first_doc[before], first_at[before] = first[0], first[1]
-        later = same_b & ((doc != first_doc) | (at != first_at))
+        before, other = start < 0, np.zeros(n, bool)
+        for i, x in enumerate(places):
+            other |= x != (np.where(before, first[i], x[start]) if before.any() else x[start])
+        later = same_b & other
         if later.any():
-            yield to_batch(np.ones(later.sum(), bool), *(x[later] for x in (a, b, doc, at)))
+            yield to_batch(np.ones(later.sum(), bool), *(x[later] for x in rows))
         heads = np.flatnonzero(~same_b)
         if leaders and len(heads):
-            if same_a[heads[0]] and first is not None and first[2]:  # the one that waits has company
-                yield to_batch(np.zeros(1, bool), *(np.array([x], np.int64) for x in (last[0], last[1], first[0], first[1])))
+            if same_a[heads[0]] and first is not None and first[3]:  # the one that waits has company
+                yield to_batch(np.zeros(1, bool), *(np.array([x], np.int64) for x in (*last, *first[:3])))
             shared = same_a[heads]
             shared[:-1] |= same_a[heads[1:]]
             found = heads[shared]
             if len(found):
-                yield to_batch(np.zeros(len(found), bool), *(x[found] for x in (a, b, doc, at)))
-            first = (int(doc[heads[-1]]), int(at[heads[-1]]), not shared[-1])
+                yield to_batch(np.zeros(len(found), bool), *(x[found] for x in rows))
+            first = (*(int(x[heads[-1]]) for x in places), not shared[-1])
         elif len(heads):
-            first = (int(doc[heads[-1]]), int(at[heads[-1]]), False)
+            first = (*(int(x[heads[-1]]) for x in places), False)
         last = (a[-1], b[-1])
 
 
@@ -169,59 +163,55 @@ def deal_and_mark(rows: DataFrame, leaders: bool) -> DataFrame:
     return map_arrow(dealt, lambda batches: mark(batches, leaders), SCHEMA)
 
 
-def doc_key(docs: DataFrame):
-    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+def doc_key() -> list:
+    """doc and text hash, which tell documents apart."""
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), F.xxhash64("text")]
 
 
 def gathered(make: Callable, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Runs make on each row (as tuples) and combines what it gives for a batch."""
     for batch in batches:
-        parts = [x for part in slices(batch, 1) for row in zip(*(c.to_pylist() for c in part.columns), strict=True) if (x := make(*row)) is not None]
+        parts = [x for part in slices(batch, 2) for row in zip(*(c.to_pylist() for c in part.columns), strict=True) if (x := make(*row)) is not None]
         if parts:
             yield firsts(*(np.concatenate(c) for c in zip(*parts, strict=True)))
 
 
 def find_repeats(docs: DataFrame, window: int = 20, anchor: int = 6) -> DataFrame:
-    """doc (doc_id; null: the smallest long), repeats: array of packed places, for documents that have any (a table)."""
+    """doc (doc_id; null: the smallest long), text (its hash), repeats: array of packed places, for documents that have any (a table)."""
     if not 1 <= anchor <= window <= 255:
         raise ValueError("an anchor must fit into a window, and a window have 255 words at most")
 
-    def spans(doc: int, text: str):
-        data = text.encode()
-        hashes = WordHashes(WORD_BYTES.findall(data))
-        a, b, start, count = anchor_spans(hashes, window, anchor)
+    def row(a: np.ndarray, b: np.ndarray, doc: int, at: np.ndarray, key: int) -> tuple:
+        return signed(a), signed(b), np.full(len(a), doc, np.int64), at, np.full(len(a), key, np.int64)
+
+    def spans(doc: int, key: int, text: str):
+        a, b, start, count = anchor_spans(WordHashes(WORD_BYTES.findall(text.encode())), window, anchor)
         # count stays under 256: an anchor is picked by window - anchor + 1 windows at most
-        return (signed(a), signed(b), np.full(len(a), doc, np.int64), pack_at(start, versions(data), count)) if len(a) else None
+        return row(a, b, doc, pack_at(start, count), key) if len(a) else None
 
-    texts = docs.select(doc_key(docs).alias("doc"), "text").filter(F.col("text").isNotNull())
+    doc, key = doc_key()
+    texts = docs.filter(F.col("text").isNotNull()).select(doc.alias("doc"), key.alias("key"), "text")
     seeds = map_arrow(texts, lambda batches: gathered(spans, batches), SCHEMA)
     marked = materialize(deal_and_mark(seeds, leaders=True), "substring-spans")
 
-    def windows(doc: int, text: str, places: list[int]):
-        data = text.encode()
-        version, parts = versions(data), []
-        for at in places:
-            if at >> 8 & ((1 << VERSION_BITS) - 1) == version:
-                start = at >> (VERSION_BITS + 8)
-                parts.append(np.arange(start, start + (at & 255)))
-        if not parts:
-            return None
-        hashes, at = WordHashes(WORD_BYTES.findall(data)), np.concatenate(parts)
-        return signed(hashes.runs(at, window)), signed(hashes.runs(at, window, BASES[1])), np.full(len(at), doc, np.int64), pack_at(at, version, 1)
-
-    leaders = marked.filter("not repeat").groupBy("doc").agg(F.collect_list("at").alias("places"))  # bounded by the document
-    extended = map_arrow(texts.join(leaders, "doc").select("doc", "text", "places"), lambda batches: gathered(windows, batches), SCHEMA)
+    def windows(doc: int, key: int, text: str, places: list[int]):
+        hashes = WordHashes(WORD_BYTES.findall(text.encode()))
+        at = np.concatenate([np.arange(x >> 8, (x >> 8) + (x & 255)) for x in places])
+        return row(hashes.runs(at, window), hashes.runs(at, window, BASES[1]), doc, pack_at(at, 1), key)
+
+    # sets, bounded by the document's own places however often its row is there
+    leaders = marked.filter("not repeat").groupBy("doc", F.col("text").alias("key")).agg(F.collect_set("at").alias("places"))
+    extended = map_arrow(texts.join(leaders, ["doc", "key"]).select("doc", "key", "text", "places"), lambda batches: gathered(windows, batches), SCHEMA)
     rest = deal_and_mark(extended, leaders=False)
-    every = marked.filter("repeat").select("doc", "at").unionByName(rest.select("doc", "at"))
-    return materialize(every.groupBy("doc").agg(F.collect_list("at").alias("repeats")), "substring-repeats")
+    every = marked.filter("repeat").select("doc", "text", "at").unionByName(rest.select("doc", "text", "at"))
+    return materialize(every.groupBy("doc", "text").agg(F.collect_set("at").alias("repeats")), "substring-repeats")
 
 
-def runs_of(places: list[int] | None, version: int, window: int) -> list[tuple[int, int]]:
+def runs_of(places: list[int] | None, window: int) -> list[tuple[int, int]]:
     """The maximal runs of words, [start, end), under the marked windows."""
-    own = sorted(x for x in places or () if x >> 8 & ((1 << VERSION_BITS) - 1) == version)
     out: list[tuple[int, int]] = []
-    for x in own:
-        start = x >> (VERSION_BITS + 8)
+    for x in sorted(places or ()):
+        start = x >> 8
         end = start + (x & 255) + window - 1
         if out and start <= out[-1][1]:
             out[-1] = (out[-1][0], max(out[-1][1], end))
@@ -231,8 +221,9 @@ def runs_of(places: list[int] | None, version: int, window: int) -> list[tuple[i
 
 
 def _with_repeats(docs: DataFrame, repeats: DataFrame) -> DataFrame:
-    right = repeats.select(F.col("doc").alias("__doc"), F.col("repeats").alias("__repeats"))
-    return docs.join(right, doc_key(docs) == right["__doc"], "left").drop("__doc")
+    right = repeats.select(F.col("doc").alias("__doc"), F.col("text").alias("__text"), F.col("repeats").alias("__repeats"))
+    doc, key = doc_key()
+    return docs.join(right, (doc == right["__doc"]) & (key == right["__text"]), "left").drop("__doc", "__text")
 
 
 def kept_words(docs: DataFrame, window: int = 20, anchor: int = 6) -> DataFrame:
@@ -241,8 +232,9 @@ def kept_words(docs: DataFrame, window: int = 20, anchor: int = 6) -> DataFrame:
 
     A word goes if a window over it has the same words as a window that starts earlier: in a document of smaller doc_id
     or further ahead in its own. Null, empty and shorter texts lose nothing. A null doc_id is before all others. Rows
-    that are there twice are one document, none of them loses words to the other; rows of one doc_id with different
-    texts are documents side by side, ranked by place. Empty tables give an empty result.
+    that are there twice are one document, none of them loses words to the other; rows of one doc_id (or of none) with
+    different texts, told apart by 64 bits of them, are documents side by side, ranked by place, then by that hash.
+    Empty tables give an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,7 +245,7 @@ def kept_words(docs: DataFrame, window: int = 20, anchor: int = 6) -> DataFrame:
                 for text, places in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
                     data = (text or "").encode()
                     words = WORD_BYTES.findall(data)
-                    runs = runs_of(places, versions(data), window) if places else []
+                    runs = runs_of(places, window)
                     kept, at = [], 0
                     for start, end in runs:
                         kept += words[at:start]
@@ -280,7 +272,10 @@ def cut(text: str, runs: list[tuple[int, int]]) -> str:
 
 
 def remove_repeats(docs: DataFrame, window: int = 20, anchor: int = 6) -> DataFrame:
-    """docs with the repeats cut out of text (and n_chars, if there, counted anew); a document that loses all its words goes."""
+    """docs with the repeats cut out of text (and n_chars, if there, counted anew); a document that loses all its words goes.
+
+    Null ids, repeated rows and null, empty and short texts are as in kept_words; an empty table gives an empty one.
+    """
     at, length_at, n = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None, len(docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,7 +284,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, anchor: int = 6) -> DataFr
                 texts, keep = part.column(at).to_pylist(), [True] * part.num_rows
                 lengths = part.column(length_at).to_pylist() if length_at is not None else None
                 for i, places in enumerate(part.column(n).to_pylist()):
-                    runs = runs_of(places, versions(texts[i].encode()), window) if places else []
+                    runs = runs_of(places, window)
                     if runs:
                         texts[i] = cut(texts[i], runs)
                         keep[i] = bool(WORD.search(texts[i]))

@@ -282,6 +282,18 @@ def test_op6_repeated_and_null_ids(spark):
     assert got == sorted([(None, 30, 0), (1, 30, 30), (1, 30, 30), (1, 31, 30), (2, 30, 30)], key=str)
 
 
+def test_op6_many_texts_under_one_key(spark):
+    """Thousands of different texts without doc_id, and under one doc_id, that share nothing lose nothing; a shared passage goes once."""
+    passage = " ".join(f"p{i}" for i in range(25))
+    rows = [(None if i % 2 else 7, " ".join(f"x{i}y{j}" for j in range(21))) for i in range(4000)]
+    rows += [(None, "a0 " + passage), (None, "b0 b1 " + passage), (7, passage)] + [(7, rows[0][1])] * 50
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted((r["n_words"], r["n_removed"]) for r in substring.kept_words(frame).collect())
+    assert got == sorted([(21, 0)] * 4050 + [(26, 0), (27, 25), (25, 25)])
+    lists = substring.find_repeats(frame).collect()
+    assert len(lists) == 2 and all(len(r["repeats"]) <= 25 for r in lists)
+
+
 def test_long_texts_do_not_wrap():
     words = [b"w%d" % (i % 997) for i in range(200_000)]
     hashes = substring.WordHashes(words)
