@@ -29,7 +29,9 @@ U = np.uint64
 BITS = 256
 BLOCKS = 14
 SAMPLES = 5
-TILE = 2048
+TILE = 2048  # members of a tile's side,
+TILE_SHINGLES = 1 << 20  # and their shingles, at most
+SALTED = 32  # ways to which a bucket's members are dealt ahead of a join on buckets
 ROW = ("doc_id", "h1", "h2")  # what tells a text from others, also of its doc_id
 SALTS = np.arange(1, BITS // 64 + 1, dtype=U) * U(0x9E3779B97F4A7C15)
 
@@ -123,52 +125,82 @@ def close_in_bucket(ids: np.ndarray, head: np.ndarray, limit: int) -> tuple[np.n
     return np.concatenate(a), np.concatenate(b)
 
 
-def across(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
-    """All pairs of a tile that are of different roots and agree in their first 64 bits. Rows come sorted by (key, i, j)."""
-    rest = [np.empty(0, np.int64)] * 7
-
-    def tile(i: int, j: int, side: np.ndarray, ids: np.ndarray, root: np.ndarray, head: np.ndarray) -> Iterator[pa.RecordBatch]:
-        rows, columns = (np.flatnonzero(side == x) for x in (i, j))
-        for at in range(0, len(rows), 256):
-            x = rows[at : at + 256]
-            good = (np.bitwise_count(head[x, None] ^ head[None, columns]) <= limit) & (root[x, None] != root[None, columns])
-            if i == j:
-                good &= ids[x, None] < ids[None, columns]
-            a, b = np.nonzero(good)
-            if len(a):
-                a, b = ids[x[a]], ids[columns[b]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-
-    def tiles(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        key, i, j, side, ids, root, head = rows
-        edges = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
-        for s, e in zip([0, *edges.tolist()], [*edges.tolist(), len(key)], strict=True):
-            yield from tile(int(i[s]), int(j[s]), side[s:e], ids[s:e], root[s:e], head[s:e].view(U))
+def links_of_tile(ids: np.ndarray, root: np.ndarray, rows: np.ndarray, columns: np.ndarray, sets: list[bytes], similarity: float) -> tuple[list, list]:
+    """Links between rows and columns of a tile that are of different roots: enough of them to join whatever the tile's
+    pairs of the similarity join. Every such pair is compared by its shingles, unless links found before join it."""
+    size = np.array([len(x) // 8 for x in sets])
+    _, codes = np.unique(np.frombuffer(b"".join(sets), U), return_inverse=True)
+    ends = np.cumsum(size)
+    _, part = np.unique(root, return_inverse=True)
+    own = np.concatenate([codes[ends[c] - size[c] : ends[c]] for c in columns] + [np.array([len(codes)])])  # ends with a code that none has
+    starts, n = np.cumsum(size[columns]) - size[columns], size[columns]
+    seen, a, b = np.zeros(len(codes) + 1, np.uint8), [], []
+    for x in rows:
+        mine = codes[ends[x] - size[x] : ends[x]]
+        open_ = (part[columns] != part[x]) & (np.minimum(n, size[x]) >= similarity * np.maximum(n, size[x])) & (n > 0)
+        if not open_.any():
+            continue
+        seen[mine] = 1
+        both = np.add.reduceat(seen[own], starts, dtype=np.int64)
+        seen[mine] = 0
+        for y in columns[np.flatnonzero(open_ & (both >= similarity * (n + size[x] - both)))]:
+            if part[y] != part[x]:
+                part[part == part[y]] = part[x]
+                a.append(min(ids[x], ids[y]))
+                b.append(max(ids[x], ids[y]))
+    return a, b
+
+
+def across(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """The links of each tile. Rows (key, i, j, side, id, root, set) come sorted by (key, i, j)."""
+    now, held = None, []
+
+    def links() -> Iterator[pa.RecordBatch]:
+        side, ids, root = (np.array([r[k] for r in held], np.int64) for k in range(3))
+        rows, columns = (np.flatnonzero(side == x) for x in now[1:])
+        a, b = links_of_tile(ids, root, rows, columns, [r[3] for r in held], similarity) if len(rows) and len(columns) else ([], [])
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     for batch in batches:
-        rows = [np.concatenate((r, batch.column(k).to_numpy())) for k, r in enumerate(rest)]
-        if not len(rows[0]):
-            continue
-        other = np.flatnonzero((rows[0] != rows[0][-1]) | (rows[1] != rows[1][-1]) | (rows[2] != rows[2][-1]))
-        cut = int(other[-1]) + 1 if len(other) else 0
-        if cut:
-            yield from tiles([x[:cut] for x in rows])
-        rest = [x[cut:] for x in rows]
-    if len(rest[0]):
-        yield from tiles(rest)
-
-
-def across_components(members: DataFrame, roots: DataFrame, limit: int) -> DataFrame:
-    """a, b: the pairs that share a key in members (key, id, head), are of different components (node, root) and agree in
-    the first 64 bits. A key of very many members is dealt in tiles of which each pair of members meets in one."""
-    named = members.join(roots, members["id"] == roots["node"], "left").select("key", "id", "head", F.coalesce("root", "id").alias("root"))
-    named = materialize(named, "nearcopies-members")  # read twice
-    sizes = named.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y")
-    parts = sizes.select("key", F.ceil(F.col("n") / TILE).alias("parts"))
-    dealt = named.join(parts, "key").withColumn("side", F.pmod(F.xxhash64("id"), F.col("parts"))).withColumn("to", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("key", *(f("side", F.col("to").cast("long")).alias(n) for f, n in ((F.least, "i"), (F.greatest, "j"))), "side", "id", "root", "head")
-    dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
-    return map_arrow(dealt, lambda batches: across(batches, limit), "a long, b long")
+        for part in slices(batch, 6):
+            for key, i, j, *row in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                if now != (key, i, j):
+                    if held:
+                        yield from links()
+                    now, held = (key, i, j), []
+                held.append(row)
+    if held:
+        yield from links()
+
+
+def several_roots(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """key, id, root (a table) of the members (key, id) of keys whose members are of different components (node, root)."""
+    named = members.join(roots, members["id"] == roots["node"], "left").select("key", "id", F.coalesce("root", "id").alias("root"), F.pmod(F.xxhash64("id"), F.lit(SALTED)).alias("salt"))
+    named = materialize(named, "nearcopies-members")
+    mixed = named.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y")
+    out = materialize(named.join(salted(mixed.select("key")), ["key", "salt"], "left_semi").drop("salt"), "nearcopies-mixed")
+    drop_table(named)
+    return out
+
+
+def salted(keys: DataFrame) -> DataFrame:
+    """A row for each key and salt: a bucket of very many members is joined in SALTED tasks."""
+    return keys.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTED - 1).cast("long"))))
+
+
+def across_components(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """a, b: links among the members (key, id, root) of each key, by their shingles in sets (id, size, set; tables both).
+
+    A key of very many members, or shingles, is dealt in tiles of which each pair of members meets in one. A tile yields
+    less links than it has members, however many of its pairs are close.
+    """
+    sizes = members.join(sets.select("id", "size"), "id").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("shingles"))
+    parts = sizes.select("key", F.ceil(F.greatest(F.col("n") / TILE, F.col("shingles") / TILE_SHINGLES, F.lit(1.0))).alias("parts"))
+    dealt = members.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTED))).join(salted(parts), ["key", "salt"])
+    dealt = dealt.withColumn("side", F.pmod(F.xxhash64("id", F.lit(1)), F.col("parts"))).withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    dealt = dealt.select("key", F.least("side", "to").alias("i"), F.greatest("side", "to").alias("j"), "side", "id", "root").join(sets.select("id", "set"), "id")
+    dealt = dealt.select("key", "i", "j", "side", "id", "root", "set").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return map_arrow(dealt, lambda batches: across(batches, similarity), "a long, b long")
 
 
 def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, blocks: int = BLOCKS, samples: int = SAMPLES, all_pairs_up_to: int = 8, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
@@ -179,8 +211,8 @@ def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bloc
     (0.996 at a similarity of 0.8), and differ in no more of their SimHash's first 64 bits than the similarity allows,
     are candidates. In a bucket of up to all_pairs_up_to members these are all pairs. Larger ones are
     gone through twice: first each member is paired with the nearest of those before it, which ties a large group of
-    copies together by few links; then all pairs of members whom the links so far leave in different components are
-    compared, in square tiles of about 2 * TILE members at most, whatever the bucket's size. Candidates whose
+    copies together by few links; then all members whom the links so far leave in different components are compared by
+    their shingles, in square tiles of bounded size, whatever the bucket's size (across_components). Candidates whose
     whole SimHashes agree well enough, 4 standard deviations included, are compared by the Jaccard similarity of their shingle
     hashes, and are a link if that is `similarity` or more; no estimate makes a link. Null and empty texts are alike.
     """
@@ -209,16 +241,17 @@ def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bloc
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """First links, and the members of large buckets (big, with a the key and b the member) for across().
 
-        Rows come sorted by key; a bucket that a batch cuts goes on with the next, in parts of 4096 that share their first member.
+        Rows come sorted by key. The first and the last bucket of a task count as large, as other tasks may hold more of
+        them. A bucket that a batch cuts goes on with the next, in parts of 4096 that share their first member.
         """
-        rest, hot = [np.empty(0, np.int64)] * 3, None
+        rest, cut_off = [np.empty(0, np.int64)] * 3, None
 
-        def links(key: np.ndarray, ids: np.ndarray, head: np.ndarray) -> pa.RecordBatch:
+        def links(key: np.ndarray, ids: np.ndarray, head: np.ndarray, at_end: bool = False) -> pa.RecordBatch:
             start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.empty(0, np.int64)
             sizes = np.diff(np.append(start, len(key)))
-            large = sizes > all_pairs_up_to
-            if hot is not None and len(key):
-                large |= key[start] == hot  # the end of a bucket whose members before are large already
+            large = (sizes > all_pairs_up_to) | (key[start] == cut_off)
+            if at_end and len(large):
+                large[-1] = True
             few = np.repeat(~large, sizes)
             a, b = [], []
             for off in range(1, all_pairs_up_to):
@@ -234,26 +267,29 @@ def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bloc
                     a.append(x)
                     b.append(y)
             a, b = np.concatenate(a), np.concatenate(b)
-            columns = [np.repeat([False, True], [len(a), (~few).sum()]), *(np.concatenate(x) for x in ((np.minimum(a, b), key[~few]), (np.maximum(a, b), ids[~few]), (np.zeros(len(a), np.int64), head[~few].view(np.int64))))]
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["big", "a", "b", "head"])
+            columns = [np.repeat([False, True], [len(a), (~few).sum()]), *(np.concatenate(x) for x in ((np.minimum(a, b), key[~few]), (np.maximum(a, b), ids[~few])))]
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["big", "a", "b"])
 
         for batch in batches:
             key, ids, head = (np.concatenate((r, batch.column(i).to_numpy())) for i, r in enumerate(rest))
             if not len(key):
                 continue
+            if cut_off is None:
+                cut_off = key[0]
             cut = int(np.searchsorted(key, key[-1]))
             if len(key) - cut > 1 << 16:  # a bucket of very many: what is there is linked, its first member stays for the rest
-                yield links(key, ids, head.view(U))
-                hot = key[-1]
+                yield links(key, ids, head.view(U), True)
+                cut_off = key[-1]
                 rest = [x[cut : cut + 1] for x in (key, ids, head)]
             else:
                 yield links(key[:cut], ids[:cut], head[:cut].view(U))
                 rest = [x[cut:] for x in (key, ids, head)]
         if len(rest[0]):
-            yield links(rest[0], rest[1], rest[2].view(U))
+            yield links(rest[0], rest[1], rest[2].view(U), True)
 
-    dealt = per_batch(groups.select("fp", "id"), keys, "key long, id long, head long").repartition("key").sortWithinPartitions("key", "id")
-    found = materialize(map_arrow(dealt, pairs, "big boolean, a long, b long, head long"), "nearcopies-buckets")
+    # by ranges, so that a bucket of very many members is cut into tasks of equal size
+    dealt = per_batch(groups.select("fp", "id"), keys, "key long, id long, head long").repartitionByRange("key", "id").sortWithinPartitions("key", "id")
+    found = materialize(map_arrow(dealt, pairs, "big boolean, a long, b long"), "nearcopies-buckets")
     most = most_differing(BITS, similarity, 4)
 
     def verify(batch: pa.RecordBatch):
@@ -264,7 +300,7 @@ def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bloc
     def sets(batch: pa.RecordBatch):
         for part in slices(batch, 1):
             found = [shingle_hashes(t, shingle, seed).tobytes() for t in part.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary())], ["id", "set"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // 8 for x in found], pa.int64()), pa.array(found, pa.binary())], ["id", "size", "set"])
 
     def compare(batch: pa.RecordBatch):
         good = []
@@ -276,26 +312,25 @@ def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bloc
 
     of = lambda name, fp: groups.select(F.col("id").alias(name), F.col("fp").alias(fp))
 
-    def confirmed(candidates: DataFrame) -> DataFrame:
-        both = candidates.filter("a < b").distinct().join(of("a", "x"), "a").join(of("b", "y"), "b").select("a", "b", "x", "y")
-        close = materialize(per_batch(both, verify, "a long, b long"), "nearcopies-candidates")
-        asked = close.select(F.col("a").alias("id")).unionByName(close.select(F.col("b").alias("id"))).distinct()
-        asked = groups.join(asked, "id", "left_semi").select("id", *(F.col(f"first.{c}").alias(c) for c in ROW))
+    def sets_of(asked: DataFrame) -> DataFrame:
+        asked = groups.join(asked.distinct(), "id", "left_semi").select("id", *(F.col(f"first.{c}").alias(c) for c in ROW))
         texts = rows.join(asked, [rows[c].eqNullSafe(asked[c]) for c in ROW]).select("id", "text").dropDuplicates(["id"])
-        known = materialize(per_batch(texts, sets, "id long, set binary"), "nearcopies-sets")
-        own = lambda name, value: known.select(F.col("id").alias(name), F.col("set").alias(value))
-        both = close.join(own("a", "x"), "a").join(own("b", "y"), "b").select("a", "b", "x", "y")
-        out = materialize(per_batch(both, compare, "a long, b long"), "nearcopies-links")
-        for table in (close, known):
-            drop_table(table)
-        return out
-
-    links = confirmed(found.filter("not big").select("a", "b"))
-    roots = connected_components(links)
-    large = found.filter("big").select(F.col("a").alias("key"), F.col("b").alias("id"), "head")
-    more = confirmed(across_components(large, roots, limit))
+        return materialize(per_batch(texts, sets, "id long, size long, set binary"), "nearcopies-sets")
+
+    first = found.filter("not big and a < b").select("a", "b").distinct()
+    both = first.join(of("a", "x"), "a").join(of("b", "y"), "b").select("a", "b", "x", "y")
+    close = materialize(per_batch(both, verify, "a long, b long"), "nearcopies-candidates")
+    known = sets_of(close.select(F.col("a").alias("id")).unionByName(close.select(F.col("b").alias("id"))))
+    own = lambda name, value: known.select(F.col("id").alias(name), F.col("set").alias(value))
+    both = close.join(own("a", "x"), "a").join(own("b", "y"), "b").select("a", "b", "x", "y")
+    links = materialize(per_batch(both, compare, "a long, b long"), "nearcopies-links")
+    for table in (close, known):
+        drop_table(table)
+    mixed = several_roots(found.filter("big").select(F.col("a").alias("key"), F.col("b").alias("id")), connected_components(links))
+    known = sets_of(mixed.select("id"))
+    more = materialize(across_components(mixed, known, similarity), "nearcopies-more-links")
     labels = connected_components(links.unionByName(more))
-    for table in (found, links, more):
+    for table in (found, links, mixed, known, more):
         drop_table(table)
     return fps, groups.join(labels, groups["id"] == labels["node"], "left").select("fp", "first", F.coalesce("root", "id").alias("root"))
 

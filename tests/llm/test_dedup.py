@@ -198,14 +198,25 @@ def test_near_copies_keep_families_below_the_limit_apart(spark):
 
 
 @pytest.mark.parametrize("tile", [7, 2048])
-def test_tiles_meet_all_pairs(spark, monkeypatch, tile):
-    """Every pair of a key whose roots differ comes out once."""
+def test_tiles_join_what_pairs_join(spark, monkeypatch, tile):
+    """The links of all tiles and the components before join what brute force over each key's pairs joins, and no more."""
     monkeypatch.setattr(nearcopies, "TILE", tile)
-    members = spark.createDataFrame([(k, i, 5) for k, n in ((1, 60), (2, 9), (3, 1)) for i in range(n)], "key long, id long, head long")
-    roots = spark.createDataFrame([(i, i % 3) for i in range(0, 60, 2)], "node long, root long")
-    root = {i: i if i % 2 else i % 3 for i in range(60)}
-    got = sorted(tuple(r) for r in nearcopies.across_components(members, roots, 0).collect())
-    assert got == sorted((a, b) for n in (60, 9) for b in range(n) for a in range(b) if root[a] != root[b])
+    pick = random.Random(tile)
+    base, sets = list(range(100)), {}
+    for i in range(60):
+        sets[i] = sorted(set(base) - set(pick.sample(base, pick.choice([2, 8, 12, 30]))) | {1000 + i})
+    sets[60] = []
+    keys = {1: range(50), 2: [3, 7, 9, 52, 53, 60], 3: [55]}
+    roots = {i: i % 3 for i in range(0, 60, 20)}
+    expected = brute_components(range(61), lambda a, b: (a in roots and b in roots and roots[a] == roots[b]) or any(a in k and b in k for k in keys.values()) and 0.8 <= jaccard(set(sets[a]), set(sets[b])))
+    members = spark.createDataFrame([(k, i) for k, ids in keys.items() for i in ids], "key long, id long")
+    named = nearcopies.several_roots(members, spark.createDataFrame([(i, r) for i, r in roots.items()], "node long, root long"))
+    assert {r["key"] for r in named.collect()} == {1, 2}
+    known = spark.createDataFrame([(i, len(x), np.array(x, np.uint64).tobytes()) for i, x in sets.items()], "id long, size long, set binary")
+    links = [(r["a"], r["b"]) for r in nearcopies.across_components(named, known, 0.8).collect()]
+    assert all(0.8 <= jaccard(set(sets[a]), set(sets[b])) for a, b in links)
+    joined = brute_components(range(61), lambda a, b: (a in roots and b in roots and roots[a] == roots[b]) or (b, a) in links or (a, b) in links)
+    assert joined == expected and len(set(expected.values())) > 5
 
 
 def test_components_of_long_paths_and_stars(spark):
