@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +20,7 @@ def quantized(spark: SparkSession, vectors: DataFrame, scale: int = 256) -> Data
     """vec_id, dim, bucket, norm, v (binary: 64-bit integers): floor(scale * component) of each vector that takes part.
 
     Vectors that are null, empty or hold null or non-finite components take no part, nor do rows without vec_id. A component
-    beyond 2^31 after scaling is an error. A bucket has the vectors whose lengths differ by a tenth at most.
+    from 2^62 on after scaling is an error, as scores have 64 bits. A bucket has the vectors whose lengths differ by a tenth at most.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -27,7 +28,7 @@ def quantized(spark: SparkSession, vectors: DataFrame, scale: int = 256) -> Data
             ids, dims, buckets, norms, data = [], [], [], [], []
             for vec_id, values in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 x = np.floor(scale * values.values.to_numpy(zero_copy_only=False).astype(np.float64))
-                if np.abs(x).max() >= 1 << 31:
+                if np.abs(x).max() >= 1 << 62:
                     raise OverflowError(f"vector {vec_id} is too large to be scaled")
                 norm = float(np.sqrt((x * x).sum()))
                 ids.append(vec_id)
@@ -65,14 +66,32 @@ def top_bucket(rows: DataFrame, n: int) -> int:
     return -1
 
 
-def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact integer products of all rows: by floating point where no sum can pass 2^53."""
-    most = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1]
+def products(a: np.ndarray, b: np.ndarray, a_ids: np.ndarray, b_ids: np.ndarray) -> np.ndarray:
+    """Exact integer products of all rows: by floating point where no sum can pass 2^53, by 64-bit integers where none can
+    pass these, else by unlimited ones. A score beyond 64 bits is an error, but for rows of one id, which is 0 then."""
+    high = [float(np.abs(x).max(initial=0)) for x in (a, b)]
+    most = high[0] * high[1] * a.shape[1]
     if most < EXACT:
         return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    if most >= 1 << 63:
-        raise OverflowError("a score passes 64 bits")
-    return a @ b.T
+    if most < float(1 << 62):
+        return a @ b.T
+    # the few rows of large components apart from the others
+    tall = [np.abs(x).astype(np.float64).max(axis=1) >= min(h, 2.0**26) for x, h in ((a, high[0]), (b, high[1]))]
+    out = np.empty((len(a), len(b)), np.int64)
+    for i in (False, True):
+        for j in (False, True):
+            x, y = np.flatnonzero(tall[0] == i), np.flatnonzero(tall[1] == j)
+            if not len(x) or not len(y):
+                continue
+            if not i and not j:
+                out[np.ix_(x, y)] = products(a[x], b[y], a_ids[x], b_ids[y])
+                continue
+            wide = a[x].astype(object) @ b[y].astype(object).T
+            wide[a_ids[x][:, None] == b_ids[y][None, :]] = 0
+            if max(abs(v) for v in wide.ravel()) >= 1 << 63:
+                raise OverflowError("a score passes 64 bits")
+            out[np.ix_(x, y)] = wide.astype(np.int64)
+    return out
 
 
 def as_matrix(column: list[bytes], dim: int) -> np.ndarray:
@@ -121,7 +140,7 @@ def search_block(q_ids: np.ndarray, q: np.ndarray, theta: np.ndarray, ids: np.nd
     open_ = np.flatnonzero(local <= 1 + 1e-9)  # the others: no candidate of this length can reach the threshold
     plain = open_[local[open_] < 0.6]
     if len(plain):
-        take(plain, products(q[plain], v), np.arange(len(v)))
+        take(plain, products(q[plain], v, q_ids[plain], ids), np.arange(len(v)))
     narrow = open_[local[open_] >= 0.6]
     if len(narrow):
         norms = np.sqrt((v.astype(np.float64) ** 2).sum(axis=1))
@@ -129,12 +148,20 @@ def search_block(q_ids: np.ndarray, q: np.ndarray, theta: np.ndarray, ids: np.nd
         for i in narrow:
             which = np.flatnonzero(feasible(q[i] / lengths[i], min(float(local[i]), 1.0), unit))
             if len(which):
-                take(np.array([i]), products(q[i : i + 1], v[which]), which)
+                take(np.array([i]), products(q[i : i + 1], v[which], q_ids[i : i + 1], ids[which]), which)
     if not rows:
         return (np.empty(0, np.int64),) * 3
     return np.concatenate(rows), np.concatenate(columns), np.concatenate(found)
 
 
+def grid(n: int, asked: int, candidate_rows: int, query_rows: int, cell: int = 16_384, least: int = 64) -> tuple[int, int]:
+    """(parts of the candidates, groups of the queries): cells of about `cell` meetings of blocks, `least` cells at least,
+    shaped so that copying the queries to all parts and the candidates to all groups moves as much."""
+    cells = max(least, (n // candidate_rows + 1) * (asked // query_rows + 1) // cell)
+    parts = min(cells, max(1, round(math.sqrt(cells * n / max(asked, 1)))))
+    return parts, -(-cells // parts)
+
+
 def top_k(spark: SparkSession, vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, seeds: int = 2048, candidate_rows: int = 4096, query_rows: int = 256) -> DataFrame:
     """query_id, rank, vec_id, score: each query row's k highest inner products with all rows of other ids; ties go to the smaller vec_id.
 
@@ -160,8 +187,9 @@ def top_k(spark: SparkSession, vectors: DataFrame, is_query: Column, k: int = 5,
                 at = np.flatnonzero(dims == dim)
                 if own := longest.get(int(dim)):
                     ids, q = np.asarray(batch.column(0))[at], as_matrix([batch.column(3)[int(i)].as_py() for i in at], dim)
-                    scores = products(q, as_matrix([x for _, x in own], dim))
-                    scores[ids[:, None] == np.array([i for i, _ in own])[None, :]] = np.iinfo(np.int64).min
+                    own_ids = np.array([i for i, _ in own])
+                    scores = products(q, as_matrix([x for _, x in own], dim), ids, own_ids)
+                    scores[ids[:, None] == own_ids[None, :]] = np.iinfo(np.int64).min
                     theta[at] = kth_best(scores, k)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(theta)], ["vec_id", "dim", "norm", "v", "theta"])
 
@@ -171,12 +199,14 @@ def top_k(spark: SparkSession, vectors: DataFrame, is_query: Column, k: int = 5,
     queries = queries.withColumn("need", need).withColumn("bucket", F.when(F.col("need") > 1, F.ceil(F.ln(F.least("need", F.lit(1e300))) / F.ln(F.lit(1.1)))).otherwise(0).cast("int"))
     q_blocks = blocks(queries.select("vec_id", "dim", "bucket", "need", "v", "theta"), ["dim", "bucket"], query_rows, [F.min("need").alias("need"), F.array_sort(F.collect_list(F.struct("vec_id", "v", "theta"))).alias("_t")])
     q_blocks = q_blocks.select("dim", "need", F.col("ids").alias("q_ids"), F.col("vs").alias("q_vs"), F.transform("_t", lambda r: r["theta"]).alias("thetas"))
-    parts = 64
+    n, asked = rows.agg(F.count(F.lit(1)), F.count_if(is_query)).first()
+    parts, groups = grid(n, asked, candidate_rows, query_rows)
+    every = lambda size: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(size - 1).cast("long")))
     c_blocks = blocks(rows, ["dim", "bucket"], candidate_rows, [F.max("norm").alias("longest")])
-    c_blocks = c_blocks.withColumn("part", F.pmod(F.xxhash64("bucket", "_block"), F.lit(parts)))
-    q_blocks = q_blocks.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    # a query's block goes to each part of the candidates; within it, to the blocks that can reach it
-    met = q_blocks.join(c_blocks, [q_blocks["dim"] == c_blocks["dim"], q_blocks["part"] == c_blocks["part"], F.col("need") <= F.col("longest") * (1 + 1e-9)])
+    c_blocks = c_blocks.withColumn("part", F.pmod(F.xxhash64("bucket", "_block"), F.lit(parts))).withColumn("group", every(groups))
+    q_blocks = q_blocks.withColumn("group", F.pmod(F.xxhash64("q_ids"), F.lit(groups))).withColumn("part", every(parts))
+    # a group of the queries' blocks meets a part of the candidates in a cell; within it, blocks meet those that can reach them
+    met = q_blocks.join(c_blocks, [*(q_blocks[c] == c_blocks[c] for c in ("dim", "part", "group")), F.col("need") <= F.col("longest") * (1 + 1e-9)])
     met = met.select(q_blocks["dim"], "q_ids", "q_vs", "thetas", "ids", "vs", "longest")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,6 +5,7 @@ import random
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from pathloom.llm import chat, topk
@@ -57,6 +58,38 @@ def test_op9_by_hand(spark):
     assert got[4]["formatted"] == "<|im_start|>user\nno quote<|im_end|>\n"
 
 
+def test_op9_partial_quotes(spark):
+    """Two lines of three, two paragraphs of three, and a reflowed paragraph; a line that no message has next to another links nothing."""
+    rows = [
+        (1, 1, "a", "one\ntwo\nthree\n\nsecond part\n\nthird part\nends here"), (1, 2, "b", "x\ny"), (1, 3, "c", "> two\n> THREE\nyes"), (1, 4, "d", "> second part\n>\n> third  part\n> ends here\nno"),
+        (1, 5, "e", "> third part ends here\nhm"), (1, 6, "f", "> one\n> three\nwell"), (1, 7, "g", "> yes\n>> two\n>> three\nsure"), (1, 8, "h", "then"),
+    ]
+    linked = chat.link_quotations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = {r["position"]: r for r in linked.collect()}
+    assert [got[i]["parent_position"] for i in range(1, 9)] == [None, 1, 1, 1, 1, 5, 3, 7]
+    assert [got[i]["n_linked"] for i in range(1, 9)] == [0, 0, 1, 1, 1, 0, 2, 0]
+    assert [got[i]["branch"] for i in range(1, 9)] == [1, 1, 2, 3, 4, 4, 5, 5] and [got[i]["parent_branch"] for i in range(1, 9)] == [None, None, 1, 1, 1, 1, 2, 2]
+    assert [got[i]["depth"] for i in range(1, 9)] == [1, 2, 2, 2, 2, 3, 3, 4]
+    laid = {}
+    for r in chat.reply_conversations(linked).collect():
+        laid.setdefault(r["branch"], {})[r["place"]] = r["position"]
+    assert {b: [x[i] for i in sorted(x)] for b, x in laid.items()} == {1: [1, 2], 2: [1, 3], 3: [1, 4], 4: [1, 5, 6], 5: [1, 3, 7, 8]}
+    assert all(sorted(x) == list(range(1, len(x) + 1)) for x in laid.values())
+
+
+def test_op9_long_chain_of_branches(spark):
+    """Each message quotes the one two before it."""
+    rows = [(None if i % 2 else 3, i, "u", f"word{i}" + (f"\n> word{i - 4}" if i > 3 else "")) for i in range(200)]
+    linked = chat.link_quotations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), bucket_turns=8)
+    got = {(r["conv_id"], r["position"]): (r["parent_position"], r["depth"]) for r in linked.collect()}
+    for conv in (3, None):
+        depth = {0: 0}
+        for i in range(1, 101):
+            parent = i - 2 if i > 2 else i - 1
+            depth[i] = depth[parent] + 1
+            assert got[conv, i] == (parent or None, depth[i])
+
+
 def test_op9_is_native_and_takes_nothing(spark):
     frame = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     out = chat.link_quotations(frame)
@@ -100,6 +133,23 @@ def test_op10_equals_brute_force(spark):
         assert {tuple(r) for r in got.collect()} == brute_top(rows, k)
 
 
+def test_op10_large_components(spark):
+    """Components far beyond 2^31 take part; only a score beyond 64 bits is an error."""
+    rows = [(0, [1e7, 1.0, 0.0]), (50, [3e6, -2e7, 5.0]), (1, [1e6, 2.0, 1.0]), (2, [0.5, -1e6, 3.0]), *((i, [float(i), 1.0, -2.0]) for i in range(3, 40))]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert {tuple(r) for r in topk.top_k(spark, frame, F.col("vec_id") % 50 == 0, seeds=8, candidate_rows=10).collect()} == brute_top([(i, v) for i, v in rows], 5)
+    with pytest.raises(OverflowError):
+        topk.products(np.array([[1 << 40, 1]]), np.array([[1 << 40, 2]]), np.array([1]), np.array([2]))
+    mixed, ids = np.array([[1 << 40, 5], [3, 4]]), np.arange(4)
+    assert topk.products(mixed, np.array([[7, 1 << 21], [1 << 22, 1]]), ids[:2], ids[2:]).tolist() == [[7 * (1 << 40) + 5 * (1 << 21), (1 << 62) + 5], [21 + (1 << 23), 3 * (1 << 22) + 4]]
+
+
+def test_op10_grid():
+    assert topk.grid(0, 0, 4096, 256) == (1, 64) and topk.grid(100, 100, 4096, 256) == (8, 8)
+    parts, groups = topk.grid(10**9, 2 * 10**7, 4096, 256)
+    assert parts * groups >= 10**6 and 30 < parts / groups < 80
+
+
 def test_op10_few_and_none(spark):
     frame = spark.createDataFrame([(0, [1.0]), (1, [2.0]), (50, [3.0])], "vec_id long, embedding array<float>")
     assert {tuple(r) for r in topk.top_k(spark, frame, F.col("vec_id") % 50 == 0).collect()} == brute_top([(0, [1.0]), (1, [2.0]), (50, [3.0])], 5)
