@@ -103,7 +103,7 @@ def places(plan: list[tuple[list[int], int]]) -> dict[str, np.ndarray]:
     return dict(zip(("length", "first_rank", "first_sequence", "offset"), table.T, strict=True))
 
 
-def rank_within_length(pieces: DataFrame, counts: dict[int, int], rows_per_part: int = 1000) -> DataFrame:
+def rank_within_length(pieces: DataFrame, counts: dict[int, int], rows_per_part: int = 250) -> DataFrame:
     """Adds rank: 0, 1, ... among the rows of a length, in an order of all columns.
 
     A length of many rows (copies have one length) is dealt into parts of about rows_per_part by hash; parts are ranked
@@ -147,10 +147,15 @@ def pack(pieces: DataFrame, most: int = MOST) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, path: str, most: int = MOST, end_id: int = 0) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset: whole documents packed, with a digest of each piece's ids."""
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset: whole documents packed, with a digest of each piece's ids.
+
+    Null and empty texts are documents of end_id alone. Rows without doc_id, and rows that are there several times, each
+    are documents; a number for each row spreads repeated ones over the parts of their length. An empty table gives an
+    empty result. Other columns of docs are ignored.
+    """
     pieces = token_pieces(docs, path, most, end_id)
-    narrow = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
-    return pack(materialize(narrow, "pieces"), most)
+    narrow = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), F.monotonically_increasing_id().alias("_row"))
+    return pack(materialize(narrow, "pieces"), most).drop("_row")
 
 
 def op4_packing(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:

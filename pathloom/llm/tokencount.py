@@ -17,9 +17,17 @@ from pathloom.llm.bytebpe import byte_bpe
 from pathloom.llm.store import map_arrow, materialize, new_path, read_table, slices
 
 
-def write_flat_files(docs: DataFrame, path: str, folder: str, end_id: int, width: int = 2) -> DataFrame:
+def id_width(path: str, end_id: int) -> int:
+    """Bytes of an id: 2 if the vocabulary and end_id allow it, else 4."""
+    return 2 if max(byte_bpe(path).size, end_id + 1) <= 1 << 16 else 4
+
+
+def write_flat_files(docs: DataFrame, path: str, folder: str, end_id: int) -> DataFrame:
     """Writes ids of whole texts to flat files, end_id behind each document and nothing else; no shuffle.
 
+    An id takes id_width bytes. Null and empty texts are documents of no ids; rows without doc_id and repeated rows are
+    documents of their own; an empty table gives no files.
+
     The special tokens' strings are ordinary text here, so end_id ends documents only. Returns a table of what the
     files leave out: path, ordinal (from 0 within the file), doc_id.
     """
@@ -27,7 +35,7 @@ def write_flat_files(docs: DataFrame, path: str, folder: str, end_id: int, width
     fs_root.create_dir(root, recursive=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, task = byte_bpe(path), TaskContext.get()
+        bpe, task, width = byte_bpe(path), TaskContext.get(), id_width(path, end_id)
         store, base = fs.FileSystem.from_uri(folder)
         name, attempt, n = f"part-{task.partitionId():06d}.bin", f"{base}/.attempt-{task.taskAttemptId()}", 0
         with store.open_output_stream(attempt) as out:
@@ -109,7 +117,8 @@ def op8_token_counts(spark: SparkSession, sf_dir: str, path: str | None = None,
     Null and empty texts count as documents of no tokens, rows that repeat a doc_id as documents of their own.
     """
     folder = new_path(spark, "flat-files")
-    order = write_flat_files(read_table(spark, sf_dir, "documents"), path or default_path("byte_bpe_50k.json"), folder, end_id)
+    path = path or default_path("byte_bpe_50k.json")
+    order = write_flat_files(read_table(spark, sf_dir, "documents"), path, folder, end_id)
     files = materialize(file_sizes(order.select("path").distinct()), "flat-sizes")
-    found = count_tokens(files, end_id)
+    found = count_tokens(files, end_id, id_width(path, end_id))
     return order.join(found, ["path", "ordinal"]).select("doc_id", "n_tokens", F.col("start").alias("file_start"))

@@ -53,10 +53,11 @@ def zstd_dictionary(data: bytes) -> zstandard.ZstdCompressionDict | None:
 
 
 def write_token_files(docs: DataFrame, path: str, folder: str, dictionary: bytes, end_id: int = 2, file_bytes: int = 24 << 20, level: int = 3) -> DataFrame:
-    """Writes the ids of whole texts, end_id behind each, in ascending order of doc_id (null first, ties by text).
+    """Writes the ids of whole texts, end_id behind each, in ascending order of doc_id (null first, ties by the text's hash).
 
     Returns the files (a table): file_no, path, n_docs, n_ids. Files come from a range partitioning of the texts, about
-    file_bytes of text to each. A file is written under its attempt's name and then moved, so that a task may run twice.
+    file_bytes of text to each; rows of one doc_id, or of none, are spread over as many files as they need, repeated rows
+    too, each of which is a document of its own. Null texts count as empty. An empty table gives no files. A file is written under its attempt's name and then moved, so that a task may run twice.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -96,8 +97,9 @@ def write_token_files(docs: DataFrame, path: str, folder: str, dictionary: bytes
         else:
             store.delete_file(attempt)
 
-    ranged = docs.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
-    return materialize(map_arrow(ranged, run, "file_no long, path string, n_docs long, n_ids long"), "token-files")
+    order = ["doc_id", "_hash", "_row"]  # of equal rows any order is right
+    ranged = docs.withColumns({"_hash": F.xxhash64("text"), "_row": F.monotonically_increasing_id()}).repartitionByRange(files, *order).sortWithinPartitions(*order)
+    return materialize(map_arrow(ranged.select("doc_id", "text"), run, "file_no long, path string, n_docs long, n_ids long"), "token-files")
 
 
 class TokenFile:
@@ -140,10 +142,14 @@ class TokenFile:
             k = to
 
 
-def read_token_files(files: DataFrame, dictionary: bytes) -> DataFrame:
+def read_token_files(files: DataFrame, dictionary: bytes, stretch: int = 4096) -> DataFrame:
     """doc_id, start, n_tokens, ids (binary: little-endian 32-bit) of all documents in the files, in any order of rows."""
-    before = Window.orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
-    placed = files.select("path", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("start"))
+    # sums over the files before, by stretches of files and within each of these
+    files = files.withColumn("_stretch", F.floor(F.col("file_no") / stretch))
+    before = Window.orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)  # a row for `stretch` files
+    sums = files.groupBy("_stretch").agg(F.sum("n_ids").alias("_ids")).select("_stretch", F.coalesce(F.sum("_ids").over(before), F.lit(0)).alias("_before"))
+    within = Window.partitionBy("_stretch").orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)
+    placed = files.withColumn("_within", F.coalesce(F.sum("n_ids").over(within), F.lit(0))).join(sums, "_stretch").select("path", (F.col("_before") + F.col("_within")).alias("start"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())

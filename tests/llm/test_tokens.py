@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from pathloom.llm import bpe, bytebpe, packing, tokencount, tokenfiles
@@ -155,7 +156,52 @@ def test_op5_null_ids_and_repeats(spark):
     docs = spark.createDataFrame([(None, "a b"), (1, "c"), (1, "c"), (1, None)], "doc_id long, text string")
     files = tokenfiles.write_token_files(docs, BYTE, new_path(spark, "test-files"), b"")
     rows = sorted(tokenfiles.read_token_files(files, b"").collect(), key=lambda r: r["start"])
-    assert [(r["doc_id"], r["n_tokens"]) for r in rows] == [(None, 3), (1, 1), (1, 2), (1, 2)]
+    assert (rows[0]["doc_id"], rows[0]["n_tokens"]) == (None, 3) and sorted((r["doc_id"], r["n_tokens"]) for r in rows[1:]) == [(1, 1), (1, 2), (1, 2)]
+    assert [r["start"] for r in rows] == [0, *np.cumsum([r["n_tokens"] for r in rows])[:-1]]
+
+
+def test_op5_one_id_is_spread_over_files(spark):
+    docs = spark.createDataFrame([(7 if i % 2 else None, f"text {i % 40}") for i in range(3000)], "doc_id long, text string").repartition(4)
+    files = tokenfiles.write_token_files(docs, BYTE, new_path(spark, "test-files"), b"", file_bytes=2000)
+    sizes = [r["n_docs"] for r in files.collect()]
+    assert sum(sizes) == 3000 and len(sizes) > 8 and max(sizes) < 600
+    for stretch in (3, 4096):
+        rows = sorted(tokenfiles.read_token_files(files, b"", stretch).collect(), key=lambda r: r["start"])
+        assert [r["doc_id"] for r in rows] == [None] * 1500 + [7] * 1500
+        assert [r["start"] for r in rows] == [0, *np.cumsum([r["n_tokens"] for r in rows])[:-1]]
+
+
+def test_op4_repeated_rows_and_null_ids(spark):
+    docs = spark.createDataFrame([(1, "a b c")] * 2000 + [(None, "x")] * 10 + [(None, None)], "doc_id long, text string").withColumns({"length": F.lit(1), "_rank": F.lit(2)}).repartition(3)
+    rows = packing.pack_documents(docs, BYTE).collect()
+    assert len(rows) == 2011 and check_places(rows, 2048) == -(-sum(r["length"] for r in rows) // 2048)
+
+
+def test_op8_and_op2_null_ids_and_repeats(spark):
+    docs = spark.createDataFrame([(1, "a b c")] * 3 + [(None, "a b"), (None, None), (2, "w " * 30_000)], "doc_id long, text string").withColumns({"ids": F.lit(1), "path": F.lit("x"), "n": F.lit(2)})
+    order = tokencount.write_flat_files(docs, BYTE, new_path(spark, "test-flat"), 50256)
+    files = materialize(tokencount.file_sizes(order.select("path").distinct()), "test")
+    counts = order.join(tokencount.count_tokens(files, 50256), ["path", "ordinal"]).collect()
+    assert sorted(((r["doc_id"], r["n_tokens"]) for r in counts), key=str) == sorted([(1, 3)] * 3 + [(None, 2), (None, 0), (2, 30_001)], key=str)
+    assert tokencount.id_width(BYTE, 50256) == 2 and tokencount.id_width(BYTE, 1 << 16) == 4
+    both = bpe.decode_documents(bpe.encode_documents(docs, WORD), WORD)
+    assert sorted((str(r["doc_id"]), len(r["ids"]) // 4, len(r["decoded"].split())) for r in both.collect()) == sorted([("1", 3, 3)] * 3 + [("None", 2, 2), ("None", 0, 0), ("2", 30_000, 30_000)])
+    assert bpe.encode_documents(docs.limit(0), WORD).count() == bpe.decode_documents(docs.limit(0).withColumn("ids", F.lit(b"")), WORD).count() == 0
+
+
+def test_op4_and_op8_queries(spark, tmp_path):
+    rows = [(i, f"text {i} " * (i * 40)) for i in range(12)] + [(20, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    byte = library(BYTE)
+    four, eight = packing.op4_packing(spark, str(tmp_path)).collect(), tokencount.op8_token_counts(spark, str(tmp_path)).collect()
+    check_places(four, 2048)
+    for i, t in rows:
+        ids = byte.encode(t or "", add_special_tokens=False).ids
+        pieces = sorted((r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in four if r["doc_id"] == i)
+        assert sum(p[2] for p in pieces) == len(ids) + 1
+        for _, start, length, crc in pieces:
+            assert crc == zlib.crc32(np.array([*ids, 0][start : start + length], "<u4").tobytes())
+        assert [r["n_tokens"] for r in eight if r["doc_id"] == i] == [len(ids)]
 
 
 def test_op8_counts(spark, docs, none, corpus):
