@@ -7,9 +7,11 @@ and common identifiers of source code. Names, paths and repeated values come out
 
 from __future__ import annotations
 
+import random
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import zstandard
@@ -32,6 +34,9 @@ SENSITIVE = re.compile(
     r"(?ai:pass(?:word|wd|phrase)|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|client[_-]?key|credential|authorization|bearer|signature|auth|session[_-]?id|cookie|license[_-]?key|connection[_-]?string|BEGIN [A-Z ]*PRIVATE KEY)"
 )
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=~!@%^*-]{16,}")
+#: Key material behind a BEGIN line: lines of base64, the last of which may be short.
+KEY_BEGIN = re.compile(r"(?a)BEGIN [A-Z ]*PRIVATE KEY-*[ \t]*\r?\n")
+KEY_BODY = re.compile(r"(?:[ \t]*[A-Za-z0-9+/=]{16,}[ \t]*\r?\n)*[ \t]*[A-Za-z0-9+/=]+")
 #: Common identifiers of source code, settings files and prose about them.
 IDENTIFIERS = (
     "password passwd passphrase username user_name user_id userid client_id client_secret access_token refresh_token api_key apikey secret_key private_key public_key "
@@ -47,6 +52,21 @@ IDENTIFIERS = (
 ).encode()
 
 
+#: Ordinary text that stands ahead of what is measured, so that zstandard codes letters by their frequency from the first on.
+CARRIER = b"The meadow lies quiet under pale evening clouds while farmers walk homeward along winding lanes, talking softly about rain, barley, oxen and a jumbled fiddle tune played yesterday"
+
+
+@lru_cache(1)
+def identifier_dictionary(size: int = 8192, samples: int = 3000) -> bytes:
+    """A zstandard dictionary, code tables included, trained on names made of the common identifiers. One for each worker."""
+    pick, parts = random.Random(7), IDENTIFIERS.decode().split()
+    names = []
+    for i in range(samples):
+        some = [pick.choice(parts) for _ in range(pick.randint(2, 6))]
+        names.append(("".join(map(str.capitalize, some)) if i % 4 == 3 else "_.-"[i % 4].join(some)).encode())
+    return zstandard.train_dictionary(size, names, level=3).as_bytes()
+
+
 def base_spans(text: str, lower: str) -> list[tuple[int, int, str, int, int]]:
     """(start, end, kind, value start, value end) of the fixed patterns, leftmost and non-overlapping within each kind."""
     found = []
@@ -59,16 +79,29 @@ def base_spans(text: str, lower: str) -> list[tuple[int, int, str, int, int]]:
 
 
 class Novelty:
-    """Marginal compressed bytes of a string behind its surroundings and the identifier dictionary."""
+    """Marginal compressed bytes of a string, primed by its surroundings and the identifier dictionary."""
 
-    def __init__(self, around: int = 512, level: int = 3):
-        self.around, self.level = around, level
+    def __init__(self, around: int = 512, level: int = 3, piece: int = 48):
+        self.around, self.level, self.piece = around, level, piece
+
+    def ratio(self, text: str, start: int, end: int) -> float:
+        """What text[start:end] adds in compressed bytes to what stands around it, over its own bytes.
+
+        It is measured in pieces of `piece` characters at most, each behind those before it: a longer piece would be
+        coded by the letters' frequencies, and random letters of a small alphabet be taken for something known.
+        """
+        pieces = -(-(end - start) // self.piece)
+        edges = [start + (end - start) * i // pieces for i in range(pieces + 1)]
+        added = sum(
+            self.size(text[max(0, a - self.around) : a].encode(), text[a:b].encode(), text[end : end + self.around].encode()) for a, b in zip(edges, edges[1:], strict=False)
+        )
+        return added / len(text[start:end].encode())
 
     def size(self, before: bytes, candidate: bytes, after: bytes) -> int:
-        """What the candidate adds in compressed bytes to what stands around it."""
-        primer = zstandard.ZstdCompressionDict(IDENTIFIERS + after + before, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        compress = zstandard.ZstdCompressor(level=self.level, dict_data=primer, write_content_size=False, write_checksum=False).compress
-        return len(compress(candidate)) - len(compress(b""))
+        """What the candidate adds in compressed bytes to ordinary text behind what stands around it."""
+        primer = zstandard.ZstdCompressionDict(identifier_dictionary() + after + before, dict_type=zstandard.DICT_TYPE_FULLDICT)
+        compress = zstandard.ZstdCompressor(level=self.level, dict_data=primer, write_content_size=False, write_checksum=False, write_dict_id=False).compress
+        return len(compress(CARRIER + candidate)) - len(compress(CARRIER))
 
 
 def shapes(value: str) -> int:
@@ -76,12 +109,24 @@ def shapes(value: str) -> int:
     return any("a" <= c <= "z" for c in value) + any("A" <= c <= "Z" for c in value) + any("0" <= c <= "9" for c in value)
 
 
-def novel_spans(text: str, taken: list[tuple[int, int]], reach: int = 48, least_ratio: float = 0.9) -> Iterator[tuple[int, int]]:
+def novel_spans(text: str, taken: list[tuple[int, int]], reach: int = 48, least_ratio: float = 0.81, least_ratio_lower: float = 0.76) -> Iterator[tuple[int, int]]:
     """(start, end) of candidates no further than `reach` characters behind a sensitive word, free of taken spans, of two
-    kinds of characters at least, whose marginal compressed bytes are least_ratio of their own or more."""
+    kinds of characters at least and with a digit, whose marginal compressed bytes are least_ratio of their own or more (least_ratio_lower without upper case, as fewer
+    letters need fewer bits). Behind the BEGIN line of a private key the candidate is its whole body, over all lines."""
     measure, done, covered = Novelty(), 0, sorted(taken)
     starts = [a for a, _ in covered]
+
+    def free(start: int, end: int) -> bool:
+        near = covered[max(0, bisect_left(starts, start) - len(KINDS)) : bisect_left(starts, end)]
+        return not any(a < end and start < b for a, b in near)
+
     for word in SENSITIVE.finditer(text):
+        if word.end() >= done and (begin := KEY_BEGIN.match(text, word.start())) and (body := KEY_BODY.match(text, begin.end())):
+            start, end = body.start() + len(body.group()) - len(body.group().lstrip()), body.end()
+            if free(start, end) and shapes(text[start:end]) > 1 and measure.ratio(text, start, end) >= least_ratio:
+                done = end
+                yield start, end
+                continue
         limit = word.end() + reach
         at = max(word.end(), done)
         # a candidate that starts in reach has its first 16 characters before limit + 16: no search goes further
@@ -92,12 +137,7 @@ def novel_spans(text: str, taken: list[tuple[int, int]], reach: int = 48, least_
             end = start + len(value)
             if len(value) < 16 or shapes(value) < 2 or not any(c.isdigit() for c in value):
                 continue
-            near = covered[max(0, bisect_left(starts, start) - len(KINDS)) : bisect_left(starts, end)]
-            if any(a < end and start < b for a, b in near):
-                continue
-            before, after = text[max(0, start - measure.around) : start].encode(), text[end : end + measure.around].encode()
-            data = value.encode()
-            if measure.size(before, data, after) >= least_ratio * len(data):
+            if free(start, end) and measure.ratio(text, start, end) >= (least_ratio_lower if value == value.lower() else least_ratio):
                 yield start, end
 
 
@@ -146,7 +186,11 @@ def scan_documents(docs: DataFrame) -> DataFrame:
 
 
 def redact_documents(docs: DataFrame) -> DataFrame:
-    """docs with the secret values in text replaced, and n_chars (if there) counted anew for changed texts."""
+    """docs with the secret values in text replaced, and n_chars (if there) counted anew for changed texts.
+
+    Null and empty texts stay as they are; rows without doc_id and repeated rows are each redacted; an empty table gives
+    an empty one. Other columns stay.
+    """
     at = docs.columns.index("text")
     length_at = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
