@@ -44,13 +44,17 @@ class OverlapScorer:
         return np.array(out)
 
 
-def encode(df: DataFrame, text: str, out: str, encoder: Encoder) -> DataFrame:
-    """Adds the encoder's vectors of a text column."""
+def encode(df: DataFrame, text: str, out: str, encoder: Encoder, dimension: int | None = None) -> DataFrame:
+    """Adds the encoder's vectors of a text column; vectors of another dimension than that asked for are an error, seen as
+    they are made."""
 
     @F.pandas_udf("array<double>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series(list(encoder([t if t is not None else "" for t in texts])))
+            found = list(encoder([t if t is not None else "" for t in texts]))
+            if dimension and any(len(v) != dimension for v in found):
+                raise ValueError(f"the encoder's vectors do not have {dimension} components")
+            yield pd.Series(found)
 
     return df.withColumn(out, run(F.col(text)))
 

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from pathloom.lineage import cut_lineage
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -42,50 +44,64 @@ def require_dimension(df: DataFrame, column: str, dimension: int) -> DataFrame:
     return df
 
 
+def packed(df: DataFrame) -> DataFrame:
+    """id, unit (binary: 64-bit floats of the vector over its length; zero vectors stay zero), as a table: what computes the
+    vectors, a model perhaps, runs once. Rows without vector are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            units = []
+            for v in batch.column(1):
+                x = v.values.to_numpy(zero_copy_only=False).astype(np.float64)
+                units.append((x / (np.linalg.norm(x) or 1.0)).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(units, pa.binary())], ["id", "unit"])
+
+    rows = df.select("id", "vector").filter("vector is not null")
+    return cut_lineage(rows.mapInArrow(run, f"id {df.schema['id'].dataType.simpleString()}, unit binary"))
+
+
 def in_blocks(df: DataFrame, block_rows: int, total: int) -> DataFrame:
-    """block, rows: (id, vector) lists of about block_rows rows each, dealt by hash."""
+    """block, rows: (id, unit) lists of about block_rows rows each, dealt by hash, in order of id."""
     blocks = max(1, -(-total // block_rows))
-    dealt = df.select(F.struct("id", "vector").alias("row"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
-    return dealt.groupBy("block").agg(F.collect_list("row").alias("rows"))
+    dealt = df.select(F.struct("id", "unit").alias("row"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
+    return dealt.groupBy("block").agg(F.array_sort(F.collect_list("row")).alias("rows"))
 
 
-def cosine_top_k(queries: DataFrame, items: DataFrame, k: int, digits: int | None = 6, query_rows: int = 512, item_rows: int = 4096) -> DataFrame:
+def cosine_top_k(queries: DataFrame, items: DataFrame, k: int, digits: int | None = None, query_rows: int = 512, item_rows: int = 4096) -> DataFrame:
     """query_id, item_id, score, rank of the k items of highest cosine for each query; ties go to the smaller item_id.
 
-    Both frames have id (any sortable type) and vector. Scores are rounded to `digits` before they are ranked. Fewer
-    than k items give fewer rows; k below 1 counts as 1. Blocks of queries meet blocks of items in one equi-join and
-    leave k rows for each query and block, so neither side has to fit into memory and Spark picks the join by size.
+    Both frames have id (any sortable type) and vector, of one length. Scores are ranked as they are; with `digits` they are rounded to
+    so many before, which makes ties of what differs by the order of summing only. Fewer than k items give fewer rows; k
+    below 1 counts as 1. Vectors are brought to length one and packed once. Blocks of queries meet blocks of items in one
+    equi-join and leave k rows for each query and block, so neither side has to fit into memory and Spark picks the join
+    by size.
     """
     k = max(1, k)
-    id_type = items.schema["id"].dataType
-    q, c = queries.select("id", "vector").filter("vector is not null"), items.select("id", "vector").filter("vector is not null")
+    q, c = packed(queries), packed(items)
     n_items = c.count()
     item_blocks = in_blocks(c, item_rows, n_items)
     n_blocks = F.sequence(F.lit(0), F.lit(max(0, -(-n_items // item_rows) - 1)))
     query_blocks = in_blocks(q, query_rows, q.count()).select(F.col("rows").alias("query_rows"), F.explode(n_blocks).alias("block"))
-    met = query_blocks.join(item_blocks, "block").select("query_rows", "rows")
-    query_kind = queries.schema["id"].dataType
+    lists = lambda c, name: (F.transform(c, lambda r: r["id"]).alias(f"{name}_ids"), F.transform(c, lambda r: r["unit"]).alias(f"{name}_units"))
+    met = query_blocks.join(item_blocks, "block").select(*lists(F.col("query_rows"), "query"), *lists(F.col("rows"), "item"))
 
-    def unit(rows: list) -> np.ndarray:
-        m = np.array([r["vector"] for r in rows], np.float64)
-        lengths = np.linalg.norm(m, axis=1, keepdims=True)
-        return m / np.where(lengths == 0, 1, lengths)
+    def matrix(units: pa.Array) -> np.ndarray:
+        return np.frombuffer(b"".join(units.to_pylist()), np.float64).reshape(len(units), -1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                ours, theirs = batch.column(0)[i].as_py(), sorted(batch.column(1)[i].as_py(), key=lambda r: r["id"])
-                scores = unit(ours) @ unit(theirs).T
+                our_ids, ours, their_ids, theirs = (batch.column(c)[i].values for c in range(4))
+                scores = matrix(ours) @ matrix(theirs).T
                 if digits is not None:
                     scores = np.round(scores, digits) + 0.0
                 best = np.argsort(-scores, axis=1, kind="stable")[:, :k]  # stable: the smaller id is first
-                flat = best.ravel()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(np.array([r["id"] for r in ours], object), best.shape[1]).tolist(), batch.schema.field(0).type.value_type.field(0).type),
-                     pa.array([theirs[j]["id"] for j in flat], batch.schema.field(1).type.value_type.field(0).type), pa.array(np.take_along_axis(scores, best, axis=1).ravel())],
+                    [our_ids.take(pa.array(np.repeat(np.arange(len(our_ids)), best.shape[1]))), their_ids.take(pa.array(best.ravel())), pa.array(np.take_along_axis(scores, best, axis=1).ravel())],
                     ["query_id", "item_id", "score"],
                 )
 
-    found = met.mapInArrow(run, f"query_id {query_kind.simpleString()}, item_id {id_type.simpleString()}, score double")
+    kinds = (queries.schema["id"].dataType.simpleString(), items.schema["id"].dataType.simpleString())
+    found = met.mapInArrow(run, f"query_id {kinds[0]}, item_id {kinds[1]}, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "item_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)

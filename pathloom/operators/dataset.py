@@ -7,13 +7,31 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pathloom.functions import text
+from pathloom.lineage import cut_lineage
 from pathloom.sources.sinks import first_by, last_by
 
 
-def grouped_lists(df: DataFrame, key: str, value: str, seq: str) -> DataFrame:
-    """key and the list of values in order of seq."""
-    rows = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(seq).alias("s"), F.col(value).alias("v")))).alias("r"))
-    return rows.select(key, F.transform("r", lambda x: x["v"]).alias(f"{value}_list"))
+def numbered_in_group(df: DataFrame, key: str, seq: str, name: str, parts: int = 64) -> DataFrame:
+    """Adds name: 0, 1, ... among the rows of a key in order of seq.
+
+    Keys are few and their rows have no bound, so all rows are dealt by ranges of (key, seq), numbered within each range and
+    moved by the sizes of the ranges before them; no task has a whole key.
+    """
+    ranged = df.repartitionByRange(parts, key, seq).sortWithinPartitions(key, seq)
+    ranged = cut_lineage(ranged.withColumn("_part", F.spark_partition_id()))
+    sizes = ranged.groupBy(key, "_part").agg(F.count(F.lit(1)).alias("_n"))  # a row for each key and range
+    before = F.sum("_n").over(Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select(F.col(key).alias("_key"), F.col("_part").alias("_p"), F.coalesce(before, F.lit(0)).alias("_sum_before"))
+    local = F.row_number().over(Window.partitionBy(key, "_part").orderBy(seq)) - 1
+    joined = ranged.withColumn("_local", local).join(sizes, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_part") == F.col("_p")))
+    return joined.withColumn(name, F.col("_sum_before") + F.col("_local")).drop("_key", "_p", "_part", "_local", "_sum_before")
+
+
+def grouped_lists(df: DataFrame, key: str, value: str, seq: str, most: int = 1000) -> DataFrame:
+    """key, part and the list of values in order of seq, `most` to a row: part 0 has the first, and so on."""
+    rows = numbered_in_group(df.select(key, *{value, seq}), key, seq, "_i").withColumn("part", F.floor(F.col("_i") / most))
+    lists = rows.groupBy(key, "part").agg(F.array_sort(F.collect_list(F.struct(F.col("_i").alias("s"), F.col(value).alias("v")))).alias("r"))
+    return lists.select(key, "part", F.transform("r", lambda x: x["v"]).alias(f"{value}_list"))
 
 
 def to_triplets(samples: DataFrame, group: str, seq: str) -> DataFrame:
@@ -22,8 +40,7 @@ def to_triplets(samples: DataFrame, group: str, seq: str) -> DataFrame:
     samples: group, seq, query, positive, negatives.
     """
     pool = samples.groupBy(group).agg(F.min_by(F.coalesce("negatives", F.array().cast("array<string>")), F.col(seq)).alias("_pool"))
-    nth = F.row_number().over(Window.partitionBy(group).orderBy(seq)) - 1
-    joined = samples.withColumn("_i", nth).join(pool, group)
+    joined = numbered_in_group(samples, group, seq, "_i").join(pool, group)
     pick = F.when(F.size("_pool") == 0, F.lit("")).otherwise(F.try_element_at("_pool", (F.col("_i") % F.greatest(F.size("_pool"), F.lit(1)) + 1).cast("int")))
     return joined.withColumn("negative", pick).drop("_i", "_pool")
 
@@ -41,12 +58,18 @@ def split_by_group(df: DataFrame, group: str, seq: str, test_rows: int, seed: in
     """
     order = F.xxhash64(F.lit(seed), F.col(group)) if order is None else order
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).withColumn("_order", order)
-    # a row for each group: running sizes decide which groups the test set takes
+    # running sizes decide which groups the test set takes: test_rows groups at most, as each has a row
     before = F.sum("_n").over(Window.orderBy("_order", group).rowsBetween(Window.unboundedPreceding, -1))
-    taken = sizes.withColumn("_before", F.coalesce(before, F.lit(0))).filter(F.col("_before") < test_rows).select(group, "_before")
-    test = df.join(taken, group).withColumn("_i", F.col("_before") + F.row_number().over(Window.partitionBy(group).orderBy(seq)))
+    first = sizes.orderBy("_order", group).limit(max(test_rows, 0))
+    taken = first.withColumn("_before", F.coalesce(before, F.lit(0))).filter(F.col("_before") < test_rows).select(group, "_before")
+    test = numbered_in_group(df.join(taken, group), group, seq, "_i")
     train = df.join(taken.select(group), group, "left_anti")
-    return train, test.filter(F.col("_i") <= test_rows).drop("_before", "_i")
+    return train, test.filter(F.col("_before") + F.col("_i") < test_rows).drop("_before", "_i")
+
+
+def extended(existing: DataFrame, new: DataFrame) -> DataFrame:
+    """An existing data set with the new samples behind it; nothing is dropped as repeated."""
+    return existing.unionByName(new, allowMissingColumns=True)
 
 
 def shared_groups(train: DataFrame, test: DataFrame, group: str) -> DataFrame:

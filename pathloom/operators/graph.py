@@ -25,8 +25,9 @@ class Graph:
 
 
 def skill_nodes(skills: DataFrame, seq: str | None = None) -> DataFrame:
-    """One row for each skill_id, the last one's columns."""
-    return last_by(skills, ["skill_id"], seq).drop(seq) if seq else skills.dropDuplicates(["skill_id"])
+    """One row for each skill_id, the last one's columns: by seq, or without it in the order in which Spark reads the rows."""
+    rows = skills if seq else skills.withColumn("_seq", F.monotonically_increasing_id())
+    return last_by(rows, ["skill_id"], seq or "_seq").drop(seq or "_seq")
 
 
 def broader_edges(skills: DataFrame) -> DataFrame:
@@ -63,9 +64,9 @@ def merge_course_edges(edges: DataFrame, courses: DataFrame, skills: DataFrame,
 
 
 def build_graph(skills: DataFrame, mappings: DataFrame | None = None, seq: str = "seq") -> Graph:
-    """The whole graph; without mappings its course half is empty."""
+    """The whole graph; without mappings its course half is empty. seq orders mappings, and skills if they have it."""
     spark = skills.sparkSession
-    nodes = skill_nodes(skills)
+    nodes = skill_nodes(skills, seq if seq in skills.columns else None)
     id_type = skills.schema["skill_id"].dataType.simpleString()
     broader = merge_broader(broader_edges(skills), nodes)
     if mappings is None:

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from pathloom.functions import text
 from pathloom.functions.models import Encoder, Scorer, encode, pair_scores
-from pathloom.functions.vectors import cosine_top_k, require_dimension
+from pathloom.functions.vectors import cosine_top_k
 
 
 def course_keys(courses: DataFrame) -> DataFrame:
@@ -47,8 +47,7 @@ def build_skill_index(skills: DataFrame, encoder: Encoder, dimension: int | None
     if max_records:
         found = found.orderBy("skill_id").limit(max_records)
     found = found.withColumn("text", text.skill_text(F.col("preferred_label"), F.col("description"), F.col("alternative_labels")))
-    out = encode(found, "text", "embedding", encoder)
-    return require_dimension(out, "embedding", dimension) if dimension else out
+    return encode(found, "text", "embedding", encoder, dimension)
 
 
 def rerank(candidates: DataFrame, scorer: Scorer | None) -> DataFrame:
@@ -64,7 +63,7 @@ def apply_threshold(df: DataFrame, score: str, threshold: float, columns: list[s
     return df.withColumns({c: F.when(F.col(score) >= threshold, F.col(c)) for c in columns})
 
 
-def map_vectors(queries: DataFrame, items: DataFrame, top_k: int, threshold: float, scorer: Scorer | None = None, digits: int | None = 6) -> DataFrame:
+def map_vectors(queries: DataFrame, items: DataFrame, top_k: int, threshold: float, scorer: Scorer | None = None, digits: int | None = None) -> DataFrame:
     """The winner for each query: query_id, item_id (null below the threshold), score (the winner's cosine, never the scorer's).
 
     queries and items: id, vector, text.
@@ -76,12 +75,15 @@ def map_vectors(queries: DataFrame, items: DataFrame, top_k: int, threshold: flo
     return apply_threshold(winners, "score", threshold, ["item_id"])
 
 
-def map_course_skills(course_skills: DataFrame, index: DataFrame, encoder: Encoder, scorer: Scorer | None = None, top_k: int = 50, threshold: float = 0.5) -> DataFrame:
-    """Mapping records of flattened course skills, against an index with skill_id, preferred_label, description, text, embedding."""
+def map_course_skills(course_skills: DataFrame, index: DataFrame, encoder: Encoder, scorer: Scorer | None = None, top_k: int = 50, threshold: float = 0.5, digits: int | None = None) -> DataFrame:
+    """Mapping records of flattened course skills, against an index with skill_id, preferred_label, description, text, embedding.
+
+    Each text is encoded once: the vectors are packed into a table before anything counts or joins them.
+    """
     keyed = course_skills.withColumns({"id": F.to_json("seq"), "text": course_skill_payload()})
     queries = encode(keyed.select("id", "text"), "text", "vector", encoder)
     items = index.select(F.col("skill_id").alias("id"), F.col("embedding").alias("vector"), "text")
-    won = map_vectors(queries, items, top_k, threshold, scorer)
+    won = map_vectors(queries, items, top_k, threshold, scorer, digits)
     named = index.select(F.col("skill_id").alias("item_id"), F.col("preferred_label").alias("esco_preferred_label"), F.col("description").alias("esco_description"))
     details = won.join(named, "item_id", "left").select(F.col("query_id").alias("id"), F.col("item_id").alias("esco_skill_id"), "esco_preferred_label", "esco_description", F.col("score").alias("similarity_score"))
     return keyed.join(details, "id", "left").drop("id", "text")

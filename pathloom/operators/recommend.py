@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pathloom.lineage import cut_lineage
 from pathloom.operators.graph import Graph
-from pathloom.operators.lineage import cut_lineage
 from pathloom.operators.search import resolve_names, skill_details
 
 
@@ -23,10 +23,11 @@ def courses_for_skills(graph: Graph, ids: DataFrame) -> DataFrame:
     return graph.courses.join(taught.select("course_id"), "course_id", "left_semi")
 
 
-def skill_lists(edges: DataFrame, skills: DataFrame, name: str) -> DataFrame:
-    """course_id and the sorted set of its skills (skill_id, preferred_label)."""
-    named = edges.select("course_id", "skill_id").join(skills.select("skill_id", "preferred_label"), "skill_id")
-    return named.groupBy("course_id").agg(F.array_sort(F.collect_set(F.struct("skill_id", "preferred_label"))).alias(name))
+def skill_lists(edges: DataFrame, skills: DataFrame, name: str, *more: Column) -> DataFrame:
+    """course_id and the sorted set of its known skills (skill_id, preferred_label), with further aggregates over all its edges."""
+    named = edges.join(skills.select("skill_id", "preferred_label", F.lit(True).alias("_known")), "skill_id", "left")
+    found = F.when(F.col("_known"), F.struct("skill_id", "preferred_label"))
+    return named.groupBy("course_id").agg(F.array_sort(F.collect_set(found)).alias(name), *more)
 
 
 def enrich_courses(graph: Graph, courses: DataFrame) -> DataFrame:
@@ -36,9 +37,9 @@ def enrich_courses(graph: Graph, courses: DataFrame) -> DataFrame:
     """
     wanted = courses.select("course_id")
     of = lambda edges: edges.join(wanted, "course_id", "left_semi")
-    scores = of(graph.teaches).groupBy("course_id").agg(F.avg(F.nullif("similarity_score", F.lit(0.0))).alias("similarity_score"))
-    out = courses.join(skill_lists(of(graph.teaches), graph.skills, "taught_skills"), "course_id", "left")
-    out = out.join(skill_lists(of(graph.requires), graph.skills, "required_skills"), "course_id", "left").join(scores, "course_id", "left")
+    score = F.avg(F.nullif("similarity_score", F.lit(0.0))).alias("similarity_score")
+    out = courses.join(skill_lists(of(graph.teaches), graph.skills, "taught_skills", score), "course_id", "left")
+    out = out.join(skill_lists(of(graph.requires), graph.skills, "required_skills"), "course_id", "left")
     kind = lambda c: F.coalesce(c, F.array().cast(out.schema[c].dataType))
     return out.withColumns({c: kind(c) for c in ("taught_skills", "required_skills")})
 
@@ -60,17 +61,21 @@ def in_degrees(courses: DataFrame, edges: DataFrame) -> DataFrame:
     return courses.select("course_id").join(counts, "course_id", "left").select("course_id", F.coalesce("in_degree", F.lit(0)).alias("in_degree"))
 
 
-def prerequisite_levels(courses: DataFrame, edges: DataFrame) -> DataFrame:
+def prerequisite_levels(graph: Graph, courses: DataFrame) -> DataFrame:
     """course_id, prerequisite_level: the wave in which all that comes before is done. Courses on a cycle or behind one have level 0.
 
-    One round for each wave, one table written in each: a course is solved if no course before it is left unsolved.
+    One round for each wave, one table written in each: a course is solved if none but itself, of those left unsolved,
+    teaches a skill that it requires. That is told from the least and the greatest unsolved teacher of each skill, so
+    the pairs of courses, of which a skill with many teachers has very many, are never made: work is linear in the edges.
     """
     nodes = cut_lineage(courses.select("course_id").distinct().withColumn("prerequisite_level", F.lit(None).cast("int")))
-    edges = cut_lineage(edges.filter("before <> after").select("before", "after").distinct())
-    wave = 0
+    of = lambda edges: cut_lineage(edges.select("course_id", "skill_id").join(nodes, "course_id", "left_semi").distinct())
+    teaches, requires, wave = of(graph.teaches), of(graph.requires), 0
     while True:
-        left = nodes.filter("prerequisite_level is null").select(F.col("course_id").alias("before"))
-        blocked = edges.join(left, "before", "left_semi").select(F.col("after").alias("course_id")).distinct().withColumn("_blocked", F.lit(True))
+        left = nodes.filter("prerequisite_level is null").select("course_id")
+        unsolved = teaches.join(left, "course_id", "left_semi").groupBy("skill_id").agg(F.min("course_id").alias("least"), F.max("course_id").alias("most"))
+        waiting = requires.join(left, "course_id", "left_semi").join(unsolved, "skill_id").filter("least <> course_id or most <> course_id")
+        blocked = waiting.select("course_id").distinct().withColumn("_blocked", F.lit(True))
         solved = F.col("prerequisite_level").isNull() & F.col("_blocked").isNull()
         level = F.when(solved, F.lit(wave)).otherwise(F.col("prerequisite_level"))
         found = cut_lineage(nodes.join(blocked, "course_id", "left").select("course_id", level.alias("prerequisite_level")))
@@ -93,7 +98,7 @@ def recommend_courses(graph: Graph, skill_ids: DataFrame | None = None, skill_na
     if not ids or (wanted := ids[0] if len(ids) == 1 else ids[0].unionByName(ids[1])).isEmpty():
         raise ValueError("no skill is given")
     found = cut_lineage(courses_for_skills(graph, wanted))
-    levels = prerequisite_levels(found, course_dependencies(graph, found))
+    levels = prerequisite_levels(graph, found)
     ranked = found.join(levels, "course_id").orderBy(*(["prerequisite_level"] if order == "topological" else []), "course_id").limit(max_courses)
     return enrich_courses(graph, ranked)
 

@@ -7,13 +7,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pathloom import schemas
 from pathloom.sources.readers import require_columns
 from pathloom.sources.sinks import first_by
 
 #: Fixed patterns of law texts.
 ARTICLE = r"(?iu)^Điều\s+(\d+)\s*[:.]?\s*(.*)$"
 CLAUSE = r"^(\d+)\.\s+(.*)$"
-REPORT = ("course_id", "course_title", "skill_name", "skill_type", "category", "proficiency_level", "esco_skill_id", "esco_preferred_label", "similarity_score")
+REPORT = tuple(schemas.MAPPING.fieldNames())
 
 
 def mapping_report(mappings: DataFrame, columns: tuple[str, ...] = REPORT) -> DataFrame:
@@ -64,7 +65,7 @@ def deepest(*levels: str) -> Column:
 
 def in_range(df: DataFrame, value: str, ranges: DataFrame, missing: str = "Not found", missing_no: int = -1) -> DataFrame:
     """Adds chapter_name and chapter_number of the range (first, last, chapter_name, chapter_number; a document's table of contents) that holds value."""
-    joined = df.join(F.broadcast(ranges), F.col(value).between(F.col("first"), F.col("last")), "left").drop("first", "last")
+    joined = df.join(ranges, F.col(value).between(F.col("first"), F.col("last")), "left").drop("first", "last")
     return joined.withColumns({"chapter_name": F.coalesce("chapter_name", F.lit(missing)), "chapter_number": F.coalesce("chapter_number", F.lit(missing_no))})
 
 

@@ -52,18 +52,18 @@ def skill_details(skills: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def resolve_names(skills: DataFrame, names: DataFrame) -> DataFrame:
-    """name, skill_id: the first hit of the search for each name (a request's few names); names without a hit are left out.
+    """name, skill_id: the first hit of the search for each name; names without a hit are left out.
 
-    All names are resolved in one pass over the skills; each keeps one row for each partition before the shuffle.
+    Names are looked for within texts, so each meets every skill: a nested-loop join on the match, of which Spark copies a side
+    only if its size allows it. Each name keeps one row for each partition before the shuffle.
     """
-    wanted = F.broadcast(names.select("name").distinct())  # a request's own list
     tier = match_tier(skills, F.col("name"))
-    found = skills.crossJoin(wanted).withColumn("_tier", tier).filter("_tier is not null")
+    found = skills.join(names.select("name").distinct(), tier.isNotNull()).withColumn("_tier", tier)
     best = found.groupBy("name").agg(F.min(F.struct("_tier", "skill_id")).alias("b"))
     return best.select("name", F.col("b.skill_id").alias("skill_id"))
 
 
-def search_by_vector(queries: DataFrame, skills: DataFrame, limit: int = 10, digits: int | None = 6) -> DataFrame:
+def search_by_vector(queries: DataFrame, skills: DataFrame, limit: int = 10, digits: int | None = None) -> DataFrame:
     """query_id, skill_id, preferred_label, description, score (cosine + 1), rank. queries: id, vector; skills: also embedding."""
     found = cosine_top_k(queries, skills.select(F.col("skill_id").alias("id"), F.col("embedding").alias("vector")), limit, digits)
     named = skills.select(F.col("skill_id").alias("item_id"), "preferred_label", "description")

@@ -24,10 +24,6 @@ FROM {courses} c
 LEFT JOIN (SELECT course_id, string_agg(CAST(skill_id AS VARCHAR), ',' ORDER BY skill_id) AS taught_skills, avg(nullif(similarity_score, 0)) AS similarity_score FROM teaches GROUP BY course_id) t USING (course_id)
 LEFT JOIN (SELECT course_id, string_agg(CAST(skill_id AS VARCHAR), ',' ORDER BY skill_id) AS required_skills FROM requires GROUP BY course_id) r USING (course_id)"""
 DEPENDENCIES = "SELECT DISTINCT t.course_id AS before, r.course_id AS after FROM requires r JOIN teaches t USING (skill_id) WHERE t.course_id <> r.course_id"
-LEVELS = f"""few AS (SELECT * FROM courses WHERE course_id < 300),
-deps AS (SELECT * FROM ({DEPENDENCIES}) WHERE before < after AND before < 300 AND after < 300),
-walk AS (SELECT course_id, 0 AS level FROM few UNION SELECT d.after, w.level + 1 FROM walk w JOIN deps d ON d.before = w.course_id),
-levels AS (SELECT course_id, CAST(max(level) AS INTEGER) AS prerequisite_level FROM walk GROUP BY course_id)"""
 
 
 def tiers(text: str, q: str) -> str:
@@ -84,12 +80,6 @@ SELECT course_id, category, source_file FROM (
     "course_avg_similarity_nonzero": "SELECT l_orderkey AS course_id, round(avg(nullif(l_discount, 0)), 6) AS similarity_score FROM lineitem GROUP BY 1",
     "course_dependencies": f"WITH {GRAPH} {DEPENDENCIES}",
     "in_degree": f"WITH {GRAPH} SELECT c.course_id, count(d.before) AS in_degree FROM courses c LEFT JOIN ({DEPENDENCIES}) d ON d.after = c.course_id GROUP BY c.course_id",
-    "prerequisite_levels": f"WITH RECURSIVE {GRAPH}, {LEVELS} SELECT course_id, prerequisite_level FROM levels",
-    "recommend_courses": f"WITH RECURSIVE {GRAPH}, {LEVELS}, first AS (SELECT s.*, l.prerequisite_level FROM few s JOIN levels l USING (course_id) ORDER BY prerequisite_level, course_id LIMIT 20) {ENRICHED.format(courses='first')}",
-    "recommend_by_names": f"""
-WITH {GRAPH}, names AS (SELECT min_by(skill_id, (t, skill_id)) AS skill_id FROM (SELECT name, p_partkey AS skill_id, {tiers('', 'name')} AS t FROM part, (VALUES ('ring'), ('plate'), ('no such name'), ('Gear')) v(name)) WHERE t IS NOT NULL GROUP BY name),
-first AS (SELECT * FROM courses WHERE course_id IN (SELECT course_id FROM teaches WHERE skill_id IN {IDS} OR skill_id IN (SELECT skill_id FROM names)) ORDER BY course_id LIMIT 10)
-{ENRICHED.format(courses='first')}""",
     "metrics_at_k": GOLD + """
 SELECT k, round(coalesce(avg(CASE WHEN rank <= k THEN 1.0::DOUBLE ELSE 0 END), 0), 6) AS accuracy, round(coalesce(avg(CASE WHEN rank <= k THEN 1.0::DOUBLE / rank ELSE 0 END), 0), 6) AS mrr,
        round(coalesce(avg(CASE WHEN rank <= k THEN 1.0::DOUBLE ELSE 0 END), 0) / k, 6) AS precision, round(coalesce(avg(CASE WHEN rank <= k THEN 1.0::DOUBLE ELSE 0 END), 0), 6) AS recall
@@ -102,7 +92,7 @@ SELECT doc_id, s.source, coalesce(pool.negatives[CAST(i % 3 AS INTEGER) + 1], ''
     "split_by_group": f"WITH {SPLIT} SELECT doc_id, source, 'train' AS part FROM train UNION ALL SELECT doc_id, source, 'test' AS part FROM test",
     "split_overlap": f"WITH {SPLIT} SELECT count(*) AS n_shared FROM (SELECT source FROM train INTERSECT SELECT source FROM test)",
     "dataset_stats": "SELECT count(*) AS n_rows, count(DISTINCT source) AS n_groups, round(count(*)::DOUBLE / count(DISTINCT source), 6) AS per_group, 0::BIGINT AS n_removed FROM documents",
-    "negatives_by_group": "SELECT source, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS ids FROM documents GROUP BY source",
+    "negatives_by_group": "SELECT source, i // 100 AS part, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS ids FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i FROM documents) GROUP BY 1, 2",
     "resume_antijoin": "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "pos_neg_combine": "SELECT d.doc_id, d.source, n.negative_id FROM documents d JOIN (SELECT source, max(doc_id) AS negative_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels) GROUP BY source) n USING (source) WHERE d.lang = 'en'",
     "label_status": "SELECT doc_id, source, doc_id IN (SELECT doc_id FROM labels) AS is_labeled FROM documents",
@@ -156,4 +146,6 @@ LEFT JOIN (SELECT l_partkey, string_agg(CAST(l_suppkey AS VARCHAR), ',' ORDER BY
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLE)
+    from pathloom.plans.flows_sql import FLOWS  # which uses parts of this module
+
+    return ORACLE | FLOWS

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pathloom.functions import text
-from pathloom.functions.vectors import cosine_top_k, normalize
+from pathloom.functions.vectors import cosine_top_k, normalize, require_dimension
 from pathloom.operators import dataset, evaluate, graph, labels, mapping, recommend, reports, search
 from pathloom.plans import fixtures
 from pathloom.plans.fixtures import table
@@ -21,7 +21,6 @@ REGISTRY: dict[str, Query] = {}
 #: What requests ask for; the same values stand in the SQL.
 QUERY_EVERY = 25
 THRESHOLD = 0.35
-COURSES_BELOW = 300
 SKILL_IDS = (7, 19, 42, 77, 101, 150)
 NAMES = ("ring", "plate", "no such name", "Gear")
 
@@ -43,7 +42,7 @@ def joined(lists, field: str):
 def top(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     """Every 25th vector against all others."""
     v = fixtures.vectors(spark, sf_dir)
-    found = cosine_top_k(v.filter(F.col("id") % QUERY_EVERY == 0), v, k + 1).filter("query_id <> item_id")
+    found = cosine_top_k(v.filter(F.col("id") % QUERY_EVERY == 0), v, k + 1, digits=6).filter("query_id <> item_id")
     return found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))).filter(F.col("rank") <= k)
 
 
@@ -63,7 +62,7 @@ def vector_top_10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def vector_search_plus_one(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = fixtures.vectors(spark, sf_dir)
     named = v.select(F.col("id").alias("skill_id"), F.col("vector").alias("embedding"), F.col("text").alias("preferred_label"), F.col("text").alias("description"))
-    found = search.search_by_vector(v.filter(F.col("id") % QUERY_EVERY == 0), named, 5)
+    found = search.search_by_vector(v.filter(F.col("id") % QUERY_EVERY == 0), named, 5, digits=6)
     return found.select("query_id", "skill_id", "preferred_label", F.round("score", 6).alias("score"), "rank")
 
 
@@ -76,7 +75,7 @@ def vector_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def vector_dim_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = table(spark, sf_dir, "embeddings")
+    v = require_dimension(table(spark, sf_dir, "embeddings"), "embedding", table(spark, sf_dir, "embeddings").select(F.size("embedding")).first()[0])
     return v.groupBy(F.size("embedding").alias("dimension")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -175,8 +174,9 @@ def course_details(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def course_avg_similarity_nonzero(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The discount itself as score: it is often 0."""
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("course_id"), F.col("l_discount").alias("score"))
-    return rows.groupBy("course_id").agg(F.round(F.avg(F.nullif("score", F.lit(0.0))), 6).alias("similarity_score"))
+    edges = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("course_id"), F.col("l_partkey").alias("skill_id"), F.col("l_discount").alias("similarity_score"))
+    g = graph.Graph(fixtures.skills(spark, sf_dir), edges.select("course_id").distinct(), None, edges, edges.limit(0))
+    return recommend.enrich_courses(g, g.courses).select("course_id", F.round("similarity_score", 6).alias("similarity_score"))
 
 
 @query
@@ -191,36 +191,6 @@ def in_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recommend.in_degrees(g.courses, recommend.course_dependencies(g, g.courses))
 
 
-def below(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """A request's candidate courses, and their dependencies from smaller to greater keys: free of cycles at every scale."""
-    g = fixtures.graph(spark, sf_dir)
-    some = g.courses.filter(F.col("course_id") < COURSES_BELOW)
-    return some, recommend.course_dependencies(g, some).filter("before < after")
-
-
-@query
-def prerequisite_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return recommend.prerequisite_levels(*below(spark, sf_dir))
-
-
-@query
-def recommend_courses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Courses for skills among the candidates, in topological order."""
-    g = fixtures.graph(spark, sf_dir)
-    some, edges = below(spark, sf_dir)
-    levels = recommend.prerequisite_levels(some, edges)
-    ranked = some.join(levels, "course_id").orderBy("prerequisite_level", "course_id").limit(20)
-    return flat(recommend.enrich_courses(g, ranked)).withColumn("similarity_score", F.round("similarity_score", 6))
-
-
-@query
-def recommend_by_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole request, from names to courses, without levels (which may meet cycles here)."""
-    g = fixtures.graph(spark, sf_dir)
-    found = recommend.recommend_courses(g, given(spark, "skill_id", SKILL_IDS, "long"), given(spark, "name", NAMES, "string"), 10)
-    return flat(found).withColumn("similarity_score", F.round("similarity_score", 6)).drop("prerequisite_level")
-
-
 def label_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """query_id, rank: where the query's label stands first among those of its 20 neighbours."""
     label = fixtures.vectors(spark, sf_dir).select("id", "label")
@@ -277,9 +247,9 @@ def dataset_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def negatives_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lists of a group in order."""
-    rows = dataset.grouped_lists(table(spark, sf_dir, "documents"), "source", "doc_id", "doc_id")
-    return rows.select("source", F.array_join(F.transform("doc_id_list", lambda x: x.cast("string")), ",").alias("ids"))
+    """Lists of a group in order, 100 to a row."""
+    rows = dataset.grouped_lists(table(spark, sf_dir, "documents"), "source", "doc_id", "doc_id", most=100)
+    return rows.select("source", "part", F.array_join(F.transform("doc_id_list", lambda x: x.cast("string")), ",").alias("ids"))
 
 
 @query
@@ -416,7 +386,7 @@ def verify_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def report_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fixtures.mappings(spark, sf_dir).select(F.col("course_id"), F.col("esco_skill_id").alias("course_title"), F.col("skill_type").alias("skill_name"), "similarity_score")
-    return reports.mapping_report(rows, ("course_id", "course_title", "skill_name", "similarity_score"))
+    return reports.mapping_report(rows, ("course_id", "course_title", "skill_name", "similarity_score"))  # mapping_report_columns has all
 
 
 @query
@@ -439,4 +409,6 @@ def broader_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
+    from pathloom.plans import flows  # noqa: F401  registers its queries too
+
     return dict(REGISTRY)

@@ -19,10 +19,20 @@ def column_or_null(df: DataFrame, name: str):
     return F.col(f"`{name}`") if name in df.columns else F.lit(None).cast("string")
 
 
+def by_file_order(df: DataFrame) -> DataFrame:
+    """Adds seq, which orders rows by file path, then place in the file. df comes straight from a file reader.
+
+    A file, or a block of one, is read by one task in its order; numbers alone would follow the tasks, which Spark fills
+    by the files' sizes.
+    """
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    return df.withColumn("seq", place)
+
+
 def read_relations(spark: SparkSession, path: str) -> DataFrame:
     """originalSkillUri, relatedSkillUri, relationType, seq."""
     df = read_csv(spark, path)
-    return df.select("originalSkillUri", "relatedSkillUri", column_or_null(df, "relationType").alias("relationType"), F.monotonically_increasing_id().alias("seq"))
+    return by_file_order(df).select("originalSkillUri", "relatedSkillUri", column_or_null(df, "relationType").alias("relationType"), "seq")
 
 
 def taxonomy_skills(rows: DataFrame, relations: DataFrame | None = None, separator: str = "|") -> DataFrame:
@@ -54,7 +64,17 @@ def read_courses(spark: SparkSession, root: str) -> DataFrame:
 
 def read_mappings(spark: SparkSession, path: str) -> DataFrame:
     """Mapping records, blank lines skipped, with seq by file and line."""
-    return spark.read.schema(schemas.MAPPING).json(path).withColumn("seq", F.monotonically_increasing_id())
+    return by_file_order(spark.read.schema(schemas.MAPPING).json(path))
+
+
+def read_label_folder(spark: SparkSession, root: str) -> DataFrame:
+    """Course files under a folder as rows for label_catalogue: course, seq (file, place in it), skill."""
+    courses = read_courses(spark, root)
+    names = F.concat(*(F.transform(F.coalesce(c, F.array().cast(kind)), lambda s: s["skill_name"]) for c, kind in (
+        (F.col("skill_outcomes"), courses.schema["skill_outcomes"].dataType), (F.col("entry_requirements.minimum_entry_skills"), T.ArrayType(schemas.ENTRY_SKILL)),
+    )))
+    rows = courses.select(F.coalesce("course_id", "courseCode", F.regexp_extract("source_file", r"([^/]+)\.json$", 1)).alias("course"), "source_file", F.posexplode(names).alias("pos", "skill"))
+    return rows.select("course", F.struct(F.col("source_file").alias("file"), "pos").alias("seq"), "skill")
 
 
 def read_embedded_skills(spark: SparkSession, path: str) -> DataFrame:
@@ -63,7 +83,7 @@ def read_embedded_skills(spark: SparkSession, path: str) -> DataFrame:
 
 def read_json_array(spark: SparkSession, path: str, schema: T.StructType = schemas.SAMPLE) -> DataFrame:
     """A dataset kept as one JSON array, with seq."""
-    return spark.read.schema(schema).json(path, multiLine=True).withColumn("seq", F.monotonically_increasing_id())
+    return by_file_order(spark.read.schema(schema).json(path, multiLine=True))
 
 
 def read_text_file(spark: SparkSession, path: str) -> DataFrame:

@@ -37,8 +37,8 @@ def append_table(df: DataFrame, path: str) -> None:
 
 
 def upserted(old: DataFrame, new: DataFrame, keys: list[str], seq: str = "seq") -> DataFrame:
-    """old with the rows of new put over those of the same keys; within each the greatest seq wins."""
-    order = F.struct(F.lit(0).alias("g"), F.col(seq).cast("long").alias("s"))
+    """old with the rows of new put over those of the same keys; within each the greatest seq (of any sortable type) wins."""
+    order = F.struct(F.lit(0).alias("g"), F.col(seq).alias("s"))
     both = old.withColumn("_o", order).unionByName(new.withColumn("_o", order.withField("g", F.lit(1))))
     return last_by(both, keys, "_o").drop("_o")
 

@@ -22,9 +22,11 @@ def load_mappings(spark: SparkSession, folder: str, table: str, checkpoint: str)
     batch that is run again writes the same version again.
     """
     stream = spark.readStream.schema(schemas.MAPPING).option("maxFilesPerTrigger", 1000).json(folder)
+    stream = stream.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
 
     def put(batch: DataFrame, number: int) -> None:
-        rows = last_by(batch.withColumn("seq", F.monotonically_increasing_id()), KEYS, "seq")
+        order = F.struct(F.col("_file").alias("file"), F.col("_block").alias("block"), F.monotonically_increasing_id().alias("row"))
+        rows = last_by(batch.withColumn("seq", order).drop("_file", "_block"), KEYS, "seq")
         old = read_table(spark, table, before=number)
         merged = rows if old is None else upserted(old, rows, KEYS)
         merged.write.mode("overwrite").parquet(f"{table}/v{number}")

@@ -52,7 +52,7 @@ if __name__ == "__main__":
     import __spark_entry__ as entry
     from pyspark.sql import SparkSession
 
-    session = SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false").config("spark.driver.memory", "6g").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    session = SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "6g").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
     sf, *names = sys.argv[1:]
     found, sql = entry.queries(), entry.oracle_sql()

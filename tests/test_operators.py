@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from pathloom import schemas
 from pathloom.functions.models import HashingEncoder, OverlapScorer
 from pathloom.functions.vectors import cosine_top_k, normalize, require_dimension
 from pathloom.operators import dataset, evaluate, labels, mapping, recommend, reports, search
@@ -80,7 +81,9 @@ def test_levels(spark):
     pick = random.Random(2)
     cases.append(([(str(a), str(b)) for a in range(25) for b in range(25) if a < b and pick.random() < 0.08], [str(i) for i in range(25)]))
     for edges, nodes in cases:
-        got = recommend.prerequisite_levels(spark.createDataFrame([(n,) for n in nodes], "course_id string"), spark.createDataFrame(edges, "before string, after string"))
+        courses = spark.createDataFrame([(n,) for n in nodes], "course_id string")
+        teaches, requires = (spark.createDataFrame([(e[side], "".join(e)) for e in edges], "course_id string, skill_id string") for side in (0, 1))
+        got = recommend.prerequisite_levels(Graph(None, courses, None, teaches, requires), courses)
         assert dict(rows(got, "course_id", "prerequisite_level")) == kahn(nodes, {e for e in edges if e[0] != e[1]})
 
 
@@ -138,7 +141,7 @@ def test_top_k(spark):
     schema = "id long, vector array<double>"
     a, b = spark.createDataFrame(items[::10], schema), spark.createDataFrame([*items, (5000, None)], schema)
     for k in (1, 4, 500):
-        got = cosine_top_k(a, b, k, query_rows=3, item_rows=37)
+        got = cosine_top_k(a, b, k, digits=6, query_rows=3, item_rows=37)
         assert {(r["query_id"], r["item_id"], r["rank"]) for r in got.collect()} == brute_cosine(items[::10], items, k)
     assert cosine_top_k(a, b.limit(0), 3).count() == 0 and cosine_top_k(a.limit(0), b, 3).count() == 0
     assert b.select(normalize(F.col("vector")).alias("v")).filter("id = 900").first()["v"] == [0.0] * 5
@@ -256,3 +259,60 @@ def test_law_clauses(spark):
     law = "Chương I\nĐiều 1. Title\n1. First\ngoes on\n2. Second\nĐiều 2: Next\nno clause\n"
     got = rows(reports.law_clauses(spark.createDataFrame([("s", law)], "source string, text string")), "article_number", "article_title", "clause_number", "clause_text")
     assert got == [(1, "Title", 1, "First goes on"), (1, "Title", 2, "Second"), (2, "Next", None, "no clause")]
+
+
+class CountingEncoder:
+    """Notes each text that it encodes in a file."""
+
+    def __init__(self, path):
+        self.path, self.inner = str(path), HashingEncoder(8)
+
+    def __call__(self, texts):
+        with open(self.path, "a") as file:
+            file.write("x" * len(texts))
+        return self.inner(texts)
+
+
+def test_each_text_is_encoded_once(spark, tmp_path):
+    skills = spark.createDataFrame([(f"s{i}", f"name {i}", f"some description {i}", "t", [], []) for i in range(100)], schemas.SKILL)
+    courses = spark.createDataFrame([(f"c{i}", "T", f"name {i}", "outcome", None, None, None, None, "f", {"file": "f", "part": 0, "pos": i}) for i in range(50)], "course_id string, course_title string, skill_name string, skill_type string, description string, category string, proficiency_level int, bloom_taxonomy_level string, source_file string, seq struct<file: string, part: int, pos: int>")
+    for scorer in (None, OverlapScorer()):
+        a, b = CountingEncoder(tmp_path / f"a{bool(scorer)}"), CountingEncoder(tmp_path / f"b{bool(scorer)}")
+        index = mapping.build_skill_index(skills, a, dimension=8)
+        assert mapping.map_course_skills(courses, index, b, scorer, threshold=0.0).filter("esco_skill_id is not null").count() == 50
+        assert (tmp_path / f"a{bool(scorer)}").stat().st_size == 100 and (tmp_path / f"b{bool(scorer)}").stat().st_size == 50
+    with pytest.raises(Exception, match="do not have 9 components"):
+        mapping.build_skill_index(skills, HashingEncoder(8), dimension=9).collect()
+
+
+def test_threshold_is_not_rounded(spark):
+    one = spark.createDataFrame([(1, [1.0, 0.0], "q")], "id long, vector array<double>, text string")
+    near = spark.createDataFrame([(7, [0.4999996, float(np.sqrt(1 - 0.4999996**2))], "i")], "id long, vector array<double>, text string")
+    assert mapping.map_vectors(one, near, 1, 0.5).first()["item_id"] is None
+    assert mapping.map_vectors(one, near, 1, 0.5, digits=6).first()["item_id"] == 7
+
+
+def test_last_skill_wins(spark):
+    rows_ = [("s", "old", "d", "t", ["s"], []), ("s", "new", "d", "t", ["r"], []), ("r", "r", "d", "t", [], [])]
+    g = build_graph(spark.createDataFrame(rows_, schemas.SKILL).coalesce(1))
+    assert rows(g.skills, "skill_id", "preferred_label") == [("r", "r"), ("s", "new")]
+    assert rows(g.broader, "child_id", "parent_id") == [("s", "r"), ("s", "s")] and g.teaches.count() == g.courses.count() == 0
+
+
+def test_report_has_all_columns(spark):
+    assert len(reports.REPORT) == 13
+    with pytest.raises(ValueError, match="esco_description"):
+        reports.mapping_report(spark.createDataFrame([], schemas.MAPPING).drop("esco_description"))
+
+
+def test_numbering_of_a_hot_group(spark):
+    data = [("a", i) for i in range(3000)] + [(None, i) for i in range(5)] + [("b", 1)]
+    got = dataset.numbered_in_group(spark.createDataFrame(data, "g string, seq int").repartition(7), "g", "seq", "n", parts=9)
+    assert sorted(((r["g"] or "", r["seq"], r["n"]) for r in got.collect())) == sorted((g or "", i, i if g != "b" else 0) for g, i in data)
+    lists = dataset.grouped_lists(spark.createDataFrame(data, "g string, seq int"), "g", "seq", "seq", most=1000).filter("g = 'a'").orderBy("part").collect()
+    assert [len(r["seq_list"]) for r in lists] == [1000] * 3 and lists[1]["seq_list"][0] == 1000
+
+
+def test_samples_are_put_behind_existing_ones(spark):
+    a = spark.createDataFrame([("q", "p")], "query string, positive string")
+    assert rows(dataset.extended(a, a.withColumn("extra", F.lit(1))), "query", "extra") == [("q", None), ("q", 1)] or dataset.extended(a, a).count() == 2

@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from pathloom import schemas
 from pathloom.sources import config, readers, sinks
@@ -85,3 +86,23 @@ def test_incremental_mappings(spark, tmp_path):
     stream.load_mappings(spark, folder, table, state).awaitTermination(120)
     got = {r["skill_name"]: r["category"] for r in stream.read_table(spark, table).collect()}
     assert got == {"n": "new", "m": None}
+
+
+def test_order_follows_files_not_their_sizes(spark, tmp_path):
+    """A short file ahead of a long one: the long one's rows come last, whatever tasks read them."""
+    small = spark.createDataFrame([("c", "first")], "course_id string, skill_name string")
+    small.coalesce(1).write.json(str(tmp_path / "in" / "a"))
+    rows = spark.range(50_000).select(F.lit("c").alias("course_id"), F.concat(F.lit("n"), F.col("id").cast("string")).alias("skill_name"))
+    rows.coalesce(1).write.json(str(tmp_path / "in" / "b"))
+    got = readers.read_mappings(spark, f"{tmp_path}/in/*")
+    assert sinks.last_by(got, ["course_id"], "seq").first()["skill_name"] == "n49999"
+    assert sinks.first_by(got, ["course_id"], "seq").first()["skill_name"] == "first"
+    old = got.filter("skill_name = 'n5'")
+    assert sinks.upserted(got, old, ["course_id"]).first()["skill_name"] == "n5"
+
+
+def test_label_folder(spark, tmp_path):
+    for name, text in (("b", '{"course_id": "two", "skill_outcomes": [{"skill_name": " x "}]}'), ("a", '{"skill_outcomes": [{"skill_name": "x"}, {"skill_name": ""}], "entry_requirements": {"minimum_entry_skills": [{"skill_name": "y"}]}}'), ("c", "{}")):
+        (tmp_path / f"{name}.json").write_text(text)
+    got = readers.label_catalogue(readers.read_label_folder(spark, str(tmp_path))).collect()
+    assert sorted((r["skill_text"], r["course"]) for r in got) == [("x", "a"), ("y", "a")]
