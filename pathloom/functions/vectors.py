@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -50,14 +51,13 @@ def packed(df: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            units = []
+            batch, units = batch.filter(pc.is_valid(batch.column(1))), []  # here, as a filter ahead would run a model's UDF twice
             for v in batch.column(1):
                 x = v.values.to_numpy(zero_copy_only=False).astype(np.float64)
                 units.append((x / (np.linalg.norm(x) or 1.0)).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(units, pa.binary())], ["id", "unit"])
 
-    rows = df.select("id", "vector").filter("vector is not null")
-    return cut_lineage(rows.mapInArrow(run, f"id {df.schema['id'].dataType.simpleString()}, unit binary"))
+    return cut_lineage(df.select("id", "vector").mapInArrow(run, f"id {df.schema['id'].dataType.simpleString()}, unit binary"))
 
 
 def in_blocks(df: DataFrame, block_rows: int, total: int) -> DataFrame:

@@ -24,6 +24,8 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """df from a checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """df from a table written into the shared folder. What makes it runs once; a lost executor costs none of it
+    afterwards."""
+    path = new_path(df.sparkSession, "lineage")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
