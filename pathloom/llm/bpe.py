@@ -255,7 +255,11 @@ def word_bpe(path: str) -> WordBpe:
 
 
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, ids (binary: little-endian 32-bit) of every whole text; null texts count as empty. No shuffle."""
+    """doc_id, ids (binary: little-endian 32-bit) of every whole text; null texts count as empty. No shuffle.
+
+    Rows without doc_id and repeated rows each keep their row; an empty table gives an empty one. Other columns of docs are
+    ignored.
+    """
 
     def run(batch: pa.RecordBatch) -> Iterable[pa.RecordBatch]:
         bpe = word_bpe(path)
@@ -267,7 +271,8 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
 
 
 def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
-    """Adds decoded (string) to doc_id, ids."""
+    """doc_id, ids, decoded (string) of every row; null ids decode to an empty string. Repeated rows each keep their row,
+    an empty table gives an empty one, other columns are ignored."""
 
     def run(batch: pa.RecordBatch) -> Iterable[pa.RecordBatch]:
         bpe = word_bpe(path)

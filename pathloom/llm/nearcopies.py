@@ -348,7 +348,11 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bloc
 
 def without_near_copies(docs: DataFrame) -> DataFrame:
     """docs with one row of each component of near_groups: that of the smallest doc_id (null: the last), of several texts
-    under it the one of the smallest hash."""
+    under it the one of the smallest hash.
+
+    Rows are judged by their texts: unlike texts under one doc_id, or without one, each stay; rows that are there twice
+    leave one. Null and empty texts are alike. An empty table gives an empty one. Other columns stay.
+    """
     _, named = near_groups(docs)
     kept = named.groupBy("root").agg(F.min("first").alias("first")).select(*(F.col(f"first.{c}").alias(f"__kept_{c}") for c in ROW))
     own = dict(zip(("h1", "h2"), text_hashes(), strict=True))

@@ -213,7 +213,11 @@ def apply_quality(stats: DataFrame, model: QualityModel) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, model: QualityModel) -> DataFrame:
-    """The rows of docs, all columns, that the rules and the model keep; no shuffle."""
+    """The rows of docs, all columns, that the rules and the model keep; no shuffle.
+
+    Null and empty texts go, as they have no words. Rows without doc_id and repeated rows are judged one by one, by their
+    texts alone. An empty table gives an empty one.
+    """
     at = docs.columns.index("text")
 
     def run(batch: pa.RecordBatch):

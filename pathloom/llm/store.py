@@ -27,8 +27,22 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_made: list[str] = []  # the paths given out by this driver, and not deleted since
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Deletes, at the end, all tables and folders made within but those of the frames put into the list."""
+    before, keep = len(_made), []
+    yield keep
+    kept = {df._pathloom_path for df in keep}
+    for path in [p for p in _made[before:] if p not in kept]:
+        delete_path(spark, path)
 
 
 def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
@@ -55,6 +69,8 @@ def drop_table(df: DataFrame) -> None:
 
 
 def delete_path(spark: SparkSession, path: str) -> None:
+    if path in _made:
+        _made.remove(path)
     jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jvm_path, True)
 
