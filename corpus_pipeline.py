@@ -14,12 +14,12 @@ from pathloom.llm.nearcopies import without_near_copies
 from pathloom.llm.packing import pack_documents
 from pathloom.llm.quality import document_stats, fit_quality, keep_good
 from pathloom.llm.secrets import redact_documents
-from pathloom.llm.store import materialize, read_table
+from pathloom.llm.store import drop_table, materialize, read_table, scratch
 from pathloom.llm.substring import remove_repeats
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules or the calibrated forest reject go."""
+    """Documents that the rules or the calibrated forest reject go, those of null and empty texts with them."""
     labels = read_table(spark, sf_dir, "labels")
     return keep_good(docs, fit_quality(document_stats(docs), labels))
 
@@ -37,12 +37,12 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secret values become a marker; no document goes."""
+    """Secret values become a marker; no document goes. Null and empty texts stay, repeated rows are each redacted."""
     return redact_documents(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of 2048 ids at most."""
+    """The pieces of all documents in sequences of 2048 ids at most; null texts count as empty, repeated rows as documents."""
     return pack_documents(docs, default_path("byte_bpe_50k.json"))
 
 
@@ -53,7 +53,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    """The last stage's table; those of the stages before, and all that they made on the way, are deleted when the next is there."""
+    docs, before = read_table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with scratch(spark) as keep:
+            docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+            keep.append(docs)
+        if before is not None:
+            drop_table(before)
+        before = docs
     return docs
