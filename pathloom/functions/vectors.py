@@ -67,23 +67,25 @@ def in_blocks(df: DataFrame, block_rows: int, total: int) -> DataFrame:
     return dealt.groupBy("block").agg(F.array_sort(F.collect_list("row")).alias("rows"))
 
 
-def cosine_top_k(queries: DataFrame, items: DataFrame, k: int, digits: int | None = None, query_rows: int = 512, item_rows: int = 4096) -> DataFrame:
+def cosine_top_k(queries: DataFrame, items: DataFrame, k: int, digits: int | None = None, query_rows: int = 512, item_rows: int = 4096, met_at_once: int = 16) -> DataFrame:
     """query_id, item_id, score, rank of the k items of highest cosine for each query; ties go to the smaller item_id.
 
     Both frames have id (any sortable type) and vector, of one length. Scores are ranked as they are; with `digits` they are rounded to
     so many before, which makes ties of what differs by the order of summing only. Fewer than k items give fewer rows; k
     below 1 counts as 1. Vectors are brought to length one and packed once. Blocks of queries meet blocks of items in one
     equi-join and leave k rows for each query and block, so neither side has to fit into memory and Spark picks the join
-    by size.
+    by size. A key of the join has one block of items and at most about met_at_once blocks of queries: the number of tasks
+    follows from both sides, also where many queries meet few items.
     """
     k = max(1, k)
     q, c = packed(queries), packed(items)
-    n_items = c.count()
-    item_blocks = in_blocks(c, item_rows, n_items)
-    n_blocks = F.sequence(F.lit(0), F.lit(max(0, -(-n_items // item_rows) - 1)))
-    query_blocks = in_blocks(q, query_rows, q.count()).select(F.col("rows").alias("query_rows"), F.explode(n_blocks).alias("block"))
+    n_queries, n_items = q.count(), c.count()
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.lit(max(0, n - 1))))
+    slices = max(1, -(-n_queries // (query_rows * met_at_once)))
+    item_blocks = in_blocks(c, item_rows, n_items).withColumn("slice", upto(slices))
+    query_blocks = in_blocks(q, query_rows, n_queries).select(F.col("rows").alias("query_rows"), F.pmod("block", F.lit(slices)).alias("slice"), upto(-(-n_items // item_rows)).alias("block"))
     lists = lambda c, name: (F.transform(c, lambda r: r["id"]).alias(f"{name}_ids"), F.transform(c, lambda r: r["unit"]).alias(f"{name}_units"))
-    met = query_blocks.join(item_blocks, "block").select(*lists(F.col("query_rows"), "query"), *lists(F.col("rows"), "item"))
+    met = query_blocks.join(item_blocks, ["block", "slice"]).select(*lists(F.col("query_rows"), "query"), *lists(F.col("rows"), "item"))
 
     def matrix(units: pa.Array) -> np.ndarray:
         return np.frombuffer(b"".join(units.to_pylist()), np.float64).reshape(len(units), -1)

@@ -11,13 +11,13 @@ from pathloom.lineage import cut_lineage
 from pathloom.sources.sinks import first_by, last_by
 
 
-def numbered_in_group(df: DataFrame, key: str, seq: str, name: str, parts: int = 64) -> DataFrame:
+def numbered_in_group(df: DataFrame, key: str, seq: str, name: str) -> DataFrame:
     """Adds name: 0, 1, ... among the rows of a key in order of seq.
 
     Keys are few and their rows have no bound, so all rows are dealt by ranges of (key, seq), numbered within each range and
-    moved by the sizes of the ranges before them; no task has a whole key.
+    moved by the sizes of the ranges before them; no task has a whole key. There are as many ranges as shuffle partitions.
     """
-    ranged = df.repartitionByRange(parts, key, seq).sortWithinPartitions(key, seq)
+    ranged = df.repartitionByRange(key, seq).sortWithinPartitions(key, seq)
     ranged = cut_lineage(ranged.withColumn("_part", F.spark_partition_id()))
     sizes = ranged.groupBy(key, "_part").agg(F.count(F.lit(1)).alias("_n"))  # a row for each key and range
     before = F.sum("_n").over(Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))

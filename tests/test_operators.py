@@ -141,7 +141,7 @@ def test_top_k(spark):
     schema = "id long, vector array<double>"
     a, b = spark.createDataFrame(items[::10], schema), spark.createDataFrame([*items, (5000, None)], schema)
     for k in (1, 4, 500):
-        got = cosine_top_k(a, b, k, digits=6, query_rows=3, item_rows=37)
+        got = cosine_top_k(a, b, k, digits=6, query_rows=3, item_rows=37, met_at_once=2)
         assert {(r["query_id"], r["item_id"], r["rank"]) for r in got.collect()} == brute_cosine(items[::10], items, k)
     assert cosine_top_k(a, b.limit(0), 3).count() == 0 and cosine_top_k(a.limit(0), b, 3).count() == 0
     assert b.select(normalize(F.col("vector")).alias("v")).filter("id = 900").first()["v"] == [0.0] * 5
@@ -307,7 +307,7 @@ def test_report_has_all_columns(spark):
 
 def test_numbering_of_a_hot_group(spark):
     data = [("a", i) for i in range(3000)] + [(None, i) for i in range(5)] + [("b", 1)]
-    got = dataset.numbered_in_group(spark.createDataFrame(data, "g string, seq int").repartition(7), "g", "seq", "n", parts=9)
+    got = dataset.numbered_in_group(spark.createDataFrame(data, "g string, seq int").repartition(7), "g", "seq", "n")
     assert sorted(((r["g"] or "", r["seq"], r["n"]) for r in got.collect())) == sorted((g or "", i, i if g != "b" else 0) for g, i in data)
     lists = dataset.grouped_lists(spark.createDataFrame(data, "g string, seq int"), "g", "seq", "seq", most=1000).filter("g = 'a'").orderBy("part").collect()
     assert [len(r["seq_list"]) for r in lists] == [1000] * 3 and lists[1]["seq_list"][0] == 1000
