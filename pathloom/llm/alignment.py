@@ -19,7 +19,7 @@ from pathloom.llm.store import map_arrow, materialize, read_table, slices
 #: Stripes of side ids; a stripe's dense block has V_B / STRIPES rows of V_A counts, some 100 MB for the public vocabularies.
 STRIPES = 128
 #: A worker forgets its segments when it has so many.
-MOST_SEGMENTS = 150_000
+MOST_SEGMENTS = 300_000
 #: Of text, and of texts, in a slice; places in it have 16 bits.
 SLICE_BYTES, MOST_TEXTS = 4 << 20, 1 << 15
 NO_TOKENS = (0, 0, 0, 0, "")
@@ -46,7 +46,7 @@ def segments_of(text: str) -> list[str]:
 
 
 class Segments(dict):
-    """segment -> its number; a missing one is encoded by both vocabularies and aligned."""
+    """segment -> its number, for segments that both vocabularies have encoded; what they give stands in arrays by number."""
 
     def __init__(self, byte_path: str, piece_path: str, stripes: int):
         import sentencepiece
@@ -58,49 +58,78 @@ class Segments(dict):
         if any("▁" in name.lstrip("▁") for name in names):
             raise ValueError("a piece has a space behind another character")
         self.b_bytes = [bytes([int(n[3:5], 16)]) if self.pieces.is_byte(i) else n.replace("▁", " ").encode() for i, n in enumerate(names)]
-        self.b_size = np.array([len(x) for x in self.b_bytes], np.int64)
         encoding = self.bytes_bpe.encoding
         self.a_bytes = [b""] * self.bytes_bpe.size
         for token in encoding.token_byte_values():
             self.a_bytes[encoding.encode_single_token(token)] = token
-        self.a_size = np.array([len(x) for x in self.a_bytes], np.int64)
+        self.a_size, self.b_size = (np.array([len(x) for x in table], np.int64) for table in (self.a_bytes, self.b_bytes))
         self.width, self.stripes, self.rows = self.bytes_bpe.size, stripes, -(-len(names) // stripes)
+        ids = range(max(self.width, len(names)))
+        self.ids, self.names = len(ids), [f"{i}{mark}".encode() for mark in ",|;" for i in ids]
+        self.name_size = np.array([len(x) for x in self.names], np.int64)
         self.forget()
 
     def forget(self) -> None:
         self.clear()
-        self.sizes: list[tuple[int, int, int]] = []  # tokens of either side, groups
         self.strings: list[bytes] = []
-        self.codes: list[np.ndarray] = []
         self.unlike: set[int] = set()  # segments whose tokens' bytes are not theirs
-
-    def __missing__(self, segment: str) -> int:
-        full = f" {segment}"
-        ids = self.pieces.encode(segment) if segment else [self.pieces.piece_to_id("▁")]  # a space at a text's end
-        a, b = self.bytes_bpe.encode(full, special=False), np.array(ids, np.int64)
-        number, data = len(self.strings), full.encode("utf-8", "replace")
-        if b"".join([self.a_bytes[i] for i in a]) != data or b"".join([self.b_bytes[i] for i in b]) != data:
-            self.unlike.add(number)
-            self.sizes.append((0, 0, 0))
-            self.strings.append(b"")
-            self.codes.append(np.empty(0, np.int64))
-        else:
-            a = a.astype(np.int64)
-            ends_a, ends_b = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
-            cuts = np.union1d(ends_a, ends_b)  # between two cuts there is one token of either side: a link
-            at_a, at_b = np.searchsorted(ends_a, cuts), np.searchsorted(ends_b, cuts)
-            both = np.intersect1d(ends_a, ends_b, assume_unique=True)
-            last_a, last_b = np.searchsorted(ends_a, both) + 1, np.searchsorted(ends_b, both) + 1
-            names_a, names_b, groups, i, j = [str(x) for x in a.tolist()], [str(x) for x in b.tolist()], [], 0, 0
-            for p, q in zip(last_a.tolist(), last_b.tolist(), strict=True):
-                groups.append(f"{','.join(names_a[i:p])}|{','.join(names_b[j:q])}")
-                i, j = p, q
-            self.sizes.append((len(a), len(b), len(groups)))
-            self.strings.append(";".join(groups).encode())
-            side = b[at_b]
-            self.codes.append(((side % self.stripes) * self.rows + side // self.stripes) * self.width + a[at_a])
-        self[segment] = number
-        return number
+        self.sizes = np.empty((0, 3), np.int64)  # tokens of either side, groups
+        self.links, self.codes = np.zeros(1, np.int64), np.empty(0, np.int64)  # where a segment's links begin; the links' codes
+
+    def add(self, segments: list[str]) -> None:
+        """Encodes new segments, many in one call: behind each other they are cut as each is by itself, if none ends in white space."""
+        for part in range(0, len(segments), 4096):
+            many, alone = [], []
+            for x in segments[part : part + 4096]:
+                (many if x and len(x) < 4096 and not x[-1].isspace() else alone).append(x)
+            if many and not self._encode(many):
+                alone = many + alone
+            for x in alone:
+                if not self._encode([x]):
+                    self._append([x], [b""], np.zeros((1, 3), np.int64), np.zeros(1, np.int64), np.empty(0, np.int64))
+                    self.unlike.add(self[x])
+
+    def _append(self, segments: list[str], strings: list[bytes], sizes: np.ndarray, links: np.ndarray, codes: np.ndarray) -> None:
+        self.update(zip(segments, range(len(self.strings), len(self.strings) + len(segments)), strict=True))
+        self.strings += strings
+        self.sizes = np.concatenate((self.sizes, sizes))
+        self.links, self.codes = np.concatenate((self.links, self.links[-1] + np.cumsum(links))), np.concatenate((self.codes, codes))
+
+    def _encode(self, segments: list[str]) -> bool:
+        """False, and nothing is kept, if the tokens' bytes are not the segments' or a token passes the end of a segment."""
+        full = "".join([f" {x}" for x in segments])
+        data = full.encode("utf-8", "replace")
+        a = self.bytes_bpe.encode(full, special=False).astype(np.int64)
+        b = np.array(self.pieces.encode(full[1:]) if len(full) > 1 else [self.pieces.piece_to_id("▁")], np.int64)  # a space at a text's end
+        if b"".join([self.a_bytes[i] for i in a.tolist()]) != data or b"".join([self.b_bytes[i] for i in b.tolist()]) != data:
+            return False
+        ends_a, ends_b = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
+        marks = np.zeros(len(data) + 1, np.int8)
+        marks[ends_a] = 1
+        marks[ends_b] += 2
+        cuts = np.flatnonzero(marks)  # between two cuts there is one token of either side: a link
+        kind = marks[cuts]
+        is_a, is_b, is_group = (kind & 1).astype(np.int64), (kind >> 1).astype(np.int64), (kind == 3).astype(np.int64)
+        at_a, at_b, group = np.cumsum(is_a) - is_a, np.cumsum(is_b) - is_b, np.cumsum(is_group) - is_group
+        stops = np.cumsum([len(x.encode("utf-8", "replace")) + 1 for x in segments])
+        if (marks[stops] != 3).any():
+            return False
+        last = np.searchsorted(cuts, stops)  # the last cut of each segment
+        counts = np.diff(np.stack([at_a[last] + 1, at_b[last] + 1, group[last] + 1, last + 1], axis=1), axis=0, prepend=0)
+        side = b[at_b]
+        codes = ((side % self.stripes) * self.rows + side // self.stripes) * self.width + a[at_a]
+        # names in order of groups, A's ahead of B's; a name ends in the mark behind it
+        group_a, group_b = group[is_a == 1], group[is_b == 1]
+        until = np.concatenate(([0], np.flatnonzero(is_group) + 1))
+        sum_a, sum_b = (np.concatenate(([0], np.cumsum(x)))[until] for x in (is_a, is_b))  # tokens ahead of each group
+        order = np.empty(len(a) + len(b), np.int64)
+        order[np.arange(len(a)) + sum_b[group_a]] = a + self.ids * (kind[is_a == 1] == 3)
+        order[np.arange(len(b)) + sum_a[group_b + 1]] = b + 2 * self.ids * (kind[is_b == 1] == 3)
+        text = b"".join(map(self.names.__getitem__, order.tolist()))
+        stop = np.cumsum(self.name_size[order])[np.cumsum(counts[:, 0] + counts[:, 1]) - 1].tolist()
+        strings = [text[i : j - 1] for i, j in zip([0, *stop], stop, strict=False)]
+        self._append(segments, strings, counts[:, :3], counts[:, 3], codes)
+        return True
 
 
 @lru_cache(1)
@@ -123,9 +152,11 @@ def align_texts(known: Segments, texts: list[str | None], with_groups: bool) ->
     if len(known) > MOST_SEGMENTS:
         known.forget()
     rows, groups, numbers, places = [NO_TOKENS] * len(texts), [None] * len(texts), [], []
-    for place, text in enumerate(texts):
-        if text:
-            own = list(map(known.__getitem__, segments_of(text)))
+    parts = [segments_of(text) if text else None for text in texts]
+    known.add(list(set().union(*filter(None, parts)).difference(known)))
+    for place, part in enumerate(parts):
+        if part:
+            own = list(map(known.__getitem__, part))
             if known.unlike.isdisjoint(own):
                 joined = b";".join(map(known.strings.__getitem__, own))
                 numbers.append(np.array(own, np.int64))
@@ -137,19 +168,12 @@ def align_texts(known: Segments, texts: list[str | None], with_groups: bool) ->
         return rows, groups, none, none, none
     keys, times = np.unique(np.concatenate([(np.int64(p) << 32) | n for p, n in zip(places, numbers, strict=True)]), return_counts=True)
     place, number = keys >> 32, keys & 0xFFFFFFFF
-    used, number = np.unique(number, return_inverse=True)
-    sizes = np.array([known.sizes[i] for i in used.tolist()], np.int64)
-    sums = np.zeros((len(texts), 3), np.int64)
-    np.add.at(sums, place, sizes[number] * times[:, None])
-    for p in places:
-        n_a, n_b, n_groups = sums[p].tolist()
+    sums = np.add.reduceat(known.sizes[number] * times[:, None], np.searchsorted(place, places))
+    for p, (n_a, n_b, n_groups) in zip(places, sums.tolist(), strict=True):
         rows[p] = (n_a, n_b, n_groups, n_a + n_b - n_groups, rows[p])  # in a group of p and q tokens there are p + q - 1 links
-    codes = [known.codes[i] for i in used.tolist()]
-    lengths = np.array([len(c) for c in codes], np.int64)
-    flat, starts = np.concatenate(codes), np.cumsum(lengths) - lengths
-    many = lengths[number]
-    at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(starts[number], many)
-    pairs, n = counted((flat[at] << 16) | np.repeat(place, many), np.repeat(times, many))
+    many = known.links[number + 1] - known.links[number]
+    at = np.arange(many.sum()) + np.repeat(known.links[number] - np.cumsum(many) + many, many)
+    pairs, n = counted((known.codes[at] << 16) | np.repeat(place, many), np.repeat(times, many))
     return rows, groups, pairs >> 16, pairs & 0xFFFF, n
 
 

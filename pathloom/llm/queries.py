@@ -11,6 +11,7 @@ from pathloom.llm.alignment import op12_alignment
 from pathloom.llm.bpe import op2_bpe
 from pathloom.llm.chat import op9_chat
 from pathloom.llm.packing import op4_packing
+from pathloom.llm.passes import op11_embedding_dedup
 from pathloom.llm.quality import op3_quality
 from pathloom.llm.runs import op13_runs
 from pathloom.llm.secrets import op7_secrets
@@ -22,7 +23,7 @@ from pathloom.llm.topk import op10_topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_bpe, op3_quality, op4_packing, op5_token_files, op6_substring, op7_secrets, op8_token_counts, op9_chat, op10_topk, op12_alignment, op13_runs)}
+    return {f.__name__: f for f in (op1_simhash, op2_bpe, op3_quality, op4_packing, op5_token_files, op6_substring, op7_secrets, op8_token_counts, op9_chat, op10_topk, op11_embedding_dedup, op12_alignment, op13_runs)}
 
 
 def oracle_sql() -> dict[str, str]:
