@@ -47,7 +47,7 @@ def require_dimension(df: DataFrame, column: str, dimension: int) -> DataFrame:
 
 def packed(df: DataFrame) -> DataFrame:
     """id, unit (binary: 64-bit floats of the vector over its length; zero vectors stay zero), as a table: what computes the
-    vectors, a model perhaps, runs once. Rows without vector are left out."""
+    vectors, a model perhaps, runs once. Rows without vector are left out; vectors of unlike dimensions are an error."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -57,7 +57,11 @@ def packed(df: DataFrame) -> DataFrame:
                 units.append((x / (np.linalg.norm(x) or 1.0)).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(units, pa.binary())], ["id", "unit"])
 
-    return cut_lineage(df.select("id", "vector").mapInArrow(run, f"id {df.schema['id'].dataType.simpleString()}, unit binary"))
+    out = cut_lineage(df.select("id", "vector").mapInArrow(run, f"id {df.schema['id'].dataType.simpleString()}, unit binary"))
+    low, high = out.agg(F.min(F.octet_length("unit")), F.max(F.octet_length("unit"))).first()
+    if low != high:
+        raise ValueError(f"vectors have from {low // 8} to {high // 8} components")
+    return out
 
 
 def in_blocks(df: DataFrame, block_rows: int, total: int) -> DataFrame:
@@ -79,13 +83,24 @@ def cosine_top_k(queries: DataFrame, items: DataFrame, k: int, digits: int | Non
     """
     k = max(1, k)
     q, c = packed(queries), packed(items)
+    sizes = {r[0] for df in (q, c) for r in df.select(F.octet_length("unit")).limit(1).collect()}
+    if len(sizes) > 1:
+        raise ValueError("queries and items have vectors of unlike dimensions")
     n_queries, n_items = q.count(), c.count()
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.lit(max(0, n - 1))))
     slices = max(1, -(-n_queries // (query_rows * met_at_once)))
     item_blocks = in_blocks(c, item_rows, n_items).withColumn("slice", upto(slices))
     query_blocks = in_blocks(q, query_rows, n_queries).select(F.col("rows").alias("query_rows"), F.pmod("block", F.lit(slices)).alias("slice"), upto(-(-n_items // item_rows)).alias("block"))
+    met = query_blocks.join(item_blocks, ["block", "slice"]).select("query_rows", F.col("rows").alias("item_rows"))
+    kinds = (queries.schema["id"].dataType.simpleString(), items.schema["id"].dataType.simpleString())
+    return ranked(top_of_blocks(met, k, digits, kinds), k)
+
+
+def top_of_blocks(met: DataFrame, k: int, digits: int | None, id_types: tuple[str, str]) -> DataFrame:
+    """query_id, item_id, score: the k best of each block of items (item_rows) for each query of the block beside it (query_rows),
+    both lists of (id, unit) in order of id."""
     lists = lambda c, name: (F.transform(c, lambda r: r["id"]).alias(f"{name}_ids"), F.transform(c, lambda r: r["unit"]).alias(f"{name}_units"))
-    met = query_blocks.join(item_blocks, ["block", "slice"]).select(*lists(F.col("query_rows"), "query"), *lists(F.col("rows"), "item"))
+    met = met.select(*lists(F.col("query_rows"), "query"), *lists(F.col("item_rows"), "item"))
 
     def matrix(units: pa.Array) -> np.ndarray:
         return np.frombuffer(b"".join(units.to_pylist()), np.float64).reshape(len(units), -1)
@@ -103,7 +118,10 @@ def cosine_top_k(queries: DataFrame, items: DataFrame, k: int, digits: int | Non
                     ["query_id", "item_id", "score"],
                 )
 
-    kinds = (queries.schema["id"].dataType.simpleString(), items.schema["id"].dataType.simpleString())
-    found = met.mapInArrow(run, f"query_id {kinds[0]}, item_id {kinds[1]}, score double")
+    return met.mapInArrow(run, f"query_id {id_types[0]}, item_id {id_types[1]}, score double")
+
+
+def ranked(found: DataFrame, k: int) -> DataFrame:
+    """The k best of each query with their rank, from the k best of each of its blocks."""
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "item_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)

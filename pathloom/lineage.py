@@ -23,9 +23,20 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, instead_of: DataFrame | None = None) -> DataFrame:
     """df from a table written into the shared folder. What makes it runs once; a lost executor costs none of it
-    afterwards."""
+    afterwards. instead_of: a table of this function that nothing reads any more; it is deleted."""
     path = new_path(df.sparkSession, "lineage")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._pathloom_table = path
+    if instead_of is not None:
+        drop_table(instead_of)
+    return out
+
+
+def drop_table(*tables: DataFrame) -> None:
+    """Deletes tables that cut_lineage() wrote and that no later plan reads."""
+    for df in tables:
+        path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df._pathloom_table)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

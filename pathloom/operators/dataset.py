@@ -53,10 +53,10 @@ def drop_repeated(df: DataFrame, keys: list[str], seq: str) -> DataFrame:
 def split_by_group(df: DataFrame, group: str, seq: str, test_rows: int, seed: int = 42, order: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """(train, test) without a group in both.
 
-    Groups are taken in a hashed order of their key (or `order`) until they have test_rows rows. The test set is cut to just
+    Groups are taken in the order of the MD5 of seed and key (or `order`) until they have test_rows rows. The test set is cut to just
     that many; the rows cut off belong to a test group and are in neither set.
     """
-    order = F.xxhash64(F.lit(seed), F.col(group)) if order is None else order
+    order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(group).cast("string"), F.lit("")))) if order is None else order
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).withColumn("_order", order)
     # running sizes decide which groups the test set takes: test_rows groups at most, as each has a row
     before = F.sum("_n").over(Window.orderBy("_order", group).rowsBetween(Window.unboundedPreceding, -1))
@@ -123,5 +123,6 @@ def generation_stats(results: DataFrame) -> DataFrame:
 
 
 def numbered_batches(df: DataFrame, seq: str, size: int) -> DataFrame:
-    """Adds batch: seq (0, 1, ... without gaps) cut into batches of `size`."""
-    return df.withColumn("batch", F.floor(F.col(seq) / size))
+    """Adds batch: rows in order of seq, whose values may have gaps, cut into batches of `size`, the last one of what is left."""
+    rows = numbered_in_group(df.withColumn("_all", F.lit(0)), "_all", seq, "_n")
+    return rows.withColumn("batch", F.floor(F.col("_n") / size)).drop("_all", "_n")

@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from pathloom.sources.sinks import first_by, last_by
 
@@ -25,8 +26,8 @@ class Graph:
 
 
 def skill_nodes(skills: DataFrame, seq: str | None = None) -> DataFrame:
-    """One row for each skill_id, the last one's columns: by seq, or without it in the order in which Spark reads the rows."""
-    rows = skills if seq else skills.withColumn("_seq", F.monotonically_increasing_id())
+    """One row for each skill_id, the last one's columns by seq; without it the greatest row's, column by column, whatever the rows' order."""
+    rows = skills if seq else skills.withColumn("_seq", F.struct(*(c for c in skills.columns if c != "skill_id")))
     return last_by(rows, ["skill_id"], seq or "_seq").drop(seq or "_seq")
 
 
@@ -80,6 +81,15 @@ def build_graph(skills: DataFrame, mappings: DataFrame | None = None, seq: str =
     return Graph(nodes, courses, broader, edges["outcome"], edges["entry"])
 
 
+def graph_samples(graph: Graph, courses: int = 5, edges: int = 3) -> DataFrame:
+    """part, place (from 1), name, detail: the first courses by id, and the first edges from a course to a skill that it teaches."""
+    first = lambda df, n, *by: df.orderBy(*by).limit(n).withColumn("place", F.row_number().over(Window.orderBy(*by)))
+    some = first(graph.courses, courses, "course_id").select(F.lit("course").alias("part"), "place", F.col("course_title").alias("name"), F.col("course_id").cast("string").alias("detail"))
+    taught = graph.teaches.select("course_id", "skill_id").join(graph.courses.select("course_id", "course_title"), "course_id").join(graph.skills.select("skill_id", "preferred_label"), "skill_id")
+    pairs = first(taught, edges, "course_id", "skill_id").select(F.lit("teaches").alias("part"), "place", F.col("course_title").alias("name"), F.col("preferred_label").alias("detail"))
+    return some.unionByName(pairs)
+
+
 def graph_counts(graph: Graph) -> DataFrame:
     parts = [getattr(graph, n).agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("part"), "n") for n in ("skills", "courses", "broader", "teaches", "requires")]
     out = parts[0]

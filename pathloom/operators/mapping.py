@@ -58,6 +58,12 @@ def rerank(candidates: DataFrame, scorer: Scorer | None) -> DataFrame:
     return scored.withColumn("final_rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("rerank_score").desc(), "rank")))
 
 
+def rerank_labels(candidates: DataFrame, scorer: Scorer) -> DataFrame:
+    """query_id, label: of each query's winner by the scorer, the part of its text before the first colon."""
+    won = rerank(candidates, scorer).filter("final_rank = 1")
+    return won.select("query_id", F.substring_index("item_text", ":", 1).alias("label"))
+
+
 def apply_threshold(df: DataFrame, score: str, threshold: float, columns: list[str]) -> DataFrame:
     """The columns become null where the score is below the threshold (a score at it passes); the score stays."""
     return df.withColumns({c: F.when(F.col(score) >= threshold, F.col(c)) for c in columns})

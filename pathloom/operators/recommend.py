@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from pathloom.lineage import cut_lineage
+from pathloom.operators.cycles import graph_states
 from pathloom.operators.graph import Graph
 from pathloom.operators.search import resolve_names, skill_details
 
@@ -49,46 +51,117 @@ def course_details(graph: Graph, course_id) -> DataFrame:
     return enrich_courses(graph, graph.courses.filter(F.col("course_id") == F.lit(course_id))).drop("similarity_score")
 
 
-def course_dependencies(graph: Graph, courses: DataFrame) -> DataFrame:
-    """before, after: pairs of the courses of which the first teaches a skill that the second requires; each pair once."""
+def edges_among(graph: Graph, courses: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(teaches, requires): course_id, skill_id of the courses, each pair once."""
     wanted = courses.select("course_id").distinct()
-    of = lambda edges, name: edges.join(wanted, "course_id", "left_semi").select("skill_id", F.col("course_id").alias(name)).distinct()
-    return of(graph.requires, "after").join(of(graph.teaches, "before"), "skill_id").filter("before <> after").select("before", "after").distinct()
+    of = lambda edges: edges.select("course_id", "skill_id").join(wanted, "course_id", "left_semi").distinct()
+    return of(graph.teaches), of(graph.requires)
 
 
-def in_degrees(courses: DataFrame, edges: DataFrame) -> DataFrame:
-    counts = edges.groupBy(F.col("after").alias("course_id")).agg(F.count(F.lit(1)).alias("in_degree"))
-    return courses.select("course_id").join(counts, "course_id", "left").select("course_id", F.coalesce("in_degree", F.lit(0)).alias("in_degree"))
+def dependency_pairs(teaches: DataFrame, requires: DataFrame, most: int = 1000) -> DataFrame:
+    """before, after: a pair for each skill that `before` teaches and `after` requires.
 
+    The teachers of a skill are dealt into lots of about `most`, and each requirer meets every lot, so a skill that very
+    many courses teach is no single task; it is the pairs that are many, as they are asked for.
+    """
+    lots = teaches.groupBy("skill_id").agg(F.ceil(F.count(F.lit(1)) / most).alias("lots"))
+    teachers = teaches.join(lots, "skill_id").select("skill_id", F.pmod(F.xxhash64("course_id"), F.col("lots")).alias("lot"), F.col("course_id").alias("before"))
+    askers = requires.join(lots, "skill_id").select("skill_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lots") - 1)).alias("lot"), F.col("course_id").alias("after"))
+    return askers.join(teachers, ["skill_id", "lot"]).filter("before <> after").select("before", "after")
 
-def prerequisite_levels(graph: Graph, courses: DataFrame) -> DataFrame:
-    """course_id, prerequisite_level: the wave in which all that comes before is done. Courses on a cycle or behind one have level 0.
 
-    One round for each wave, one table written in each: a course is solved if none but itself, of those left unsolved,
-    teaches a skill that it requires. That is told from the least and the greatest unsolved teacher of each skill, so
-    the pairs of courses, of which a skill with many teachers has very many, are never made: work is linear in the edges.
+def course_dependencies(graph: Graph, courses: DataFrame) -> DataFrame:
+    """before, after: pairs of the courses of which the first teaches a skill that the second requires; each pair once."""
+    return dependency_pairs(*edges_among(graph, courses)).distinct()
+
+
+def in_degrees(graph: Graph, courses: DataFrame) -> DataFrame:
+    """course_id, in_degree: how many other courses teach a skill that the course requires, each counted once.
+
+    A course that requires one taught skill is told from that skill's number of teachers; pairs are made for the others only.
+    """
+    teaches, requires = edges_among(graph, courses)
+    taught = teaches.groupBy("skill_id").agg(F.count(F.lit(1)).alias("n"))
+    asked = requires.join(taught, "skill_id").join(teaches.withColumn("own", F.lit(1)), ["course_id", "skill_id"], "left").withColumn("n", F.col("n") - F.coalesce("own", F.lit(0)))
+    asked = cut_lineage(asked.filter("n > 0").select("course_id", "skill_id", "n"))
+    kinds = asked.groupBy("course_id").agg(F.count(F.lit(1)).alias("skills"), F.max("n").alias("n"))
+    one = kinds.filter("skills = 1").select("course_id", F.col("n").alias("in_degree"))
+    many = asked.join(kinds.filter("skills > 1").select("course_id"), "course_id", "left_semi").select("course_id", "skill_id")
+    pairs = dependency_pairs(teaches, many).distinct().groupBy(F.col("after").alias("course_id")).agg(F.count(F.lit(1)).alias("in_degree"))
+    return courses.select("course_id").join(one.unionByName(pairs), "course_id", "left").select("course_id", F.coalesce("in_degree", F.lit(0)).alias("in_degree"))
+
+
+def requirement_edges(graph: Graph, courses: DataFrame) -> DataFrame:
+    """src, dst, weight: ways from course (c<id>) to course by way of the skills (s<id>) that one teaches and another requires.
+
+    Its ways between different courses are just the dependencies, and their weights count courses; the number of edges is that of
+    teaches and requires. A skill that one course alone both teaches and requires has a second node (i<id>) for that course,
+    as a course doesn't depend on itself.
+    """
+    teaches, requires = (cut_lineage(e) for e in edges_among(graph, courses))
+    both = teaches.join(requires, ["course_id", "skill_id"]).groupBy("skill_id").agg(F.count(F.lit(1)).alias("n"), F.min("course_id").alias("own")).filter("n = 1").drop("n")
+    node = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
+    edge = lambda df, a, b, weight: df.select(a.alias("src"), b.alias("dst"), F.lit(weight).alias("weight"))
+    course, skill, inner = node("c", "course_id"), node("s", "skill_id"), node("i", "skill_id")
+    teaching = teaches.join(both, "skill_id", "left")
+    asking = requires.join(teaches.select("skill_id"), "skill_id", "left_semi").join(both, "skill_id", "left")
+    others = teaching.filter("own is not null and course_id <> own")
+    own = asking.filter("course_id = own").join(others.select("skill_id"), "skill_id", "left_semi")
+    rest = asking.filter("own is null or course_id <> own")
+    return edge(teaching, course, skill, 0).unionByName(edge(others, course, inner, 0)).unionByName(edge(rest, skill, course, 1)).unionByName(edge(own, inner, course, 1))
+
+
+def prerequisite_states(graph: Graph, courses: DataFrame) -> DataFrame:
+    """course_id, state (free, cycle: on a cycle of prerequisites, or behind one), cycle_id (the smallest course on the
+    cycles that a course shares), prerequisite_level (0 unless free)."""
+    nodes = courses.select("course_id").distinct().withColumn("node", F.concat(F.lit("c"), F.col("course_id").cast("string")))
+    edges = cut_lineage(requirement_edges(graph, courses))
+    states = nodes.join(graph_states(edges, nodes), "node")
+    least = states.filter("component is not null").groupBy("component").agg(F.min("course_id").alias("cycle_id"))
+    return states.join(least, "component", "left").select("course_id", "state", "cycle_id", F.col("level").alias("prerequisite_level"))
+
+
+def solved_levels(graph: Graph, courses: DataFrame, most_waves: int = 12) -> DataFrame:
+    """course_id, prerequisite_level: the wave in which all that comes before is done; null on a cycle or behind one.
+
+    The first waves cost a round each: a course is done if none but itself, of those left, teaches a skill that it requires, which
+    the least and the greatest teacher of each skill that are left tell. What most_waves don't do goes by graph_states, whose rounds
+    don't grow with long chains.
     """
     nodes = cut_lineage(courses.select("course_id").distinct().withColumn("prerequisite_level", F.lit(None).cast("int")))
-    of = lambda edges: cut_lineage(edges.select("course_id", "skill_id").join(nodes, "course_id", "left_semi").distinct())
-    teaches, requires, wave = of(graph.teaches), of(graph.requires), 0
-    while True:
+    teaches, requires = (cut_lineage(e) for e in edges_among(graph, nodes))
+    for wave in range(most_waves):
         left = nodes.filter("prerequisite_level is null").select("course_id")
         unsolved = teaches.join(left, "course_id", "left_semi").groupBy("skill_id").agg(F.min("course_id").alias("least"), F.max("course_id").alias("most"))
         waiting = requires.join(left, "course_id", "left_semi").join(unsolved, "skill_id").filter("least <> course_id or most <> course_id")
         blocked = waiting.select("course_id").distinct().withColumn("_blocked", F.lit(True))
         solved = F.col("prerequisite_level").isNull() & F.col("_blocked").isNull()
         level = F.when(solved, F.lit(wave)).otherwise(F.col("prerequisite_level"))
-        found = cut_lineage(nodes.join(blocked, "course_id", "left").select("course_id", level.alias("prerequisite_level")))
-        if found.filter(F.col("prerequisite_level") == wave).isEmpty():
-            return nodes.select("course_id", F.coalesce("prerequisite_level", F.lit(0)).alias("prerequisite_level"))
-        nodes, wave = found, wave + 1
+        nodes = cut_lineage(nodes.join(blocked, "course_id", "left").select("course_id", level.alias("prerequisite_level")), nodes)
+        if nodes.filter(F.col("prerequisite_level") == wave).isEmpty():
+            return nodes
+    left = nodes.filter("prerequisite_level is null").select("course_id")
+    if left.isEmpty():
+        return nodes
+    node = F.concat(F.lit("c"), F.col("course_id").cast("string"))
+    edges = cut_lineage(requirement_edges(graph, left))
+    late = graph_states(edges, left.select(node.alias("node"))).filter("state = 'free'")
+    late = late.select("node", (F.col("level") + most_waves).alias("late"))  # what has nothing left before it comes right behind the last wave
+    out = nodes.withColumn("node", node).join(late, "node", "left")
+    return out.select("course_id", F.coalesce("prerequisite_level", "late").alias("prerequisite_level"))
+
+
+def prerequisite_levels(graph: Graph, courses: DataFrame) -> DataFrame:
+    """course_id, prerequisite_level: the wave in which all that comes before is done. Courses on a cycle or behind one have level 0."""
+    return solved_levels(graph, courses).select("course_id", F.coalesce("prerequisite_level", F.lit(0)).alias("prerequisite_level"))
 
 
 def recommend_courses(graph: Graph, skill_ids: DataFrame | None = None, skill_names: DataFrame | None = None, max_courses: int = 10, order: str = "as_observed") -> DataFrame:
-    """Courses that teach any of the skills, enriched, with prerequisite_level among all that were found.
+    """Courses that teach any of the skills, enriched, with prerequisite_level among all that were found and rank (from 1).
 
-    skill_ids has skill_id, skill_names has name. order: "as_observed" (course_id) or "topological" (level, course_id); the
-    levels are the same. It is an error if no skill is known by the ids or names.
+    skill_ids has skill_id, skill_names has name. order: "as_observed" (course_id) or "topological" (level, course_id, and
+    behind them, by course_id, the courses on a cycle or behind one); the levels are the same. It is an error if no skill
+    is known by the ids or names.
     """
     if order not in ("as_observed", "topological") or not 1 <= max_courses <= 50:
         raise ValueError("order must be as_observed or topological, max_courses from 1 to 50")
@@ -98,9 +171,11 @@ def recommend_courses(graph: Graph, skill_ids: DataFrame | None = None, skill_na
     if not ids or (wanted := ids[0] if len(ids) == 1 else ids[0].unionByName(ids[1])).isEmpty():
         raise ValueError("no skill is given")
     found = cut_lineage(courses_for_skills(graph, wanted))
-    levels = prerequisite_levels(graph, found)
-    ranked = found.join(levels, "course_id").orderBy(*(["prerequisite_level"] if order == "topological" else []), "course_id").limit(max_courses)
-    return enrich_courses(graph, ranked)
+    levels = solved_levels(graph, found)
+    place = ([F.col("prerequisite_level").asc_nulls_last()] if order == "topological" else []) + [F.col("course_id")]
+    first = found.join(levels, "course_id").orderBy(*place).limit(max_courses)  # 50 at most
+    first = first.withColumn("rank", F.row_number().over(Window.orderBy(*place))).withColumn("prerequisite_level", F.coalesce("prerequisite_level", F.lit(0)))
+    return enrich_courses(graph, first)
 
 
 def requested_skills(graph: Graph, ids: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pathloom import schemas
+from pathloom.lineage import cut_lineage
 from pathloom.sources.readers import require_columns
 from pathloom.sources.sinks import first_by
 
@@ -63,9 +64,39 @@ def deepest(*levels: str) -> Column:
     return F.coalesce(*reversed(levels))
 
 
+def dyadic_parts(first: Column, last: Column) -> Column:
+    """The whole numbers from first to last as few stretches of 2^level numbers, part * 2^level being the first: (level, part), two of a level at most."""
+    none = F.array().cast("array<struct<level: int, part: bigint>>")
+    one = lambda level, part: F.array(F.struct(level.cast("int").alias("level"), part.alias("part")))
+    odd = lambda c: c.bitwiseAND(F.lit(1).cast("long")) == 1
+
+    def step(s: Column, level: Column) -> Column:
+        open_, low, high = s["low"] < s["high"], s["low"], s["high"]
+        takes_low, takes_high = open_ & odd(low), open_ & odd(high)
+        out = F.concat(s["out"], F.when(takes_low, one(level, low)).otherwise(none), F.when(takes_high, one(level, high - 1)).otherwise(none))
+        low, high = low + F.when(takes_low, F.lit(1)).otherwise(F.lit(0)).cast("long"), high - F.when(takes_high, F.lit(1)).otherwise(F.lit(0)).cast("long")
+        return F.struct(F.shiftright(low, 1).alias("low"), F.shiftright(high, 1).alias("high"), out.alias("out"))
+
+    start = F.struct(first.cast("long").alias("low"), (last.cast("long") + 1).alias("high"), none.alias("out"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(62)), start, step, lambda s: s["out"])
+
+
 def in_range(df: DataFrame, value: str, ranges: DataFrame, missing: str = "Not found", missing_no: int = -1) -> DataFrame:
-    """Adds chapter_name and chapter_number of the range (first, last, chapter_name, chapter_number; a document's table of contents) that holds value."""
-    joined = df.join(ranges, F.col(value).between(F.col("first"), F.col("last")), "left").drop("first", "last")
+    """Adds chapter_name and chapter_number of the ranges (first, last, chapter_name, chapter_number; a document's table of contents) that hold value.
+
+    A value in several ranges gives a row for each, one in none the defaults; bounds are whole numbers. A range is a few dyadic
+    stretches, and a value is in one stretch of each length, so values meet ranges by an equi-join on (level, part), each pair
+    that fits once, however long and many ranges are.
+    """
+    parts = ranges.select("*", F.explode(dyadic_parts(F.ceil("first"), F.floor("last"))).alias("_d"))
+    parts = cut_lineage(parts.select("first", "last", "chapter_name", "chapter_number", F.col("_d.level").alias("_level"), F.col("_d.part").alias("_part")))
+    levels = [r[0] for r in parts.select("_level").distinct().collect()] or [0]  # 63 at most
+    whole = F.floor(value).cast("long")
+    at = F.explode(F.array(*(F.struct(F.lit(n).alias("_level"), F.shiftright(whole, n).alias("_part")) for n in sorted(levels)))).alias("_d")
+    values = df.select(F.col(value).alias("_value")).distinct().filter("_value is not null").withColumnRenamed("_value", value)
+    met = values.select(F.col(value).alias("_value"), at).select("_value", "_d.*").join(parts, ["_level", "_part"])
+    met = met.filter(F.col("_value").between(F.col("first"), F.col("last"))).select("_value", "chapter_name", "chapter_number")
+    joined = df.join(met, F.col(value) == F.col("_value"), "left").drop("_value")
     return joined.withColumns({"chapter_name": F.coalesce("chapter_name", F.lit(missing)), "chapter_number": F.coalesce("chapter_number", F.lit(missing_no))})
 
 
@@ -74,9 +105,11 @@ def article_of(clause_id: Column) -> Column:
     return F.regexp_extract(clause_id, r"_d(\d+)_k", 1).try_cast("int")
 
 
-def expand_references(clauses: DataFrame) -> DataFrame:
-    """chunk_id, text with the texts of the clauses in `references` (array of chunk_id) behind it, in their order."""
-    named = clauses.select("chunk_id", "text", F.posexplode_outer("references").alias("pos", "ref"))
+def expand_references(clauses: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """chunk_id, text with the texts of the clauses in `references` (array of chunk_id) behind it, in their order; of all
+    clauses, or of those that `wanted` (chunk_id) names."""
+    some = clauses if wanted is None else clauses.join(wanted.select("chunk_id"), "chunk_id", "left_semi")
+    named = some.select("chunk_id", "text", F.posexplode_outer("references").alias("pos", "ref"))
     found = named.join(clauses.select(F.col("chunk_id").alias("ref"), F.col("text").alias("ref_text")), "ref", "left")
     lists = found.groupBy("chunk_id", "text").agg(F.array_sort(F.collect_list(F.when(F.col("ref_text").isNotNull(), F.struct("pos", "ref_text")))).alias("r"))
     return lists.select("chunk_id", F.concat_ws("\n", F.col("text"), F.array_join(F.transform("r", lambda x: x["ref_text"]), "\n")).alias("text"))

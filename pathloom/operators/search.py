@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from pathloom.functions import text
 from pathloom.functions.vectors import cosine_top_k
+from pathloom.operators.textsearch import best_of_each, candidates, fuzzy_hits
 
 
 def labels_text(skills: DataFrame) -> Column:
@@ -51,14 +52,20 @@ def skill_details(skills: DataFrame, ids: DataFrame) -> DataFrame:
     return skills.join(ids.select("skill_id"), "skill_id", "left_semi").select("skill_id", "preferred_label", "description", "skill_type")
 
 
+def text_rows(skills: DataFrame) -> DataFrame:
+    """skill_id, column (1: label, 2: alternative labels, 3: description), text."""
+    texts = F.array("preferred_label", labels_text(skills), "description")
+    return skills.select("skill_id", F.posexplode(texts).alias("column", "text")).withColumn("column", F.col("column") + 1)
+
+
 def resolve_names(skills: DataFrame, names: DataFrame) -> DataFrame:
     """name, skill_id: the first hit of the search for each name; names without a hit are left out.
 
-    Names are looked for within texts, so each meets every skill: a nested-loop join on the match, of which Spark copies a side
-    only if its size allows it. Each name keeps one row for each partition before the shuffle.
+    Names are looked for within texts. Each name meets the skills that have its rarest gram, by an equi-join, and these
+    alone are matched; a name of wildcards only meets all.
     """
-    tier = match_tier(skills, F.col("name"))
-    found = skills.join(names.select("name").distinct(), tier.isNotNull()).withColumn("_tier", tier)
+    met = candidates(text_rows(skills), names).join(skills, "skill_id")
+    found = met.withColumn("_tier", match_tier(skills, F.col("name"))).filter("_tier is not null")
     best = found.groupBy("name").agg(F.min(F.struct("_tier", "skill_id")).alias("b"))
     return best.select("name", F.col("b.skill_id").alias("skill_id"))
 
@@ -70,17 +77,18 @@ def search_by_vector(queries: DataFrame, skills: DataFrame, limit: int = 10, dig
     return found.join(named, "item_id").select("query_id", F.col("item_id").alias("skill_id"), "preferred_label", "description", (F.col("score") + 1).alias("score"), "rank")
 
 
-def fuzzy_search(skills: DataFrame, query: str, limit: int = 10) -> DataFrame:
-    """Words of label (weight 2), alternative labels and description that are near a word of the query: up to 0, 1 or 2 edits for words of up to 2, up to 5, and more letters."""
-    wanted = F.filter(F.split(F.lower(F.lit(query)), r"\W+"), lambda w: w != "")
-    allowed = lambda w: F.when(F.length(w) <= 2, 0).when(F.length(w) <= 5, 1).otherwise(2)
+def fuzzy_search_many(skills: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:
+    """query, skill_id, score, rank for many queries (column query) at once: words of label (weight 2), alternative labels and
+    description that are near a word of the query, up to 0, 1 or 2 edits for words of up to 2, up to 5, and more letters."""
+    texts = text_rows(skills).withColumn("weight", F.when(F.col("column") == 1, 2).otherwise(1))
+    return best_of_each(fuzzy_hits(texts, queries), "query", "skill_id", limit)
 
-    def hits(col: Column) -> Column:
-        words = F.filter(F.split(F.lower(F.coalesce(col, F.lit(""))), r"\W+"), lambda w: w != "")
-        return F.size(F.filter(wanted, lambda q: F.exists(words, lambda w: F.levenshtein(q, w) <= allowed(q))))
 
-    score = 2 * hits(F.col("preferred_label")) + hits(labels_text(skills)) + hits(F.col("description"))
-    return skills.withColumn("score", score.cast("double")).filter("score > 0").orderBy(F.col("score").desc(), "skill_id").limit(limit).select("skill_id", "preferred_label", "description", "score")
+def fuzzy_search(skills: DataFrame, query: str, limit: int = 10) -> DataFrame:
+    """skill_id, preferred_label, description, score of the best of fuzzy_search_many for one query."""
+    one = skills.sparkSession.createDataFrame([(query,)], "query string")
+    found = fuzzy_search_many(skills, one, limit).select("skill_id", "score")
+    return skills.join(found, "skill_id").orderBy(F.col("score").desc(), "skill_id").limit(limit).select("skill_id", "preferred_label", "description", "score")
 
 
 def first_hits(candidates: DataFrame, key: str, order: list) -> DataFrame:

@@ -68,13 +68,6 @@ def skill_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("skill_id", "text", F.size("embedding").alias("dimension"), F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x).alias("total"))
 
 
-@query
-def prerequisite_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All courses, by all that they teach and require, cycles included."""
-    g = fixtures.graph(spark, sf_dir)
-    return recommend.prerequisite_levels(g, g.courses)
-
-
 @query
 def request_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The levels of a request for all skills of a brand, among all courses that teach any; cycles included."""
@@ -315,11 +308,6 @@ def evaluation_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.evaluation_payload(samples).select("seq", "text")
 
 
-@query
-def numbered_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dataset.numbered_batches(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("seq")), "seq", 64).groupBy("batch").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query
 def prediction_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = evaluate.predictions_of(top(spark, sf_dir, 5))
@@ -334,12 +322,6 @@ def metrics_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(*(F.round(F.col(f"`{m}@{k}`"), 6).alias(f"{m}_{k}") for m in ("accuracy", "mrr", "precision") for k in (1, 5, 20)))
 
 
-@query
-def fuzzy_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels, descriptions and alternative labels that hold a word within two edits of one asked for."""
-    return search.fuzzy_search(fixtures.skills(spark, sf_dir), "polishd", 50).select("skill_id", "score")
-
-
 @query
 def expanded_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each part refers to the two after it."""

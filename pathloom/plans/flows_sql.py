@@ -23,23 +23,28 @@ SELECT course_id, course_title, skill_name, skill_type, CASE WHEN score >= 0.95
        CASE WHEN score >= 0.95 THEN description END AS esco_description, score AS similarity_score FROM flat JOIN won ON q_text = flat.text"""
 
 
-def levels(skills: str) -> str:
-    """Courses for skills; what is on a cycle or behind one stays at 0, the longest path tells the level of the others."""
-    return f"""{GRAPH}, cand AS (SELECT * FROM courses WHERE course_id IN (SELECT course_id FROM teaches WHERE skill_id IN ({skills}))),
-deps AS (SELECT * FROM ({DEPENDENCIES}) WHERE before IN (SELECT course_id FROM cand) AND after IN (SELECT course_id FROM cand)),
-reach AS (SELECT before AS a, after AS b FROM deps UNION SELECT r.a, d.after FROM reach r JOIN deps d ON d.before = r.b),
+#: Over cand (course_id) and deps (before, after): what is on a cycle or behind one stays at 0, the longest path tells the level of the others.
+ORDERED = """reach AS (SELECT before AS a, after AS b FROM deps UNION SELECT r.a, d.after FROM reach r JOIN deps d ON d.before = r.b),
 cycles AS (SELECT DISTINCT a FROM reach WHERE a = b), stuck AS (SELECT a AS course_id FROM cycles UNION SELECT b FROM reach WHERE a IN (SELECT a FROM cycles)),
 walk AS (SELECT course_id, 0 AS level FROM cand WHERE course_id NOT IN (SELECT course_id FROM stuck)
   UNION SELECT d.after, w.level + 1 FROM walk w JOIN deps d ON d.before = w.course_id WHERE d.after NOT IN (SELECT course_id FROM stuck)),
 levels AS (SELECT course_id, CAST(coalesce(max(level), 0) AS INTEGER) AS prerequisite_level FROM cand LEFT JOIN walk USING (course_id) GROUP BY course_id)"""
 
 
+def levels(skills: str) -> str:
+    """The levels of courses for skills."""
+    return f"""{GRAPH}, cand AS (SELECT * FROM courses WHERE course_id IN (SELECT course_id FROM teaches WHERE skill_id IN ({skills}))),
+deps AS (SELECT * FROM ({DEPENDENCIES}) WHERE before IN (SELECT course_id FROM cand) AND after IN (SELECT course_id FROM cand)),
+{ORDERED}"""
+
+
 RESOLVED = f"SELECT min_by(skill_id, (t, skill_id)) AS skill_id FROM (SELECT name, p_partkey AS skill_id, {tiers('', 'name')} AS t FROM part, (VALUES ('ring'), ('plate'), ('no such name'), ('Gear')) v(name)) WHERE t IS NOT NULL GROUP BY name"
 WANTED = IDS[1:-1].replace(",", "), (")
 
 
-def recommended(skills: str, order: str, limit: int) -> str:
-    return f"WITH RECURSIVE {levels(skills)}, first AS (SELECT c.*, prerequisite_level FROM cand c JOIN levels USING (course_id) ORDER BY {order} LIMIT {limit}) {ENRICHED.format(courses='first')}"
+def recommended(skills: str, topological: bool, limit: int) -> str:
+    order = "course_id IN (SELECT course_id FROM stuck), prerequisite_level, course_id" if topological else "course_id"
+    return f"WITH RECURSIVE {levels(skills)}, first AS (SELECT c.*, prerequisite_level, CAST(row_number() OVER (ORDER BY {order}) AS INTEGER) AS rank FROM cand c JOIN levels USING (course_id) QUALIFY rank <= {limit}) {ENRICHED.format(courses='first')}"
 
 
 SKILLS = "(SELECT *, (SELECT min(p_partkey) FROM part f WHERE f.p_brand = p.p_brand) AS parent FROM part p)"
@@ -60,17 +65,13 @@ def rank_metrics() -> str:
     return "SELECT " + ", ".join(parts) + " FROM part"
 
 
-def near(column: str, weight: int = 1) -> str:
-    return f"{weight} * CAST(len(list_filter(regexp_split_to_array(lower({column}), '\\W+'), lambda w: w <> '' AND levenshtein('polishd', w) <= 2)) > 0 AS INTEGER)"
-
-
 FLOWS: dict[str, str] = {
     "map_course_skills": mapped("rank"),
     "map_course_skills_reranked": mapped("row_number() OVER (PARTITION BY q_text ORDER BY -abs(length(q_text) - length(i_text)) DESC, rank)"),
     "skill_index": f"SELECT skill_id, text, 10 AS dimension, list_sum({VECTOR}) AS total FROM ({INDEX.format(least=7)}) ORDER BY skill_id LIMIT 50",
     "request_levels": f"WITH RECURSIVE {levels('SELECT p_partkey FROM part WHERE p_brand = ' + chr(39) + 'Brand#2' + chr(39))} SELECT course_id, prerequisite_level FROM levels",
-    "recommend_courses": recommended(f"SELECT * FROM (VALUES ({WANTED}))", "prerequisite_level, course_id", 20),
-    "recommend_by_names": recommended(f"SELECT * FROM (VALUES ({WANTED})) UNION ALL ({RESOLVED})", "course_id", 10),
+    "recommend_courses": recommended(f"SELECT * FROM (VALUES ({WANTED}))", True, 20),
+    "recommend_by_names": recommended(f"SELECT * FROM (VALUES ({WANTED})) UNION ALL ({RESOLVED})", False, 10),
     "build_graph": COUNTS.format(courses="count(DISTINCT l_orderkey) FROM lineitem", teaches=f"count(*) FROM ({edges('outcome').replace('SELECT o_orderkey FROM orders', 'SELECT l_orderkey FROM lineitem')})", requires=f"count(*) FROM ({edges('entry').replace('SELECT o_orderkey FROM orders', 'SELECT l_orderkey FROM lineitem')})"),
     "build_graph_without_mappings": COUNTS.format(courses="0", teaches="0", requires="0"),
     "skill_nodes_last_wins": "SELECT p_partkey AS skill_id, CASE WHEN p_partkey % 3 = 0 THEN upper(p_name) ELSE p_name END AS preferred_label FROM part",
@@ -98,10 +99,8 @@ FLOWS: dict[str, str] = {
   SELECT p_partkey, p_name AS query, p_type AS positive, p_brand AS negatives, p_type AS t FROM part UNION ALL SELECT p_partkey, p_name, p_type, '', p_type FROM part WHERE p_type LIKE 'S%'
 ) WHERE p_partkey % 5 <> 0 GROUP BY 1, 2, 3""",
     "evaluation_payload": "SELECT p_partkey AS seq, substr(p_name || ' ' || p_type, 1, 100) || '. ' || p_name || ' ' || p_type || '. Category: ' || p_brand || '. Course: Generated Sample ' || p_partkey AS text FROM part",
-    "numbered_batches": "SELECT p_partkey // 64 AS batch, count(*) AS n FROM part GROUP BY 1",
     "prediction_lists": TOP + " SELECT query_id, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY rank) AS predicted, round(min(score), 6) AS last_score FROM ranked WHERE rank <= 5 GROUP BY query_id",
     "metrics_wide": rank_metrics(),
-    "fuzzy_search": f"SELECT skill_id, score FROM (SELECT p_partkey AS skill_id, CAST({near('p_name', 2)} + {near('p_brand')} + {near('p_type')} AS DOUBLE) AS score FROM part) WHERE score > 0 ORDER BY score DESC, skill_id LIMIT 50",
     "expanded_references": "SELECT CAST(p.p_partkey AS VARCHAR) AS chunk_id, concat_ws(chr(10), p.p_name, coalesce(a.p_name || coalesce(chr(10) || b.p_name, ''), '')) AS text FROM part p LEFT JOIN part a ON a.p_partkey = p.p_partkey + 1 LEFT JOIN part b ON b.p_partkey = p.p_partkey + 2",
     "law_clauses": """SELECT CAST(p_partkey AS VARCHAR) AS source, 1 AS article_number, p_brand AS article_title, 1 AS clause_number, p_name || ' goes on' AS clause_text FROM part
 UNION ALL SELECT CAST(p_partkey AS VARCHAR), 1, p_brand, 2, p_type FROM part UNION ALL SELECT CAST(p_partkey AS VARCHAR), 2, 'Next', NULL, 'no clause' FROM part""",

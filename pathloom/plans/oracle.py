@@ -146,6 +146,7 @@ LEFT JOIN (SELECT l_partkey, string_agg(CAST(l_suppkey AS VARCHAR), ',' ORDER BY
 
 
 def oracle_sql() -> dict[str, str]:
-    from pathloom.plans.flows_sql import FLOWS  # which uses parts of this module
+    from pathloom.plans.discovery_sql import DISCOVERY  # which use parts of this module
+    from pathloom.plans.flows_sql import FLOWS
 
-    return ORACLE | FLOWS
+    return ORACLE | FLOWS | DISCOVERY

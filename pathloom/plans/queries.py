@@ -188,7 +188,7 @@ def course_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def in_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = fixtures.graph(spark, sf_dir)
-    return recommend.in_degrees(g.courses, recommend.course_dependencies(g, g.courses))
+    return recommend.in_degrees(g, g.courses)
 
 
 def label_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -409,6 +409,6 @@ def broader_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    from pathloom.plans import flows  # noqa: F401  registers its queries too
+    from pathloom.plans import discovery, flows  # noqa: F401  they register theirs too
 
     return dict(REGISTRY)

@@ -15,6 +15,11 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', encoding="UTF-8")
 
 
+def read_csv_filled(spark: SparkSession, path: str) -> DataFrame:
+    """read_csv with empty strings for nulls, for steps that put texts together."""
+    return read_csv(spark, path).fillna("")
+
+
 def column_or_null(df: DataFrame, name: str):
     return F.col(f"`{name}`") if name in df.columns else F.lit(None).cast("string")
 

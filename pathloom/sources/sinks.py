@@ -22,9 +22,10 @@ def first_by(df: DataFrame, keys: list[str], seq: str) -> DataFrame:
     return best.select(*(F.col(f"_r.{c}").alias(c) if c in rest else F.col(c) for c in df.columns))
 
 
-def create_table(spark: SparkSession, name: str, schema: T.StructType) -> None:
+def create_table(spark: SparkSession, name: str, schema: T.StructType, path: str | None = None) -> None:
+    """An empty table in the catalogue, unless there is one of that name; its files are in path, or else in the warehouse."""
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
-    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet")
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet" + (f" LOCATION '{path}'" if path else ""))
 
 
 def write_table(df: DataFrame, path: str) -> None:

@@ -109,7 +109,7 @@ def test_dependencies_once_for_each_pair(spark):
     g = Graph(None, courses, None, teaches, requires)
     edges = recommend.course_dependencies(g, courses)
     assert rows(edges, "before", "after") == [("a", "b")]
-    assert rows(recommend.in_degrees(courses, edges), "course_id", "in_degree") == [("a", 0), ("b", 1), ("c", 0)]
+    assert rows(recommend.in_degrees(g, courses), "course_id", "in_degree") == [("a", 0), ("b", 1), ("c", 0)]
 
 
 def test_search(skills):
