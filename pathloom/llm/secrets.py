@@ -34,6 +34,10 @@ SENSITIVE = re.compile(
     r"(?ai:pass(?:word|wd|phrase)|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|client[_-]?key|credential|authorization|bearer|signature|auth|session[_-]?id|cookie|license[_-]?key|connection[_-]?string|BEGIN [A-Z ]*PRIVATE KEY)"
 )
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=~!@%^*-]{16,}")
+#: What a candidate without a digit must have: letters that no separator parts.
+LETTERS = re.compile(r"[A-Za-z+]{16,}")
+#: Where a name in camel case goes on with its next word.
+HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 #: Key material behind a BEGIN line: lines of base64, the last of which may be short.
 KEY_BEGIN = re.compile(r"(?a)BEGIN [A-Z ]*PRIVATE KEY-*[ \t]*\r?\n")
 KEY_BODY = re.compile(r"(?:[ \t]*[A-Za-z0-9+/=]{16,}[ \t]*\r?\n)*[ \t]*[A-Za-z0-9+/=]+")
@@ -97,6 +101,16 @@ class Novelty:
         )
         return added / len(text[start:end].encode())
 
+    def folded_ratio(self, text: str, start: int, end: int) -> float:
+        """ratio() of the candidate in small letters and with its humps parted, over its own bytes.
+
+        Names in camel case or capitals become the words they are made of, which are known; in random letters each
+        change of case adds something that is not.
+        """
+        before, own = text[max(0, start - self.around) : start], folded(text[start:end])
+        ratio = self.ratio(before + own + text[end : end + self.around], len(before), len(before) + len(own))
+        return ratio * len(own) / (end - start)
+
     def size(self, before: bytes, candidate: bytes, after: bytes) -> int:
         """What the candidate adds in compressed bytes to ordinary text behind what stands around it."""
         primer = zstandard.ZstdCompressionDict(identifier_dictionary() + after + before, dict_type=zstandard.DICT_TYPE_FULLDICT)
@@ -109,13 +123,27 @@ def shapes(value: str) -> int:
     return any("a" <= c <= "z" for c in value) + any("A" <= c <= "Z" for c in value) + any("0" <= c <= "9" for c in value)
 
 
-def novel_spans(text: str, taken: list[tuple[int, int]], reach: int = 48, least_ratio: float = 0.81, least_ratio_lower: float = 0.76) -> Iterator[tuple[int, int]]:
-    """(start, end) of candidates no further than `reach` characters behind a sensitive word, free of taken spans, of two
-    kinds of characters at least and with a digit, whose marginal compressed bytes are least_ratio of their own or more (least_ratio_lower without upper case, as fewer
-    letters need fewer bits). Behind the BEGIN line of a private key the candidate is its whole body, over all lines."""
+def folded(value: str) -> str:
+    return (HUMP.sub("_", value) if value != value.upper() else value).lower()
+
+
+def novel_spans(
+    text: str, taken: list[tuple[int, int]], reach: int = 48, least_ratio: float = 0.81, least_ratio_lower: float = 0.76, least_folded: float = 0.75, least_folded_one_case: float = 0.66
+) -> Iterator[tuple[int, int]]:
+    """(start, end) of candidates no further than `reach` characters behind a sensitive word, free of taken spans, whose
+    marginal compressed bytes reach a share of their own. With a digit and another kind of character: least_ratio, or
+    least_ratio_lower without upper case, as fewer letters need fewer bits. Without a digit, where 16 letters stand
+    unparted: the folded form's, least_folded, or least_folded_one_case where all letters are of one case. Behind the
+    BEGIN line of a private key the candidate is its whole body, over all lines."""
     measure, done, covered = Novelty(), 0, sorted(taken)
     starts = [a for a, _ in covered]
 
+    def novel(value: str, start: int, end: int) -> bool:
+        if any(c.isdigit() for c in value):
+            return shapes(value) > 1 and measure.ratio(text, start, end) >= (least_ratio_lower if value == value.lower() else least_ratio)
+        least = least_folded if shapes(value) > 1 else least_folded_one_case
+        return LETTERS.search(value) is not None and measure.folded_ratio(text, start, end) >= least
+
     def free(start: int, end: int) -> bool:
         near = covered[max(0, bisect_left(starts, start) - len(KINDS)) : bisect_left(starts, end)]
         return not any(a < end and start < b for a, b in near)
@@ -135,9 +163,7 @@ def novel_spans(text: str, taken: list[tuple[int, int]], reach: int = 48, least_
             done = at
             value = text[start:at].rstrip(".=!")
             end = start + len(value)
-            if len(value) < 16 or shapes(value) < 2 or not any(c.isdigit() for c in value):
-                continue
-            if free(start, end) and measure.ratio(text, start, end) >= (least_ratio_lower if value == value.lower() else least_ratio):
+            if len(value) >= 16 and free(start, end) and novel(value, start, end):
                 yield start, end
 
 

@@ -144,6 +144,21 @@ def test_novelty_finds_random_keys_of_all_lengths(name):
         assert hits >= 0.9 * tried and tried > 20, (name, length, hits, tried)
 
 
+@pytest.mark.parametrize("letters", ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"])
+def test_novelty_finds_keys_of_letters_only(letters):
+    pick = random.Random(len(letters))
+    for length in (16, 17, 20, 24, 32, 48, 64, 300):
+        keys = ["".join(pick.choice(letters) for _ in range(length)) for _ in range(60)]
+        texts = [(f"def connect(host):\n    {pick.choice(['Bearer ', 'session_id: ', 'client_key = '])}", key) for key in keys]
+        hits = sum((len(a), len(a) + length, "novel") in {x[:3] for x in secrets.find_secrets(f"{a}{key}\nand so on")} for a, key in texts)
+        assert hits >= 0.85 * len(keys), (length, hits)
+
+
+def test_novelty_leaves_names_of_letters_only():
+    for name in ("getElementsByTagName", "AuthenticationRequestHandler", "DEFAULT_CONFIGURATION_ENVIRONMENT", "application_configuration_version", "parametersResponseContent", "zyzyzyzyzyzyzyzyzyzyzyzy"):
+        assert secrets.find_secrets(f"the session_id: {name} is read") == [], name
+
+
 def made_up_names(n):
     """Identifiers of words that mostly aren't in the dictionary, with a number."""
     pick, parts = random.Random(1), "user account Service request config Data build Report index Cache query model Error stream parse buffer remote Path".split()
