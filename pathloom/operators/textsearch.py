@@ -134,7 +134,7 @@ def phase_one(queries: DataFrame, items: DataFrame, k: int = 100, each: int = 20
 
 def semantic_units(df: DataFrame, key: str, text: str) -> DataFrame:
     """key, unit_no (from 0), unit: the sentences of a text, ended by . ! ? or a line, without white space around; empty ones are left out."""
-    units = F.filter(F.transform(F.split(F.col(text), r"(?<=[.!?])\s+|\n+"), F.trim), lambda u: u != "")
+    units = F.filter(F.transform(F.split(F.col(text), r"(?<=[.!?])\s+|\n+"), lambda u: F.trim(u)), lambda u: u != "")
     return df.select(key, F.posexplode(units).alias("unit_no", "unit"))
 
 

@@ -56,7 +56,7 @@ DISCOVERY: dict[str, str] = {
     "index_rows": "SELECT vec_id AS id, 1::BIGINT AS n_lists FROM embeddings",
     "approximate_context_all_lists": ALL + """, text AS (SELECT vec_id AS id, 'chunk ' || vec_id || ': label ' || label AS t FROM embeddings)
 SELECT query_id, chr(10) || string_agg(concat_ws(chr(10), h.t, a.t, b.t), chr(10) ORDER BY rank) AS context FROM ranked JOIN text h ON h.id = item_id LEFT JOIN text a ON a.id = item_id + 1 LEFT JOIN text b ON b.id = item_id + 2 WHERE rank <= 3 GROUP BY query_id""",
-    "vector_top_k_limits": "WITH " + PAIRS.replace("% 25", "% 100").format(others="") + """, few AS (SELECT * FROM ranked WHERE rank = 1), most AS (SELECT * EXCLUDE (rank), CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS INTEGER) AS rank FROM pairs WHERE label = 0)
+    "vector_top_k_limits": "WITH " + PAIRS.replace("% 25", "% 100").format(others="") + """, few AS (SELECT * FROM ranked WHERE rank = 1), most AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS INTEGER) AS rank FROM pairs WHERE label = 0)
 SELECT -3 AS asked_k, query_id, item_id, score, rank FROM few UNION ALL SELECT 1000000, query_id, item_id, score, rank FROM most""",
     "prerequisite_levels": f"{SPARSE_LEVELS} SELECT course_id, prerequisite_level FROM levels",
     "prerequisite_states": f"""{SPARSE_LEVELS}, together AS (SELECT r.a AS course_id, min(r.b) AS cycle_id FROM reach r JOIN reach s ON s.a = r.b AND s.b = r.a GROUP BY 1)
