@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from pathloom.llm.components import connected_components
 from pathloom.llm.simhash import LOWER, SEED
-from pathloom.llm.store import drop_table, map_arrow, materialize, per_batch, slices
+from pathloom.llm.store import drop_table, free_prefix, map_arrow, materialize, per_batch, quoted, slices
 from pathloom.llm.words import WORD_BYTES
 
 U = np.uint64
@@ -350,12 +350,17 @@ def without_near_copies(docs: DataFrame) -> DataFrame:
     """docs with one row of each component of near_groups: that of the smallest doc_id (null: the last), of several texts
     under it the one of the smallest hash.
 
-    Rows are judged by their texts: unlike texts under one doc_id, or without one, each stay; rows that are there twice
-    leave one. Null and empty texts are alike. An empty table gives an empty one. Other columns stay.
+    Rows are judged by their texts: unlike texts under one doc_id, or without one, each stay; of rows of one doc_id and text
+    the one stays whose other columns come first, compared as JSON in the order of the columns. Null and empty texts are alike.
+    An empty table gives an empty one. Other columns stay, whatever their names.
     """
     _, named = near_groups(docs)
-    kept = named.groupBy("root").agg(F.min("first").alias("first")).select(*(F.col(f"first.{c}").alias(f"__kept_{c}") for c in ROW))
+    new = free_prefix(docs.columns)
+    kept = named.groupBy("root").agg(F.min("first").alias("first")).select(*(F.col(f"first.{c}").alias(f"{new}kept_{c}") for c in ROW))
     own = dict(zip(("h1", "h2"), text_hashes(), strict=True))
-    rows = docs.select("*", F.col("doc_id").cast("long").alias("__doc_id"), *(h.alias(f"__{c}") for c, h in own.items()))
-    found = rows.join(kept, [rows[f"__{c}"].eqNullSafe(kept[f"__kept_{c}"]) for c in ROW], "left_semi")
-    return found.dropDuplicates([f"__{c}" for c in ROW]).drop(*(f"__{c}" for c in ROW))
+    rows = docs.select("*", F.col("doc_id").cast("long").alias(f"{new}doc_id"), *(h.alias(f"{new}{c}") for c, h in own.items()))
+    found = rows.join(kept, [F.col(f"{new}{c}").eqNullSafe(F.col(f"{new}kept_{c}")) for c in ROW], "left_semi")
+    columns = [quoted(c) for c in docs.columns]
+    others = F.to_json(F.struct(*(quoted(c) for c in docs.columns if c != "text")), {"ignoreNullFields": "false"})
+    single = found.groupBy(*(f"{new}{c}" for c in ROW)).agg(F.min_by(F.struct(*columns), others).alias(f"{new}row"))
+    return single.select(f"{new}row.*")

@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathloom.llm.store import bounded_sample, materialize, per_batch, read_table, slices
+from pathloom.llm.store import bounded_sample, map_columns, materialize, per_batch, read_table, slices
 from pathloom.llm.words import WORD
 
 SYMBOL = re.compile(r"[#*$%&|<>]")
@@ -220,13 +221,13 @@ def keep_good(docs: DataFrame, model: QualityModel) -> DataFrame:
     """
     at = docs.columns.index("text")
 
-    def run(batch: pa.RecordBatch):
-        for part in slices(batch, at):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (x for batch in batches for x in slices(batch, at)):
             table = np.array([rule_stats(t) for t in part.column(at).to_pylist()], np.int64).reshape(-1, len(STATS))
             _, _, rejected = model.judge(table)
             yield part.filter(pa.array(~rejected & ~base_fails(table[:, 0], table[:, 4])))
 
-    return per_batch(docs, run, docs.schema)
+    return map_columns(docs, run)
 
 
 def judge_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathloom.llm.store import map_arrow, per_batch, read_table, slices
+from pathloom.llm.store import map_columns, per_batch, read_table, slices
 
 #: Fixed patterns of the base kinds.
 ASSIGN = re.compile(r"(?ai:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
@@ -232,7 +232,7 @@ def redact_documents(docs: DataFrame) -> DataFrame:
                     columns[length_at] = pa.array([len(b) if a != b else n for a, b, n in zip(old, new, was, strict=True)], part.column(length_at).type)
                 yield pa.RecordBatch.from_arrays(columns, schema=part.schema)
 
-    return map_arrow(docs, run, docs.schema)
+    return map_columns(docs, run)
 
 
 def span_list(spans):

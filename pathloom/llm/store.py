@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -95,6 +95,13 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return df.mapInArrow(run, schema)
 
 
+def map_columns(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], n: int | None = None) -> DataFrame:
+    """map_arrow for a fn that takes columns by their place and gives the first n (all) back: their names may be any."""
+    names = [f"c{i}" for i in range(len(df.columns))]
+    kinds = [StructField(name, field.dataType) for name, field in zip(names, df.schema.fields, strict=True)]
+    return map_arrow(df.toDF(*names), fn, StructType(kinds[:n])).toDF(*df.columns[:n])
+
+
 def per_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """Applies fn to each Arrow batch of df."""
     return map_arrow(df, lambda batches: (out for batch in batches for out in fn(batch)), schema)
@@ -122,6 +129,19 @@ def bounded_sample(df: DataFrame, n: int, *keys: str) -> DataFrame:
     return df.orderBy(h, *keys).limit(n)
 
 
+def free_prefix(columns: Iterable[str]) -> str:
+    """A prefix for columns added to a table: none of its own names starts with it, in whatever case."""
+    names, prefix = [c.lower() for c in columns], "__"
+    while any(c.startswith(prefix) for c in names):
+        prefix += "_"
+    return prefix
+
+
+def quoted(column: str) -> Column:
+    """The column of this very name, dots and backticks included."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -21,9 +21,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from pathloom.llm.store import map_arrow, materialize, read_table, slices
+from pathloom.llm.store import free_prefix, map_arrow, map_columns, materialize, quoted, read_table, slices
 from pathloom.llm.words import WORD, WORD_BYTES
 
 U = np.uint64
@@ -221,9 +220,12 @@ def runs_of(places: list[int] | None, window: int) -> list[tuple[int, int]]:
 
 
 def _with_repeats(docs: DataFrame, repeats: DataFrame) -> DataFrame:
-    right = repeats.select(F.col("doc").alias("__doc"), F.col("text").alias("__text"), F.col("repeats").alias("__repeats"))
+    """docs with their repeats as a last column."""
+    new = free_prefix(docs.columns)
+    right = repeats.select(*(F.col(c).alias(f"{new}{c}") for c in ("doc", "text", "repeats")))
     doc, key = doc_key()
-    return docs.join(right, (doc == right["__doc"]) & (key == right["__text"]), "left").drop("__doc", "__text")
+    joined = docs.join(right, (doc == F.col(f"{new}doc")) & (key == F.col(f"{new}text")), "left")
+    return joined.select(*(quoted(c) for c in docs.columns), F.col(f"{new}repeats"))
 
 
 def kept_words(docs: DataFrame, window: int = 20, anchor: int = 6) -> DataFrame:
@@ -257,7 +259,7 @@ def kept_words(docs: DataFrame, window: int = 20, anchor: int = 6) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), *columns], ["doc_id", "n_words", "n_removed", "runs", "kept"])
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    joined = _with_repeats(narrow, find_repeats(narrow, window, anchor)).select("doc_id", "text", "__repeats")
+    joined = _with_repeats(narrow, find_repeats(narrow, window, anchor))
     return map_arrow(joined, run, "doc_id long, n_words long, n_removed long, runs array<struct<start: long, end: long>>, kept string")
 
 
@@ -274,7 +276,8 @@ def cut(text: str, runs: list[tuple[int, int]]) -> str:
 def remove_repeats(docs: DataFrame, window: int = 20, anchor: int = 6) -> DataFrame:
     """docs with the repeats cut out of text (and n_chars, if there, counted anew); a document that loses all its words goes.
 
-    Null ids, repeated rows and null, empty and short texts are as in kept_words; an empty table gives an empty one.
+    Null ids, repeated rows and null, empty and short texts are as in kept_words; an empty table gives an empty one. Other
+    columns stay, whatever their names.
     """
     at, length_at, n = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None, len(docs.columns)
 
@@ -296,8 +299,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, anchor: int = 6) -> DataFr
                     columns[length_at] = pa.array(lengths, part.column(length_at).type)
                 yield pa.RecordBatch.from_arrays(columns, schema=pa.schema(list(part.schema)[:n])).filter(pa.array(keep, pa.bool_()))
 
-    joined = _with_repeats(docs, find_repeats(docs, window, anchor))
-    return map_arrow(joined, run, T.StructType(docs.schema.fields))
+    return map_columns(_with_repeats(docs, find_repeats(docs, window, anchor)), run, n)
 
 
 def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql.window import Window
 
 from pathloom.llm.bpe import default_path
 from pathloom.llm.bytebpe import byte_bpe
-from pathloom.llm.store import bounded_sample, map_arrow, materialize, new_path, read_table, slices
+from pathloom.llm.store import map_arrow, materialize, new_path, read_table, slices
 
 MAGIC = b"LOOMZID1"
 NO_ID = -(1 << 63)  # stands for a null doc_id in the index
@@ -31,10 +31,11 @@ NO_ID = -(1 << 63)  # stands for a null doc_id in the index
 def train_dictionary(docs: DataFrame, path: str, sample_docs: int = 1000, sample_chars: int = 20_000, size: int = 64 << 10) -> bytes:
     """A zstandard dictionary of serialized id arrays.
 
-    It is fitted on sample_docs documents at most, picked by the hash of doc_id, and on sample_chars of each. Too few for the trainer: their own bytes are the dictionary.
+    It is fitted on sample_docs documents at most, picked by the hash of (doc_id, text) among the different ones, and on sample_chars
+    of each: one doc_id for all rows, none at all, or repeated rows leave a sample all the same. Null texts count as empty. Too few
+    for the trainer: their own bytes are the dictionary. It is empty only if no text has a token.
     """
-    picked = bounded_sample(docs.select("doc_id", "text"), sample_docs, "doc_id")
-    sample = picked.select("doc_id", F.substring("text", 1, sample_chars).alias("text")).orderBy("doc_id", "text")
+    sample = distinct_sample(docs, sample_docs, sample_chars)
     bpe = byte_bpe(path)
     kind = id_type(bpe.size)
     rows = [x for r in sample.select("text").collect() if (x := bpe.encode(r["text"]).astype(kind).tobytes())]
@@ -44,6 +45,15 @@ def train_dictionary(docs: DataFrame, path: str, sample_docs: int = 1000, sample
         return b"".join(rows)[-size:]
 
 
+def distinct_sample(docs: DataFrame, n: int, chars: int) -> DataFrame:
+    """doc_id and the first chars of text of n different rows at most, those of the smallest hashes of (doc_id, text)."""
+    rows = docs.select("doc_id", "text").filter(F.octet_length("text") > 0).withColumn("h", F.xxhash64("doc_id", "text"))
+    different = rows.agg(F.approx_count_distinct("h")).first()[0]
+    if different > n:  # 1.3 times as many as asked for: the count may be some percent off
+        rows = rows.filter(F.pmod("h", F.lit(1 << 31)) <= int(1.3 * n / different * (1 << 31)))
+    return rows.select("h", "doc_id", F.substring("text", 1, chars).alias("text")).dropDuplicates().orderBy("h", "doc_id", "text").limit(n).select("doc_id", "text")
+
+
 def id_type(vocabulary: int) -> str:
     return "<u2" if vocabulary <= 1 << 16 else "<u4"
 

@@ -102,6 +102,29 @@ def test_nulls_repeats_and_clashes(spark, folder):
         assert stage(spark, none, folder).count() == 0
 
 
+def test_column_names_that_stages_use_themselves(spark, folder):
+    text = " ".join(f"w{i}" for i in range(80))
+    rows = [(1, text, "en", "s", 1), (1, text, "en", "s", 1), (2, text + " more", "en", "s", 1), (3, "Before that: " + text, "en", "s", 1), (4, "other " * 30, "en", "s", 1)]
+    names = ["doc", "text_", "repeats", "doc_id_", "h1", "h2", "row", "kept_doc_id", "a.b", "x`y"]
+    docs = spark.createDataFrame(rows, COLUMNS).withColumns({f"{p}{c}": F.lit(i) for i, c in enumerate(names) for p in ("", "__", "___")}).withColumn("__DOC_ID", F.lit(7))
+    kept = corpus_pipeline.near_dedup(spark, docs, folder)
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 4]
+    cut = corpus_pipeline.substring_dedup(spark, docs, folder)
+    got = {r["doc_id"]: r for r in cut.collect()}
+    for stage in (corpus_pipeline.quality, corpus_pipeline.secrets):
+        out = stage(spark, docs, folder)
+        assert out.columns == docs.columns and len(out.collect()) <= docs.count()
+    assert cut.columns == docs.columns and got[3]["text"].split() == ["Before", "that:"] and {r["__text_"] for r in got.values()} == {1}
+
+
+def test_which_of_equal_rows_stays(spark):
+    """The one whose other columns come first, however the rows are dealt."""
+    text = " ".join(f"w{i}" for i in range(80))
+    docs = spark.createDataFrame([(5, text, None if i == 39 else "en", f"src{i:02}", i) for i in range(40)], COLUMNS)
+    for n in (1, 3, 5, 8):
+        assert [r["source"] for r in corpus_pipeline.near_dedup(spark, docs.repartition(n), "").collect()] == ["src00"]
+
+
 def test_near_dedup_decides_by_text(spark):
     """Unlike texts of one doc_id, or of none, stay; copies among them go."""
     one, two, three, four = (" ".join(f"{c}{i}" for i in range(80)) for c in "abcd")

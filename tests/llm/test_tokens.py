@@ -152,6 +152,16 @@ def test_op5_files(spark, docs, none, corpus):
     assert tokenfiles.read_token_files(empty, b"").count() == 0
 
 
+def test_op5_dictionary_of_any_table(spark, docs):
+    """One doc_id for all rows, none at all, or the same row over and over leave a sample."""
+    for doc_id in (5, 6, 9, None):
+        one = docs.withColumn("doc_id", F.lit(doc_id).cast("long"))
+        assert len(tokenfiles.train_dictionary(one, BYTE, sample_docs=20)) > 500
+        assert tokenfiles.distinct_sample(one, 20, 100).count() == 20
+    same = spark.range(300).select(F.lit(5).alias("doc_id"), F.lit("the same words").alias("text"))
+    assert tokenfiles.distinct_sample(same, 20, 100).count() == 1 and tokenfiles.train_dictionary(same, BYTE, sample_docs=20)
+
+
 def test_op5_null_ids_and_repeats(spark):
     docs = spark.createDataFrame([(None, "a b"), (1, "c"), (1, "c"), (1, None)], "doc_id long, text string")
     files = tokenfiles.write_token_files(docs, BYTE, new_path(spark, "test-files"), b"")
