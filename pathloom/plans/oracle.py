@@ -68,7 +68,7 @@ SELECT name, skill_id FROM (
     "graph_teaches_last_wins": edges("outcome"),
     "graph_requires": f"SELECT course_id, skill_id, skill_type, source FROM ({edges('entry')})",
     "graph_missing_endpoints": f"SELECT course_id, count(*) AS n FROM ({edges('outcome', '(SELECT p_partkey FROM part WHERE p_size <= 10)')}) GROUP BY course_id",
-    "graph_broader": "SELECT DISTINCT p_partkey AS child_id, min(p_partkey) OVER (PARTITION BY p_brand, p_size) AS parent_id FROM part WHERE p_size < 40",
+    "graph_broader": "SELECT DISTINCT p_partkey AS child_id, min(p_partkey) OVER (PARTITION BY p_brand, p_size) AS parent_id FROM part",
     "course_nodes_first_wins": f"""
 SELECT course_id, category, source_file FROM (
   SELECT l_orderkey AS course_id, l_linestatus AS category, l_returnflag AS source_file, row_number() OVER (PARTITION BY l_orderkey ORDER BY {FIRST}) AS n FROM lineitem
@@ -94,7 +94,7 @@ SELECT doc_id, s.source, coalesce(pool.negatives[CAST(i % 3 AS INTEGER) + 1], ''
     "dataset_stats": "SELECT count(*) AS n_rows, count(DISTINCT source) AS n_groups, round(count(*)::DOUBLE / count(DISTINCT source), 6) AS per_group, 0::BIGINT AS n_removed FROM documents",
     "negatives_by_group": "SELECT source, i // 100 AS part, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS ids FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i FROM documents) GROUP BY 1, 2",
     "resume_antijoin": "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
-    "pos_neg_combine": "SELECT d.doc_id, d.source, n.negative_id FROM documents d JOIN (SELECT source, max(doc_id) AS negative_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels) GROUP BY source) n USING (source) WHERE d.lang = 'en'",
+    "pos_neg_combine": "SELECT d.doc_id, d.source, n.negative_id FROM documents d JOIN (SELECT source, max(doc_id) AS negative_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels) GROUP BY source) n USING (source)",
     "label_status": "SELECT doc_id, source, doc_id IN (SELECT doc_id FROM labels) AS is_labeled FROM documents",
     "label_progress": """
 WITH s AS (SELECT doc_id IN (SELECT doc_id FROM labels) AS l FROM documents)
@@ -121,10 +121,10 @@ SELECT CAST(l_orderkey AS VARCHAR) AS course_id, 'T' AS course_title, CAST(l_par
 FROM lineitem""",
     "hierarchy_outer_merge": """
 SELECT n_nationkey, n_name, s_nationkey, n_suppliers, CASE WHEN n_nationkey IS NULL THEN 'right_only' WHEN s_nationkey IS NULL THEN 'left_only' ELSE 'both' END AS merge_side
-FROM (SELECT n_nationkey, n_name FROM nation WHERE n_regionkey <> 0) n FULL JOIN (SELECT s_nationkey, count(*) AS n_suppliers FROM supplier WHERE s_nationkey < 20 GROUP BY 1) s ON n_nationkey = s_nationkey""",
+FROM nation n FULL JOIN (SELECT s_nationkey + 5 AS s_nationkey, count(*) AS n_suppliers FROM supplier GROUP BY 1) s ON n_nationkey = s_nationkey""",
     "left_merge_first": """
 SELECT n_nationkey, n_name, s_name, s_suppkey FROM nation LEFT JOIN (
-  SELECT * FROM (SELECT s_nationkey, s_name, s_suppkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS n FROM supplier WHERE s_acctbal > 0) WHERE n = 1
+  SELECT * FROM (SELECT s_nationkey + 5 AS s_nationkey, s_name, s_suppkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS n FROM supplier) WHERE n = 1
 ) ON n_nationkey = s_nationkey""",
     "chapter_range_join": """
 SELECT p_partkey, p_size, CASE WHEN p_size BETWEEN 1 AND 10 THEN 'I' WHEN p_size BETWEEN 11 AND 25 THEN 'II' WHEN p_size BETWEEN 30 AND 40 THEN 'III' ELSE 'Not found' END AS chapter_name,

@@ -135,7 +135,7 @@ def graph_missing_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def graph_broader(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts of the same brand and size: to the smallest key among them."""
-    p = table(spark, sf_dir, "part").filter("p_size < 40")
+    p = table(spark, sf_dir, "part")
     first = p.groupBy("p_brand", "p_size").agg(F.min("p_partkey").alias("parent"))
     rows = p.join(first, ["p_brand", "p_size"]).select(F.col("p_partkey").alias("skill_id"), F.array("parent", F.lit(-5).cast("long")).alias("broader_skill_ids"))
     return graph.merge_broader(graph.broader_edges(rows), rows)
@@ -260,9 +260,9 @@ def resume_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def pos_neg_combine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each source's last labelled document as the negative."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
     negatives = docs.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi").select("source", F.col("doc_id").alias("negative_id"), F.col("doc_id").alias("seq"))
-    return dataset.combine_positives_negatives(docs.filter("lang = 'en'"), negatives, "source", "seq").select("doc_id", "source", "negative_id")
+    return dataset.combine_positives_negatives(docs, negatives, "source", "seq").select("doc_id", "source", "negative_id")
 
 
 @query
@@ -339,15 +339,17 @@ def flatten_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def hierarchy_outer_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = table(spark, sf_dir, "nation").filter("n_regionkey <> 0").select("n_nationkey", "n_name")
-    s = table(spark, sf_dir, "supplier").filter("s_nationkey < 20").groupBy("s_nationkey").agg(F.count(F.lit(1)).alias("n_suppliers"))
+    """Nations and, by a key shifted by five, their suppliers: either side has keys that the other lacks."""
+    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    s = table(spark, sf_dir, "supplier").groupBy((F.col("s_nationkey") + 5).alias("s_nationkey")).agg(F.count(F.lit(1)).alias("n_suppliers"))
     return reports.outer_merge(n, s, "n_nationkey", "s_nationkey")
 
 
 @query
 def left_merge_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By a key shifted by five, so that some nations find no supplier."""
     n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    s = table(spark, sf_dir, "supplier").filter("s_acctbal > 0").select(F.col("s_nationkey").alias("n_nationkey"), "s_name", "s_suppkey")
+    s = table(spark, sf_dir, "supplier").select((F.col("s_nationkey") + 5).alias("n_nationkey"), "s_name", "s_suppkey")
     return reports.left_merge_first(n, s, "n_nationkey", "s_suppkey")
 
 
