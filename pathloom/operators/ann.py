@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathloom.functions.vectors import cosine_top_k, packed, ranked, top_of_blocks
+from pathloom.functions.vectors import cosine_top_k, packed, ranked, top_of_groups
 from pathloom.lineage import cut_lineage
 from pathloom.operators.reports import expand_references
 
@@ -147,12 +147,9 @@ def approximate_top_k(queries: DataFrame, index: IvfIndex, k: int, probes: int |
     number = lambda df, size, name: df.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / size).alias(name))  # noqa: E731  a row for each list
     sizes = F.broadcast(number(rows, item_rows, "_blocks").join(number(near, query_rows, "_slices"), "list"))
     upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
-    deal = lambda df, c: df.join(sizes, "list").select("list", "_blocks", "_slices", F.pmod(F.xxhash64("id"), F.col(c)).alias("_own"), F.struct("id", "unit").alias("row"))
-    gather = lambda df: df.groupBy("list", "_own", "_blocks", "_slices").agg(F.array_sort(F.collect_list("row")).alias("rows"))
-    items = gather(deal(rows, "_blocks")).select("list", F.col("_own").alias("block"), upto("_slices").alias("slice"), F.col("rows").alias("item_rows"))
-    asked = gather(deal(near, "_slices")).select("list", upto("_blocks").alias("block"), F.col("_own").alias("slice"), F.col("rows").alias("query_rows"))
-    id_types = (queries.schema["id"].dataType.simpleString(), rows.schema["id"].dataType.simpleString())
-    return ranked(top_of_blocks(asked.join(items, ["list", "block", "slice"]), max(1, k), digits, id_types), max(1, k))
+    deal = lambda df, own, n, other, m: df.join(sizes, "list").select("list", F.pmod(F.xxhash64("id"), F.col(n)).alias(own), upto(m).alias(other), "id", "unit")
+    asked, items = deal(near, "slice", "_slices", "block", "_blocks"), deal(rows, "block", "_blocks", "slice", "_slices")
+    return ranked(top_of_groups(asked, items, ["list", "block", "slice"], max(1, k), digits, query_rows, item_rows), max(1, k))
 
 
 def recall_of(found: DataFrame, exact: DataFrame) -> DataFrame:
