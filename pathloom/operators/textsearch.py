@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pathloom.functions.models import Encoder, encode
-from pathloom.functions.vectors import cosine_top_k
+from pathloom.functions.vectors import cosine_top_k, dealt, in_order
 from pathloom.lineage import cut_lineage
 
 #: Between words: what is neither a letter nor a digit.
@@ -86,33 +90,92 @@ def terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), BETWEEN), lambda w: w != "")
 
 
-def term_index(items: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(postings, totals) of items (item_id, text): term, item_id, tf, length; and one row with n_items and mean_length."""
-    words = cut_lineage(items.select("item_id", terms(F.col("text")).alias("t")))
-    totals = words.agg(F.count(F.lit(1)).alias("n_items"), F.avg(F.size("t")).alias("mean_length"))
-    postings = words.select("item_id", F.size("t").alias("length"), F.explode("t").alias("term")).groupBy("term", "item_id", "length").agg(F.count(F.lit(1)).alias("tf"))
-    return postings, totals
+def term_counts(items: DataFrame) -> DataFrame:
+    """term, item_id, tf, length of items (item_id, text), counted row by row, so no word is shuffled."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
+                words, of = pc.list_flatten(part.column(1)).dictionary_encode(), pc.list_parent_indices(part.column(1)).to_numpy(zero_copy_only=False)
+                n = max(1, len(words.dictionary))
+                pairs, tf = np.unique(of.astype(np.int64) * n + words.indices.to_numpy(zero_copy_only=False), return_counts=True)
+                rows = pa.array(pairs // n)
+                length = pc.list_value_length(part.column(1)).take(rows)
+                yield pa.RecordBatch.from_arrays([words.dictionary.take(pa.array(pairs % n)), part.column(0).take(rows), pa.array(tf, pa.int64()), length.cast(pa.int32())], ["term", "item_id", "tf", "length"])
 
-def bm25_top_k(queries: DataFrame, items: DataFrame, k: int, k1: float = 1.2, b: float = 0.75, digits: int | None = None) -> DataFrame:
+    kind = items.schema["item_id"].dataType.simpleString()
+    return items.select("item_id", terms(F.col("text")).alias("t")).mapInArrow(run, f"term string, item_id {kind}, tf bigint, length int")
+
+
+def bm25_top_k(queries: DataFrame, items: DataFrame, k: int, k1: float = 1.2, b: float = 0.75, digits: int | None = None, query_words: int = 200_000, item_words: int = 500_000) -> DataFrame:
     """query_id, item_id, score, rank of the k items of the highest BM25 score for each query; ties go to the smaller item_id.
 
     queries: query_id, text; items: item_id, text. A query's different words count once. Only postings of words that a query has
     are weighed. Scores are summed in no order of its own; with `digits` they are rounded before they are ranked.
+
+    Blocks of items meet slices of queries, each in a key of its own; scores are summed there, and k rows leave it for each query. A block has about
+    item_words postings, a slice query_words words of queries, fewer if k is large.
     """
-    postings, totals = term_index(items)
-    asked = cut_lineage(queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term")))
-    own = cut_lineage(postings.join(asked.select("term"), "term", "left_semi"))
+    spark, k = items.sparkSession, max(1, k)
+    asked = cut_lineage(queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term")).distinct())
+    own = cut_lineage(term_counts(items).join(asked.select("term").distinct(), "term", "left_semi"))
+    n_items, mean = items.agg(F.count(F.lit(1)), F.avg(F.size(terms(F.col("text"))))).first()
     counts = own.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weighed = own.join(counts, "term").crossJoin(F.broadcast(totals))  # one row
-    idf = F.log(1 + (F.col("n_items") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean_length")))
-    scores = asked.join(weighed.select("term", "item_id", weight.alias("w")), "term").groupBy("query_id", "item_id").agg(F.sum("w").alias("score"))
-    if digits is not None:
-        scores = scores.withColumn("score", F.round("score", digits))
+    idf = F.log(1 + (F.lit(n_items) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.lit(mean)))
+    weighed = own.join(counts, "term").select(F.col("item_id").alias("id"), "term", weight.alias("w"))
+    n_words, n_asked = own.count(), asked.count()
+    blocks = max(-(-n_words // item_words), min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_words // 20_000)), 1)
+    slices = max(1, -(-n_asked // min(query_words, max(1000, (1 << 21) // k))))
+    kinds = (queries.schema["query_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString())
+    left = dealt(asked.select(F.col("query_id").alias("id"), "term"), "slice", slices, "block", blocks).groupBy("block", "slice")
+    right = dealt(weighed, "block", blocks, "slice", slices).groupBy("block", "slice")
+    scores = left.cogroup(right).applyInArrow(_best_by_words(k, digits), f"query_id {kinds[0]}, item_id {kinds[1]}, score double")
     return best_of_each(scores, "query_id", "item_id", k)
 
 
+def _best_by_words(k: int, digits: int | None):
+    def numbered(rows: pa.Table) -> tuple[pa.Table, pa.Array, np.ndarray]:
+        """The rows by id, the different ids in order, and for each row the place of its id among them."""
+        rows = in_order(rows, "id")
+        ids = rows.column("id").combine_chunks()
+        ids = ids.dictionary_encode() if len(ids) else pa.array([], ids.type).dictionary_encode()
+        return rows, ids.dictionary, ids.indices.to_numpy(zero_copy_only=False)
+
+    def run(ours: pa.Table, theirs: pa.Table) -> pa.Table:
+        ours, queries, query = numbered(ours)
+        theirs, items, item = numbered(theirs)
+        words = pa.concat_arrays([*ours.column("term").chunks, *theirs.column("term").chunks]).dictionary_encode() if len(ours) and len(theirs) else None
+        found_q, found_i, found_s = [], [], []
+        if words is not None:
+            code = words.indices.to_numpy(zero_copy_only=False)
+            term, w = code[len(ours) :], theirs.column("w").to_numpy()
+            order = np.argsort(term, kind="stable")
+            item, w, first = item[order], w[order], np.searchsorted(term[order], np.arange(len(words.dictionary) + 1))
+            scores = np.zeros(len(items))
+            starts = np.searchsorted(query, np.arange(len(queries) + 1))
+            for q in range(len(queries)):
+                for t in code[starts[q] : starts[q + 1]]:
+                    at = slice(first[t], first[t + 1])
+                    np.add.at(scores, item[at], w[at])
+                hits = np.flatnonzero(scores)
+                s = scores[hits]
+                scores[hits] = 0.0
+                if digits is not None:
+                    s = np.round(s, digits) + 0.0
+                if len(s) > k:
+                    some = s >= np.partition(s, -k)[-k]
+                    hits, s = hits[some], s[some]
+                best = np.argsort(-s, kind="stable")[:k]
+                found_q.append(np.full(len(best), q))
+                found_i.append(hits[best])
+                found_s.append(s[best])
+        join = lambda parts, kind: np.concatenate([np.empty(0, kind), *parts])
+        return pa.table({"query_id": queries.take(pa.array(join(found_q, np.int64))), "item_id": items.take(pa.array(join(found_i, np.int64))), "score": join(found_s, np.float64)})
+
+    return run
+
+
 def fused(rankings: list[DataFrame], k: int, constant: int = 60, digits: int | None = None) -> DataFrame:
     """query_id, item_id, score, rank by reciprocal rank fusion: the sum of 1 / (constant + rank) over the rankings (query_id, item_id, rank)."""
     parts = [r.select("query_id", "item_id", (1 / (F.lit(constant) + F.col("rank"))).alias("s")) for r in rankings]
