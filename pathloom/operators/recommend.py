@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pathloom.lineage import cut_lineage
-from pathloom.operators.cycles import graph_states
+from pathloom.operators.cycles import free_levels, graph_states
 from pathloom.operators.graph import Graph
 from pathloom.operators.search import resolve_names, skill_details
 
@@ -121,16 +121,17 @@ def prerequisite_states(graph: Graph, courses: DataFrame) -> DataFrame:
     return states.join(least, "component", "left").select("course_id", "state", "cycle_id", F.col("level").alias("prerequisite_level"))
 
 
-def solved_levels(graph: Graph, courses: DataFrame, most_waves: int = 12) -> DataFrame:
+def solved_levels(graph: Graph, courses: DataFrame, most_waves: int = 12, most_rows: int = 500_000) -> DataFrame:
     """course_id, prerequisite_level: the wave in which all that comes before is done; null on a cycle or behind one.
 
-    The first waves cost a round each: a course is done if none but itself, of those left, teaches a skill that it requires, which
-    the least and the greatest teacher of each skill that are left tell. What most_waves don't do goes by graph_states, whose rounds
-    don't grow with long chains.
+    The first waves cost a round each over all edges, if these are most_rows or fewer: a course is done if none but itself, of those left, teaches a
+    skill that it requires, which the least and the greatest teacher of each skill that are left tell. What most_waves don't do,
+    and all of larger tables, goes by free_levels, whose rounds don't grow with long chains and read what they reach.
     """
     nodes = cut_lineage(courses.select("course_id").distinct().withColumn("prerequisite_level", F.lit(None).cast("int")))
     teaches, requires = (cut_lineage(e) for e in edges_among(graph, nodes))
-    for wave in range(most_waves):
+    waves = most_waves if teaches.count() + requires.count() <= most_rows else 0
+    for wave in range(waves):
         left = nodes.filter("prerequisite_level is null").select("course_id")
         unsolved = teaches.join(left, "course_id", "left_semi").groupBy("skill_id").agg(F.min("course_id").alias("least"), F.max("course_id").alias("most"))
         waiting = requires.join(left, "course_id", "left_semi").join(unsolved, "skill_id").filter("least <> course_id or most <> course_id")
@@ -145,8 +146,8 @@ def solved_levels(graph: Graph, courses: DataFrame, most_waves: int = 12) -> Dat
         return nodes
     node = F.concat(F.lit("c"), F.col("course_id").cast("string"))
     edges = cut_lineage(requirement_edges(graph, left))
-    late = graph_states(edges, left.select(node.alias("node"))).filter("state = 'free'")
-    late = late.select("node", (F.col("level") + most_waves).alias("late"))  # what has nothing left before it comes right behind the last wave
+    late = free_levels(edges, left.select(node.alias("node")))
+    late = late.select("node", (F.col("level") + waves).alias("late"))  # what has nothing left before it comes right behind the last wave
     out = nodes.withColumn("node", node).join(late, "node", "left")
     return out.select("course_id", F.coalesce("prerequisite_level", "late").alias("prerequisite_level"))
 
