@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from pathloom.functions import text
 from pathloom.functions.vectors import cosine_top_k
+from pathloom.lineage import cut_lineage
 from pathloom.operators.textsearch import best_of_each, candidates, fuzzy_hits
 
 
@@ -62,8 +63,11 @@ def resolve_names(skills: DataFrame, names: DataFrame) -> DataFrame:
     """name, skill_id: the first hit of the search for each name; names without a hit are left out.
 
     Names are looked for within texts. Each name meets the skills that have its rarest gram, by an equi-join, and these
-    alone are matched; a name of wildcards only meets all.
+    alone are matched; a name of wildcards only meets all. Of skills whose texts are the same none but the least can be a first hit, so
+    the others are left out before names meet them.
     """
+    texts = [F.col("preferred_label"), labels_text(skills).alias("alternative_labels"), F.col("description")]
+    skills = cut_lineage(skills.groupBy(*texts).agg(F.min("skill_id").alias("skill_id")))
     met = candidates(text_rows(skills), names).join(skills, "skill_id")
     found = met.withColumn("_tier", match_tier(skills, F.col("name"))).filter("_tier is not null")
     best = found.groupBy("name").agg(F.min(F.struct("_tier", "skill_id")).alias("b"))
