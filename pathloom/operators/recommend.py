@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pathloom.lineage import cut_lineage
+from pathloom.lineage import counted, cut_lineage
 from pathloom.operators.cycles import free_levels, graph_states
-from pathloom.operators.graph import Graph
+from pathloom.operators.graph import Graph, dealt
 from pathloom.operators.search import resolve_names, skill_details
 
 
@@ -53,41 +53,51 @@ def course_details(graph: Graph, course_id) -> DataFrame:
 
 def edges_among(graph: Graph, courses: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(teaches, requires): course_id, skill_id of the courses, each pair once."""
-    wanted = courses.select("course_id").distinct()
+    wanted = courses.select("course_id")
     of = lambda edges: edges.select("course_id", "skill_id").join(wanted, "course_id", "left_semi").distinct()
     return of(graph.teaches), of(graph.requires)
 
 
-def dependency_pairs(teaches: DataFrame, requires: DataFrame, most: int = 1000) -> DataFrame:
-    """before, after: a pair for each skill that `before` teaches and `after` requires.
+def dependency_pairs(teaches: DataFrame, requires: DataFrame, most: int = 1000, each: int = 1_000_000) -> DataFrame:
+    """before, after: the pairs of courses of which the first teaches a skill that the second requires, each pair once.
 
     The teachers of a skill are dealt into lots of about `most`, and each requirer meets every lot, so a skill that very
-    many courses teach is no single task; it is the pairs that are many, as they are asked for.
+    many courses teach is no single task; it is the pairs that are many, as they are asked for. They are counted first, from the
+    skills' numbers of courses, and dealt into tasks of about `each`: hardly any repeat, so nothing is gained by putting them together before.
     """
-    lots = teaches.groupBy("skill_id").agg(F.ceil(F.count(F.lit(1)) / most).alias("lots"))
-    teachers = teaches.join(lots, "skill_id").select("skill_id", F.pmod(F.xxhash64("course_id"), F.col("lots")).alias("lot"), F.col("course_id").alias("before"))
-    askers = requires.join(lots, "skill_id").select("skill_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lots") - 1)).alias("lot"), F.col("course_id").alias("after"))
-    return askers.join(teachers, ["skill_id", "lot"]).filter("before <> after").select("before", "after")
+    taught = teaches.groupBy("skill_id").agg(F.count(F.lit(1)).alias("n"))
+    asked = requires.groupBy("skill_id").agg(F.count(F.lit(1)).alias("m"))
+    rows = taught.join(asked, "skill_id").agg(F.sum(F.col("n") * F.col("m"))).first()[0] or 0
+    lots = taught.filter(F.col("n") > most).select("skill_id", F.ceil(F.col("n") / most).alias("lots"))  # few skills: all others are one lot
+    of = lambda edges: edges.join(lots, "skill_id", "left").withColumn("lots", F.coalesce("lots", F.lit(1).cast("long")))
+    teachers = of(teaches).select("skill_id", F.pmod(F.xxhash64("course_id"), F.col("lots")).alias("lot"), F.col("course_id").alias("before"))
+    askers = of(requires).select("skill_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lots") - 1)).alias("lot"), F.col("course_id").alias("after"))
+    pairs = dealt(askers, rows, "skill_id", "lot", each=each).join(dealt(teachers, rows, "skill_id", "lot", each=each), ["skill_id", "lot"])
+    return dealt(pairs.filter("before <> after").select("before", "after"), rows, "before", "after", each=each).distinct()
 
 
 def course_dependencies(graph: Graph, courses: DataFrame) -> DataFrame:
     """before, after: pairs of the courses of which the first teaches a skill that the second requires; each pair once."""
-    return dependency_pairs(*edges_among(graph, courses)).distinct()
+    return dependency_pairs(*(cut_lineage(e) for e in edges_among(graph, courses)))
 
 
 def in_degrees(graph: Graph, courses: DataFrame) -> DataFrame:
     """course_id, in_degree: how many other courses teach a skill that the course requires, each counted once.
 
     A course that requires one taught skill is told from that skill's number of teachers; pairs are made for the others only.
+    The edges are made once: a row for each course and skill tells whether the course teaches it, requires it, or both.
     """
     teaches, requires = edges_among(graph, courses)
+    side = lambda edges, t: edges.select("course_id", "skill_id", F.lit(t).alias("own"), F.lit(1 - t).alias("asked"))
+    ends = side(teaches, 1).unionByName(side(requires, 0)).groupBy("course_id", "skill_id").agg(F.max("own").alias("own"), F.max("asked").alias("asked"))
+    ends, rows = counted(ends)
+    teaches = ends.filter("own = 1").select("course_id", "skill_id")
     taught = teaches.groupBy("skill_id").agg(F.count(F.lit(1)).alias("n"))
-    asked = requires.join(taught, "skill_id").join(teaches.withColumn("own", F.lit(1)), ["course_id", "skill_id"], "left").withColumn("n", F.col("n") - F.coalesce("own", F.lit(0)))
-    asked = cut_lineage(asked.filter("n > 0").select("course_id", "skill_id", "n"))
-    kinds = asked.groupBy("course_id").agg(F.count(F.lit(1)).alias("skills"), F.max("n").alias("n"))
-    one = kinds.filter("skills = 1").select("course_id", F.col("n").alias("in_degree"))
-    many = asked.join(kinds.filter("skills > 1").select("course_id"), "course_id", "left_semi").select("course_id", "skill_id")
-    pairs = dependency_pairs(teaches, many).distinct().groupBy(F.col("after").alias("course_id")).agg(F.count(F.lit(1)).alias("in_degree"))
+    asked = ends.filter("asked = 1").join(taught, "skill_id").withColumn("n", F.col("n") - F.col("own")).filter("n > 0")
+    asked = dealt(asked, rows, "course_id").withColumn("skills", F.count(F.lit(1)).over(Window.partitionBy("course_id")))
+    asked = cut_lineage(asked.select("course_id", "skill_id", "n", "skills"))
+    one = asked.filter("skills = 1").select("course_id", F.col("n").alias("in_degree"))
+    pairs = dependency_pairs(teaches, asked.filter("skills > 1")).groupBy(F.col("after").alias("course_id")).agg(F.count(F.lit(1)).alias("in_degree"))
     return courses.select("course_id").join(one.unionByName(pairs), "course_id", "left").select("course_id", F.coalesce("in_degree", F.lit(0)).alias("in_degree"))
 
 

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from pathloom.operators import graph
+from pathloom.operators import graph, recommend
 
 
 def edges_of(spark, n_courses=300, n_skills=40, n=6000):
@@ -62,3 +62,31 @@ def test_few_rows_are_left_to_spark(spark):
     df = spark.range(100)
     assert graph.dealt(df, 500, "id", each=100) is df
     assert graph.dealt(df, 501, "id", each=100).rdd.getNumPartitions() == 6
+
+
+def test_pairs_are_dealt_by_number(spark, joins):
+    g = graph_of(spark)
+    teaches, requires = recommend.edges_among(g, g.courses)
+    taught, asked = sorted_rows(teaches), sorted_rows(requires)
+    want = sorted({(a, b) for a, s in taught for b, t in asked if s == t and a != b})
+    got = recommend.dependency_pairs(teaches, requires, most=7, each=2000)
+    assert sorted_rows(got) == want
+    assert len(parts_of(got)) > 20 and max(parts_of(got)) < len(want) / 8
+    assert sorted_rows(recommend.course_dependencies(g, g.courses)) == want
+    degrees = dict(sorted_rows(recommend.in_degrees(g, g.courses)))
+    assert degrees == {c: sum(b == c for _, b in want) for c in range(1, 290)}
+
+
+def test_in_degree_makes_edges_once(spark):
+    g = graph_of(spark, n=2000)
+    rows = {kind: sorted_rows(getattr(g, kind).select("course_id", "skill_id")) for kind in ("teaches", "requires")}
+    seen = spark.sparkContext.accumulator(0)
+
+    def look(x):
+        seen.add(1)
+        return x
+
+    of = lambda kind: spark.createDataFrame(rows[kind], "course_id long, skill_id long").withColumn("skill_id", F.udf(look, "long")("skill_id"))
+    once = graph.Graph(g.skills, g.courses, None, of("teaches"), of("requires"))
+    assert sorted_rows(recommend.in_degrees(once, g.courses)) == sorted_rows(recommend.in_degrees(g, g.courses))
+    assert seen.value == len(rows["teaches"]) + len(rows["requires"])
