@@ -179,14 +179,15 @@ def recommend_courses(graph: Graph, skill_ids: DataFrame | None = None, skill_na
     ids = [skill_ids.select("skill_id")] if skill_ids is not None else []
     if skill_names is not None:
         ids.append(resolve_names(graph.skills, skill_names).select("skill_id"))
-    if not ids or (wanted := ids[0] if len(ids) == 1 else ids[0].unionByName(ids[1])).isEmpty():
+    # what is asked for is written: Spark sees that it is small, and looks for it in the records before it merges any edges
+    if not ids or (wanted := cut_lineage(ids[0] if len(ids) == 1 else ids[0].unionByName(ids[1]))).isEmpty():
         raise ValueError("no skill is given")
     found = cut_lineage(courses_for_skills(graph, wanted))
     levels = solved_levels(graph, found)
     place = ([F.col("prerequisite_level").asc_nulls_last()] if order == "topological" else []) + [F.col("course_id")]
     first = found.join(levels, "course_id").orderBy(*place).limit(max_courses)  # 50 at most
     first = first.withColumn("rank", F.row_number().over(Window.orderBy(*place))).withColumn("prerequisite_level", F.coalesce("prerequisite_level", F.lit(0)))
-    return enrich_courses(graph, first)
+    return enrich_courses(graph, cut_lineage(first))
 
 
 def requested_skills(graph: Graph, ids: DataFrame) -> DataFrame:

@@ -90,3 +90,15 @@ def test_in_degree_makes_edges_once(spark):
     once = graph.Graph(g.skills, g.courses, None, of("teaches"), of("requires"))
     assert sorted_rows(recommend.in_degrees(once, g.courses)) == sorted_rows(recommend.in_degrees(g, g.courses))
     assert seen.value == len(rows["teaches"]) + len(rows["requires"])
+
+
+def test_request_is_looked_up_ahead_of_merging(spark, monkeypatch):
+    g, plans, cut = graph_of(spark, n=2000), [], recommend.cut_lineage
+    ids = spark.createDataFrame(spark.sparkContext.parallelize([(3,), (5,)]), "skill_id long")  # of which Spark knows no size
+    monkeypatch.setattr(recommend, "cut_lineage", lambda df, *a: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or cut(df, *a))
+    got = recommend.recommend_courses(g, ids, max_courses=10)
+    taught = sorted({c for c, s, *_ in map(tuple, g.teaches.select("course_id", "skill_id").collect()) if s in (3, 5)})
+    assert [r["course_id"] for r in got.orderBy("rank").collect()] == taught[:10]
+    found = next(p for p in plans if "Aggregate" in p and "LeftSemi" in p)
+    above = found[: found.index("Aggregate")]
+    assert above.count("LeftSemi") == 1, found  # of the courses; skills are looked for below
