@@ -68,7 +68,8 @@ def dependency_pairs(teaches: DataFrame, requires: DataFrame, most: int = 1000,
     taught = teaches.groupBy("skill_id").agg(F.count(F.lit(1)).alias("n"))
     asked = requires.groupBy("skill_id").agg(F.count(F.lit(1)).alias("m"))
     rows = taught.join(asked, "skill_id").agg(F.sum(F.col("n") * F.col("m"))).first()[0] or 0
-    lots = taught.filter(F.col("n") > most).select("skill_id", F.ceil(F.col("n") / most).alias("lots"))  # few skills: all others are one lot
+    # few skills: all others are one lot. Written, they are known to be small, and no edge is shuffled for them
+    lots = cut_lineage(taught.filter(F.col("n") > most).select("skill_id", F.ceil(F.col("n") / most).alias("lots")))
     of = lambda edges: edges.join(lots, "skill_id", "left").withColumn("lots", F.coalesce("lots", F.lit(1).cast("long")))
     teachers = of(teaches).select("skill_id", F.pmod(F.xxhash64("course_id"), F.col("lots")).alias("lot"), F.col("course_id").alias("before"))
     askers = of(requires).select("skill_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lots") - 1)).alias("lot"), F.col("course_id").alias("after"))
