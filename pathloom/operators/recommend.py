@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 from pyspark.sql.window import Window
 
 from pathloom.lineage import counted, cut_lineage
@@ -102,32 +105,45 @@ def in_degrees(graph: Graph, courses: DataFrame) -> DataFrame:
     return courses.select("course_id").join(one.unionByName(pairs), "course_id", "left").select("course_id", F.coalesce("in_degree", F.lit(0)).alias("in_degree"))
 
 
-def requirement_edges(graph: Graph, courses: DataFrame) -> DataFrame:
-    """src, dst, weight: ways from course (c<id>) to course by way of the skills (s<id>) that one teaches and another requires.
+def node_names(courses: DataFrame, skills: DataFrame) -> Callable[[str, str], Column]:
+    """Node ids by kind (c: courses, s: skills, i: their second nodes) and column: whole numbers if the ids are such and not very large, else texts."""
+    if all(isinstance(df.schema[c].dataType, IntegralType) for df, c in ((courses, "course_id"), (skills, "skill_id"))):
+        far = [df.agg(F.max(F.abs(F.col(c).cast("decimal(20,0)")))).first()[0] or 0 for df, c in ((courses, "course_id"), (skills, "skill_id"))]
+        if max(far) < 1 << 59:
+            return lambda kind, c: F.col(c).cast("long") * 3 + "csi".index(kind)
+    return lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
+
+
+def requirement_edges(graph: Graph, courses: DataFrame) -> tuple[DataFrame, Column]:
+    """(edges, node): edges (src, dst, weight) are ways from course to course by way of the skills that one teaches and another requires; node
+    is the node of a course_id of the courses.
 
     Its ways between different courses are just the dependencies, and their weights count courses; the number of edges is that of
-    teaches and requires. A skill that one course alone both teaches and requires has a second node (i<id>) for that course,
-    as a course doesn't depend on itself.
+    teaches and requires at most, as skills that none requires, or none teaches, are left out. A skill that one course alone both teaches and requires has a
+    second node for that course, as a course doesn't depend on itself.
     """
     teaches, requires = (cut_lineage(e) for e in edges_among(graph, courses))
+    shared = cut_lineage(requires.select("skill_id").distinct().join(teaches.select("skill_id"), "skill_id", "left_semi"))
+    teaches, requires = (e.join(shared, "skill_id", "left_semi") for e in (teaches, requires))
     both = teaches.join(requires, ["course_id", "skill_id"]).groupBy("skill_id").agg(F.count(F.lit(1)).alias("n"), F.min("course_id").alias("own")).filter("n = 1").drop("n")
-    node = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
+    name = node_names(courses, shared)
     edge = lambda df, a, b, weight: df.select(a.alias("src"), b.alias("dst"), F.lit(weight).alias("weight"))
-    course, skill, inner = node("c", "course_id"), node("s", "skill_id"), node("i", "skill_id")
-    teaching = teaches.join(both, "skill_id", "left")
-    asking = requires.join(teaches.select("skill_id"), "skill_id", "left_semi").join(both, "skill_id", "left")
+    course, skill, inner = name("c", "course_id"), name("s", "skill_id"), name("i", "skill_id")
+    both = cut_lineage(both)  # few, as a rule
+    teaching, asking = (cut_lineage(e.join(both, "skill_id", "left")) for e in (teaches, requires))
     others = teaching.filter("own is not null and course_id <> own")
     own = asking.filter("course_id = own").join(others.select("skill_id"), "skill_id", "left_semi")
     rest = asking.filter("own is null or course_id <> own")
-    return edge(teaching, course, skill, 0).unionByName(edge(others, course, inner, 0)).unionByName(edge(rest, skill, course, 1)).unionByName(edge(own, inner, course, 1))
+    edges = edge(teaching, course, skill, 0).unionByName(edge(others, course, inner, 0)).unionByName(edge(rest, skill, course, 1)).unionByName(edge(own, inner, course, 1))
+    return edges, course
 
 
 def prerequisite_states(graph: Graph, courses: DataFrame) -> DataFrame:
     """course_id, state (free, cycle: on a cycle of prerequisites, or behind one), cycle_id (the smallest course on the
     cycles that a course shares), prerequisite_level (0 unless free)."""
-    nodes = courses.select("course_id").distinct().withColumn("node", F.concat(F.lit("c"), F.col("course_id").cast("string")))
-    edges = cut_lineage(requirement_edges(graph, courses))
-    states = nodes.join(graph_states(edges, nodes), "node")
+    edges, node = requirement_edges(graph, courses)
+    nodes = courses.select("course_id").distinct().withColumn("node", node)
+    states = nodes.join(graph_states(cut_lineage(edges), nodes), "node")
     least = states.filter("component is not null").groupBy("component").agg(F.min("course_id").alias("cycle_id"))
     return states.join(least, "component", "left").select("course_id", "state", "cycle_id", F.col("level").alias("prerequisite_level"))
 
@@ -155,11 +171,10 @@ def solved_levels(graph: Graph, courses: DataFrame, most_waves: int = 12, most_r
     left = nodes.filter("prerequisite_level is null").select("course_id")
     if left.isEmpty():
         return nodes
-    node = F.concat(F.lit("c"), F.col("course_id").cast("string"))
-    edges = cut_lineage(requirement_edges(graph, left))
-    late = free_levels(edges, left.select(node.alias("node")))
+    edges, node = requirement_edges(graph, left)
+    late = free_levels(cut_lineage(edges), left.select(node.alias("node")))
     late = late.select("node", (F.col("level") + waves).alias("late"))  # what has nothing left before it comes right behind the last wave
-    out = nodes.withColumn("node", node).join(late, "node", "left")
+    out = nodes.withColumn("node", F.when(F.col("prerequisite_level").isNull(), node)).join(late, "node", "left")
     return out.select("course_id", F.coalesce("prerequisite_level", "late").alias("prerequisite_level"))
 
 
