@@ -90,11 +90,18 @@ def terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), BETWEEN), lambda w: w != "")
 
 
+#: In term_counts the term of rows that tell of all items of a batch; no text has it.
+TOTAL = ""
+
+
 def term_counts(items: DataFrame) -> DataFrame:
-    """term, item_id, tf, length of items (item_id, text), counted row by row, so no word is shuffled."""
+    """term, item_id, tf, length of items (item_id, text), counted row by row, so no word is shuffled. Rows of the term TOTAL have no
+    item: tf is a number of items, with or without terms, length that of all their terms."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            total = [pa.array([TOTAL]), pa.nulls(1, batch.column(0).type), pa.array([batch.num_rows], pa.int64()), pa.array([len(pc.list_flatten(batch.column(1)))], pa.int32())]
+            yield pa.RecordBatch.from_arrays(total, ["term", "item_id", "tf", "length"])
             for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
                 words, of = pc.list_flatten(part.column(1)).dictionary_encode(), pc.list_parent_indices(part.column(1)).to_numpy(zero_copy_only=False)
                 n = max(1, len(words.dictionary))
@@ -118,13 +125,18 @@ def bm25_top_k(queries: DataFrame, items: DataFrame, k: int, k1: float = 1.2, b:
     """
     spark, k = items.sparkSession, max(1, k)
     asked = cut_lineage(queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term")).distinct())
-    own = cut_lineage(term_counts(items).join(asked.select("term").distinct(), "term", "left_semi"))
-    n_items, mean = items.agg(F.count(F.lit(1)), F.avg(F.size(terms(F.col("text"))))).first()
-    counts = own.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    wanted = asked.select("term").distinct().unionByName(spark.range(1).select(F.lit(TOTAL).alias("term")))
+    found = cut_lineage(term_counts(items).join(wanted, "term", "left_semi"))
+    # how many items have each term, how many there are and how long they are: all from one pass over the items
+    counts = cut_lineage(found.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"), F.sum("length").alias("length")))
+    is_word = F.col("term") != TOTAL
+    n_items, n_terms, n_words = (n or 0 for n in counts.agg(F.sum(F.when(~is_word, F.col("tf"))), F.sum(F.when(~is_word, F.col("length"))), F.sum(F.when(is_word, F.col("df")))).first())
+    mean = n_terms / n_items if n_items else None
+    own, counts = found.filter(is_word), counts.select("term", "df")
     idf = F.log(1 + (F.lit(n_items) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.lit(mean)))
     weighed = own.join(counts, "term").select(F.col("item_id").alias("id"), "term", weight.alias("w"))
-    n_words, n_asked = own.count(), asked.count()
+    n_asked = asked.count()
     blocks = max(-(-n_words // item_words), min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_words // 20_000)), 1)
     slices = max(1, -(-n_asked // min(query_words, max(1000, (1 << 21) // k))))
     kinds = (queries.schema["query_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString())
