fuzzy_search_many: scores are summed in blocks of skills, no pairs are shuffled

Symptom: fuzzy_search_many shuffles a row for each pair of a query and a skill that share a near word, though three rows of each query are kept, and all postings to find their near words.
Evidence: Tool, sf0.1: 10 MB shuffled for 0.18 MB of part, 658,854 pairs in the ranking stage. On part 60 times with shifted keys (1.2 million rows, local[6], 32 shuffle partitions): 623 MB, of these 546 MB pairs and 46 MB postings dealt by word; one task 872 MB.
Fix: The near words are written, so Spark knows their size and broadcasts them only if they are small; hits meet the queries in blocks, as in bm25_top_k whose code is shared, and k rows leave a block for each query. Null ids have their place there too.
Effect, together with 3 more commits on this code: at 1 GB of input CPU 832 -> 354 s, shuffle 0.67 -> 0.12 GB, spill 0.00 -> 0.00 GB, read 0.03 -> 0.05 GB, longest task 32 -> 20 s, most memory of a task 671 -> 436 MB; at 6 GB of input CPU 3317 -> 750 s, shuffle 2.24 -> 0.68 GB, spill 1.51 -> 0.00 GB, read 0.16 -> 0.29 GB, longest task 150 -> 27 s, most memory of a task 1409 -> 436 MB; with hot keys, at 1 GB of input CPU 919 -> 449 s, shuffle 0.66 -> 0.12 GB, spill 0.00 -> 0.00 GB, read 0.03 -> 0.05 GB, longest task 28 -> 20 s, most memory of a task 671 -> 436 MB.

@@ -85,7 +85,7 @@ def fuzzy_search_many(skills: DataFrame, queries: DataFrame, limit: int = 10) ->
     """query, skill_id, score, rank for many queries (column query) at once: words of label (weight 2), alternative labels and
     description that are near a word of the query, up to 0, 1 or 2 edits for words of up to 2, up to 5, and more letters."""
     texts = text_rows(skills).withColumn("weight", F.when(F.col("column") == 1, 2).otherwise(1))
-    return best_of_each(fuzzy_hits(texts, queries), "query", "skill_id", limit)
+    return best_of_each(fuzzy_hits(texts, queries, limit), "query", "skill_id", limit)
 
 
 def fuzzy_search(skills: DataFrame, query: str, limit: int = 10) -> DataFrame:

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pathloom.functions.models import Encoder, encode
-from pathloom.functions.vectors import cosine_top_k, dealt, in_order
-from pathloom.lineage import cut_lineage
+from pathloom.functions.vectors import cosine_top_k, dealt
+from pathloom.lineage import counted, cut_lineage
 
 #: Between words: what is neither a letter nor a digit.
 BETWEEN = r"[^\p{L}\p{N}]+"
@@ -66,19 +66,27 @@ def deletions(word: Column, most: Column, prefix: int = 10) -> Column:
     return F.array_distinct(F.concat(F.array(head), one, two))
 
 
-def fuzzy_hits(texts: DataFrame, queries: DataFrame) -> DataFrame:
+def fuzzy_hits(texts: DataFrame, queries: DataFrame, k: int | None = None) -> DataFrame:
     """query, skill_id, score: the weights of the texts that have a word near a word of the query, summed over its words.
 
-    texts: skill_id, text, weight, column (which text of the skill it is); queries: query. Near is up to 0, 1 or 2 edits by the asked word's length.
+    texts: skill_id, text, weight (above 0), column (which text of the skill it is); queries: query. Near is up to 0, 1 or 2 edits by the asked word's length.
     Different words of the texts and of the queries meet on forms with letters taken away, and the distance is checked.
+    With k, scores are summed in blocks of skills, and only the k best of each query and block are returned, so that the pairs of
+    queries and skills are not shuffled.
     """
     asked = cut_lineage(queries.select("query").filter("query is not null").distinct().select("query", F.explode(F.array_distinct(words_of(F.col("query")))).alias("asked")))
     postings = cut_lineage(texts.select("skill_id", "column", "weight", F.explode(F.array_distinct(words_of(F.col("text")))).alias("word")))
     forms = lambda df, c, most: df.select(c).distinct().select(c, F.explode(deletions(F.col(c), most)).alias("form"))
     met = forms(postings, "word", F.lit(2)).join(forms(asked, "asked", allowed_edits(F.col("asked"))), "form").select("word", "asked").distinct()
-    near = met.filter(F.levenshtein("asked", "word") <= allowed_edits(F.col("asked")))
+    # written, so that Spark knows its size ahead of the join and shuffles the postings only if it is large
+    near = cut_lineage(met.filter(F.levenshtein("asked", "word") <= allowed_edits(F.col("asked"))))
     hits = postings.join(near, "word").select("skill_id", "column", "weight", "asked").distinct()
-    return asked.join(hits, "asked").groupBy("query", "skill_id").agg(F.sum("weight").cast("double").alias("score"))
+    if k is None:
+        return asked.join(hits, "asked").groupBy("query", "skill_id").agg(F.sum("weight").cast("double").alias("score"))
+    hits, n_hits = counted(hits)
+    weighed = hits.select(F.col("skill_id").alias("id"), F.col("asked").alias("term"), F.col("weight").cast("double").alias("w"))
+    found = best_in_blocks(asked.select(F.col("query").alias("query_id"), F.col("asked").alias("term")), weighed, n_hits, k)
+    return found.select(F.col("query_id").alias("query"), F.col("item_id").alias("skill_id"), "score")
 
 
 def best_of_each(found: DataFrame, key: str, item: str, k: int) -> DataFrame:
@@ -136,22 +144,29 @@ def bm25_top_k(queries: DataFrame, items: DataFrame, k: int, k1: float = 1.2, b:
     idf = F.log(1 + (F.lit(n_items) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.lit(mean)))
     weighed = own.join(counts, "term").select(F.col("item_id").alias("id"), "term", weight.alias("w"))
-    n_asked = asked.count()
+    return best_of_each(best_in_blocks(asked, weighed, n_words, k, digits, query_words, item_words), "query_id", "item_id", k)
+
+
+def best_in_blocks(asked: DataFrame, weighed: DataFrame, n_words: int, k: int, digits: int | None = None, query_words: int = 200_000, item_words: int = 500_000) -> DataFrame:
+    """query_id, item_id, score: the k items of the highest sum of weights (above 0) for each query and block of items, ties to the smaller id.
+
+    asked: query_id, term; weighed: id, term, w of an item, n_words rows. Both sides are shuffled as rows to the pairs of a block and a slice.
+    """
+    spark, k, n_asked = weighed.sparkSession, max(1, k), asked.count()
     blocks = max(-(-n_words // item_words), min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_words // 20_000)), 1)
     slices = max(1, -(-n_asked // min(query_words, max(1000, (1 << 21) // k))))
-    kinds = (queries.schema["query_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString())
+    kinds = (asked.schema["query_id"].dataType.simpleString(), weighed.schema["id"].dataType.simpleString())
     left = dealt(asked.select(F.col("query_id").alias("id"), "term"), "slice", slices, "block", blocks).groupBy("block", "slice")
     right = dealt(weighed, "block", blocks, "slice", slices).groupBy("block", "slice")
-    scores = left.cogroup(right).applyInArrow(_best_by_words(k, digits), f"query_id {kinds[0]}, item_id {kinds[1]}, score double")
-    return best_of_each(scores, "query_id", "item_id", k)
+    return left.cogroup(right).applyInArrow(_best_by_words(k, digits), f"query_id {kinds[0]}, item_id {kinds[1]}, score double")
 
 
 def _best_by_words(k: int, digits: int | None):
     def numbered(rows: pa.Table) -> tuple[pa.Table, pa.Array, np.ndarray]:
         """The rows by id, the different ids in order, and for each row the place of its id among them."""
-        rows = in_order(rows, "id")
+        rows = rows.take(pc.sort_indices(rows.column("id"), null_placement="at_start"))
         ids = rows.column("id").combine_chunks()
-        ids = ids.dictionary_encode() if len(ids) else pa.array([], ids.type).dictionary_encode()
+        ids = (ids if len(ids) else pa.array([], ids.type)).dictionary_encode("encode")
         return rows, ids.dictionary, ids.indices.to_numpy(zero_copy_only=False)
 
     def run(ours: pa.Table, theirs: pa.Table) -> pa.Table:

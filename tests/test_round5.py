@@ -4,8 +4,9 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from pathloom.operators import textsearch
+from pathloom.operators import search, textsearch
 
 from .test_discovery import tuples
 
@@ -61,3 +62,22 @@ def test_search_of_no_items_or_for_no_words(spark):
     assert tuples(textsearch.bm25_top_k(asked.limit(0), items, 3)) == []
     assert tuples(textsearch.bm25_top_k(asked.filter("text = ''"), items, 3)) == []
     assert tuples(textsearch.bm25_top_k(asked, items.filter("text is null"), 3)) == []
+
+
+def test_fuzzy_search_shuffles_no_pairs_of_queries_and_skills(spark, monkeypatch):
+    """60 queries that share a word with 400 skills: what is ranked is the best of each block, the same as from all pairs. Ids are null or come twice."""
+    pick = random.Random(4)
+    word = lambda: "".join(pick.choice("abc") for _ in range(pick.randint(1, 6)))
+    rows = [(i, f"common {word()}", [word(), None], word()) for i in range(400)] + [(None, "common", [], None), (None, "comon", None, "x"), (7, "common abc", ["abc"], "abc"), (8, None, None, None)]
+    skills = spark.createDataFrame(rows, "skill_id int, preferred_label string, alternative_labels array<string>, description string")
+    queries = spark.createDataFrame([(f"comxmon {word()}",) for _ in range(60)] + [("",), (None,), ("common",), ("common",), ("abc ab a",)], "query string")
+    texts = search.text_rows(skills).withColumn("weight", F.when(F.col("column") == 1, 2).otherwise(1))
+    want = tuples(textsearch.best_of_each(textsearch.fuzzy_hits(texts, queries), "query", "skill_id", 3))
+    ranked, plain = [], search.best_of_each
+    monkeypatch.setattr(search, "best_of_each", lambda df, *a: (ranked.append(df.count()), plain(df, *a))[1])
+    got = search.fuzzy_search_many(skills, queries, 3)
+    assert tuples(got) == want and any(r[1] is None for r in want)
+    asked = len({r[0] for r in want})
+    assert ranked[0] <= asked * 3 * 4  # blocks: 4 at most, as there are shuffle partitions
+    assert tuples(search.fuzzy_search_many(skills, queries, 0)) == []
+    assert tuples(search.fuzzy_search_many(skills.limit(0), queries, 3)) == tuples(search.fuzzy_search_many(skills, queries.limit(0), 3)) == []
