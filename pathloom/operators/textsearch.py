@@ -217,6 +217,7 @@ def phase_one(queries: DataFrame, items: DataFrame, k: int = 100, each: int = 20
 
     queries: query_id, text, vector; items: item_id, text, vector. The vector search is exact; an index's approximate_top_k fits in as another ranking.
     """
+    queries = cut_lineage(queries.select("query_id", "text", "vector"))  # few beside the items, and asked twice
     by_words = bm25_top_k(queries, items, each, digits=digits)
     by_vector = cosine_top_k(queries.select(F.col("query_id").alias("id"), "vector"), items.select(F.col("item_id").alias("id"), "vector"), each, digits)
     return fused([by_words, by_vector], k, constant, digits)

@@ -3,12 +3,16 @@
 import math
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from pathloom.functions.vectors import cosine_top_k
+from pathloom.llm import passes
 from pathloom.operators import search, textsearch
 
-from .test_discovery import tuples
+from .test_discovery import plan, tuples
 
 
 def seen_rows(spark, df):
@@ -55,6 +59,20 @@ def test_items_are_read_once_for_words_and_lengths(spark):
     assert {(r.query_id, r.item_id): r.score for r in got} == {(q, i): pytest.approx(s, abs=2e-6) for q, i, s, _ in want}
 
 
+def test_queries_are_made_once_for_words_and_vectors(spark):
+    pick = random.Random(5)
+    rows = [(i, " ".join(pick.choice("abcd") for _ in range(4)), [pick.random() + 0.1, pick.random()]) for i in range(200)]
+    frame = lambda rows, name: spark.createDataFrame(rows, f"{name} int, text string, vector array<double>")
+    asked = [*rows[:20], (500, None, [1.0, 0.0]), (501, "a", None), (502, "", [0.0, 0.0])]
+    queries, seen = seen_rows(spark, frame(asked, "query_id"))
+    items = frame(rows, "item_id")
+    got = textsearch.phase_one(queries, items, 3, 8, digits=6)
+    assert seen.value == len(asked)
+    words = textsearch.bm25_top_k(frame(asked, "query_id"), items, 8, digits=6)
+    near = cosine_top_k(frame(asked, "id").select("id", "vector"), items.select(F.col("item_id").alias("id"), "vector"), 8, 6)
+    assert tuples(got) == tuples(textsearch.fused([words, near], 3, 60, 6)) and {r.query_id for r in got.collect()} == {r[0] for r in asked}
+
+
 def test_search_of_no_items_or_for_no_words(spark):
     items = spark.createDataFrame([(1, "a"), (2, None)], "item_id int, text string")
     asked = spark.createDataFrame([(1, "a"), (2, "")], "query_id int, text string")
