fuzzy_search_many: blocks only where they shuffle fewer rows than the pairs

Symptom: Since scores are summed in blocks, fuzzy_search_many shuffles far more where hardly any queries share a word.
Evidence: On 100,000 parts whose names are all different (200,000 queries of two words each), the commit before dealt 374,827 hits to 3 slices and 400,000 words to all 32 blocks: 259 MB and 71 CPU seconds, where the pairs took 28.5 MB and 48 CPU seconds in the code the session began with.
Fix: The near words carry the number of queries that ask them, so the number of pairs is known as the hits are written; they go to blocks only if that makes fewer rows than the pairs.
Effect, together with 3 more commits on this code: at 1 GB of input CPU 832 -> 354 s, shuffle 0.67 -> 0.12 GB, spill 0.00 -> 0.00 GB, read 0.03 -> 0.05 GB, longest task 32 -> 20 s, most memory of a task 671 -> 436 MB; at 6 GB of input CPU 3317 -> 750 s, shuffle 2.24 -> 0.68 GB, spill 1.51 -> 0.00 GB, read 0.16 -> 0.29 GB, longest task 150 -> 27 s, most memory of a task 1409 -> 436 MB; with hot keys, at 1 GB of input CPU 919 -> 449 s, shuffle 0.66 -> 0.12 GB, spill 0.00 -> 0.00 GB, read 0.03 -> 0.05 GB, longest task 28 -> 20 s, most memory of a task 671 -> 436 MB.

@@ -8,13 +8,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pathloom.functions.models import Encoder, encode
 from pathloom.functions.vectors import cosine_top_k, dealt
-from pathloom.lineage import counted, cut_lineage
+from pathloom.lineage import cut_lineage
 
 #: Between words: what is neither a letter nor a digit.
 BETWEEN = r"[^\p{L}\p{N}]+"
@@ -71,21 +71,26 @@ def fuzzy_hits(texts: DataFrame, queries: DataFrame, k: int | None = None) -> Da
 
     texts: skill_id, text, weight (above 0), column (which text of the skill it is); queries: query. Near is up to 0, 1 or 2 edits by the asked word's length.
     Different words of the texts and of the queries meet on forms with letters taken away, and the distance is checked.
-    With k, scores are summed in blocks of skills, and only the k best of each query and block are returned, so that the pairs of
-    queries and skills are not shuffled.
+    With k, the k best of each query are among the rows, and where pairs of queries and skills are many they are not shuffled: scores are
+    summed in blocks of skills, and only the k best of each query and block are returned.
     """
     asked = cut_lineage(queries.select("query").filter("query is not null").distinct().select("query", F.explode(F.array_distinct(words_of(F.col("query")))).alias("asked")))
     postings = cut_lineage(texts.select("skill_id", "column", "weight", F.explode(F.array_distinct(words_of(F.col("text")))).alias("word")))
-    forms = lambda df, c, most: df.select(c).distinct().select(c, F.explode(deletions(F.col(c), most)).alias("form"))
-    met = forms(postings, "word", F.lit(2)).join(forms(asked, "asked", allowed_edits(F.col("asked"))), "form").select("word", "asked").distinct()
+    words, shared = postings.select("word").distinct(), asked.groupBy("asked").agg(F.count(F.lit(1)).alias("n_queries"))
+    forms = lambda df, c, most: df.select("*", F.explode(deletions(F.col(c), most)).alias("form"))
+    met = forms(words, "word", F.lit(2)).join(forms(shared, "asked", allowed_edits(F.col("asked"))), "form").select("word", "asked", "n_queries").distinct()
     # written, so that Spark knows its size ahead of the join and shuffles the postings only if it is large
     near = cut_lineage(met.filter(F.levenshtein("asked", "word") <= allowed_edits(F.col("asked"))))
-    hits = postings.join(near, "word").select("skill_id", "column", "weight", "asked").distinct()
-    if k is None:
+    hits = postings.join(near, "word").select("skill_id", "column", "weight", "asked", "n_queries").distinct()
+    if k is not None:
+        seen = Observation()
+        hits = cut_lineage(hits.observe(seen, F.count(F.lit(1)).alias("hits"), F.coalesce(F.sum("n_queries"), F.lit(0)).alias("pairs")))
+        n_asked, n_hits, n_pairs = asked.count(), seen.get["hits"], seen.get["pairs"]
+        blocks, slices = blocks_and_slices(texts.sparkSession, n_asked, n_hits, k)
+    if k is None or n_pairs <= n_hits * slices + n_asked * blocks:
         return asked.join(hits, "asked").groupBy("query", "skill_id").agg(F.sum("weight").cast("double").alias("score"))
-    hits, n_hits = counted(hits)
     weighed = hits.select(F.col("skill_id").alias("id"), F.col("asked").alias("term"), F.col("weight").cast("double").alias("w"))
-    found = best_in_blocks(asked.select(F.col("query").alias("query_id"), F.col("asked").alias("term")), weighed, n_hits, k)
+    found = best_in_blocks(asked.select(F.col("query").alias("query_id"), F.col("asked").alias("term")), weighed, blocks, slices, k)
     return found.select(F.col("query_id").alias("query"), F.col("item_id").alias("skill_id"), "score")
 
 
@@ -144,17 +149,22 @@ def bm25_top_k(queries: DataFrame, items: DataFrame, k: int, k1: float = 1.2, b:
     idf = F.log(1 + (F.lit(n_items) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.lit(mean)))
     weighed = own.join(counts, "term").select(F.col("item_id").alias("id"), "term", weight.alias("w"))
-    return best_of_each(best_in_blocks(asked, weighed, n_words, k, digits, query_words, item_words), "query_id", "item_id", k)
+    blocks, slices = blocks_and_slices(spark, asked.count(), n_words, k, query_words, item_words)
+    return best_of_each(best_in_blocks(asked, weighed, blocks, slices, k, digits), "query_id", "item_id", k)
 
 
-def best_in_blocks(asked: DataFrame, weighed: DataFrame, n_words: int, k: int, digits: int | None = None, query_words: int = 200_000, item_words: int = 500_000) -> DataFrame:
+def blocks_and_slices(spark: SparkSession, n_asked: int, n_words: int, k: int, query_words: int = 200_000, item_words: int = 500_000) -> tuple[int, int]:
+    """Into how many blocks n_words postings are dealt, and into how many slices n_asked words of queries."""
+    blocks = max(-(-n_words // item_words), min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_words // 20_000)), 1)
+    return blocks, max(1, -(-n_asked // min(query_words, max(1000, (1 << 21) // max(1, k)))))
+
+
+def best_in_blocks(asked: DataFrame, weighed: DataFrame, blocks: int, slices: int, k: int, digits: int | None = None) -> DataFrame:
     """query_id, item_id, score: the k items of the highest sum of weights (above 0) for each query and block of items, ties to the smaller id.
 
-    asked: query_id, term; weighed: id, term, w of an item, n_words rows. Both sides are shuffled as rows to the pairs of a block and a slice.
+    asked: query_id, term; weighed: id, term, w of an item. Both sides are shuffled as rows to the pairs of a block and a slice.
     """
-    spark, k, n_asked = weighed.sparkSession, max(1, k), asked.count()
-    blocks = max(-(-n_words // item_words), min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_words // 20_000)), 1)
-    slices = max(1, -(-n_asked // min(query_words, max(1000, (1 << 21) // k))))
+    k = max(1, k)
     kinds = (asked.schema["query_id"].dataType.simpleString(), weighed.schema["id"].dataType.simpleString())
     left = dealt(asked.select(F.col("query_id").alias("id"), "term"), "slice", slices, "block", blocks).groupBy("block", "slice")
     right = dealt(weighed, "block", blocks, "slice", slices).groupBy("block", "slice")

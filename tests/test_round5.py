@@ -97,5 +97,22 @@ def test_fuzzy_search_shuffles_no_pairs_of_queries_and_skills(spark, monkeypatch
     assert tuples(got) == want and any(r[1] is None for r in want)
     asked = len({r[0] for r in want})
     assert ranked[0] <= asked * 3 * 4  # blocks: 4 at most, as there are shuffle partitions
+
+
+def test_fuzzy_search_of_names_that_share_no_words_is_not_dealt_to_blocks(spark, monkeypatch):
+    """Each query meets its own skill only: rows dealt to all blocks would be more than the pairs."""
+    pick = random.Random(6)
+    names = ["".join(pick.choice("abcdefghijkl") for _ in range(14)) for _ in range(150)]
+    skills = spark.createDataFrame([(i, n, None, None) for i, n in enumerate(names)], "skill_id int, preferred_label string, alternative_labels array<string>, description string")
+    queries = skills.select(F.concat(F.lit("x"), "preferred_label").alias("query"))
+    monkeypatch.setattr(textsearch, "best_in_blocks", None)
+    got = search.fuzzy_search_many(skills, queries, 1).collect()
+    assert {(r.query, r.skill_id, r.score, r["rank"]) for r in got} == {(f"x{n}", i, 2.0, 1) for i, n in enumerate(names)}
+
+
+def test_fuzzy_search_of_nothing(spark):
+    skills = spark.createDataFrame([(1, "abc", ["abd"], None)], "skill_id int, preferred_label string, alternative_labels array<string>, description string")
+    queries = spark.createDataFrame([("abc",), (None,)], "query string")
+    assert [tuple(r) for r in search.fuzzy_search_many(skills, queries, 3).collect()] == [("abc", 1, 3.0, 1)]
     assert tuples(search.fuzzy_search_many(skills, queries, 0)) == []
     assert tuples(search.fuzzy_search_many(skills.limit(0), queries, 3)) == tuples(search.fuzzy_search_many(skills, queries.limit(0), 3)) == []
